@@ -1,9 +1,9 @@
 """Stacked difference-in-differences with cluster-robust errors.
 
 Event-specific product and week effects are removed by two-way demeaning, exact because every
-event member has all weeks. A member is one row with short arrays over the weeks, so its own mean
-needs no shuffle. Spark reduces the members to k x k sums per product (the cluster) and then to
-one row; only that row is solved on the driver.
+event member has all weeks. A member is one row with a value per week, so its own mean needs no
+shuffle. Spark reduces the members to sums of products per product (the cluster) and those to one
+row; only that row is solved on the driver. Several models over the same events share all passes.
 """
 
 from __future__ import annotations
@@ -11,83 +11,80 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions import tails
 from basketry.operators.skew import salted_lookup
 from basketry.sources.storage import stage
 
+# A series is one SQL expression per week, oldest first.
+Series = Mapping[str, Sequence[str]]
 
-def _sum(columns: Sequence[Column]) -> Column:
-    return reduce(lambda left, right: left + right, columns)
 
+def demean_members(members: DataFrame, series: Series) -> DataFrame:
+    """Two-way demeaned ``series`` as columns ``<name>_<position>``, one row per member.
 
-def demean_members(
-    members: DataFrame, series: Mapping[str, Sequence[Column]], keep: Sequence[str]
-) -> DataFrame:
-    """Two-way demeaned ``series`` as columns ``<name>_<position>``, next to ``keep``.
-
-    ``members`` has one row per event and product; each series is one column per week. The week
-    means of an event are a partial aggregate and come back by a salted join, so an event that
-    holds a third of the members is spread over tasks.
+    ``members`` has one row per event and product. The week means of an event are a partial
+    aggregate and come back by a salted join, so an event that holds a third of the members is
+    spread over tasks.
     """
-    flat = members.select(
+    names = {name: [f"{name}_{t}" for t in range(len(series[name]))] for name in series}
+    flat = members.selectExpr(
         "event_id",
         "product_id",
-        *keep,
         *(
-            column.cast("double").alias(f"{name}_{t}")
-            for name, columns in series.items()
-            for t, column in enumerate(columns)
+            f"CAST({expression} AS DOUBLE) AS {column}"
+            for name in series
+            for column, expression in zip(names[name], series[name], strict=True)
         ),
     )
-    names = {name: [f"{name}_{t}" for t in range(len(series[name]))] for name in series}
     means = flat.groupBy("event_id").agg(
-        *(F.avg(column).alias(f"_m_{column}") for columns in names.values() for column in columns)
+        *(F.expr(f"avg({column}) AS _m_{column}") for group in names.values() for column in group)
     )
     joined = salted_lookup(flat, means, ["event_id"], ["product_id"])
 
-    def demeaned(columns: list[str]) -> list[Column]:
-        own = _sum([F.col(column) for column in columns]) / len(columns)
-        event = _sum([F.col(f"_m_{column}") for column in columns]) / len(columns)
-        return [
-            (F.col(column) - own - F.col(f"_m_{column}") + event).alias(column)
-            for column in columns
-        ]
+    def demeaned(columns: list[str]) -> list[str]:
+        own = f"({' + '.join(columns)}) / {len(columns)}"
+        event = f"({' + '.join(f'_m_{column}' for column in columns)}) / {len(columns)}"
+        return [f"{column} - {own} - _m_{column} + {event} AS {column}" for column in columns]
 
-    return joined.select(
+    return joined.selectExpr(
         "event_id",
         "product_id",
-        *keep,
-        *(column for columns in names.values() for column in demeaned(columns)),
+        *(expression for group in names.values() for expression in demeaned(group)),
     )
 
 
 def two_way_demean(panel: DataFrame, columns: Sequence[str], pre_weeks: int) -> DataFrame:
     """Demean columns of a long balanced panel (event, product, relative week)."""
     weeks = range(-pre_weeks, 1)
+    series = {name: [f"{name}_{t}" for t in range(pre_weeks + 1)] for name in columns}
     members = panel.groupBy("event_id", "product_id").agg(
         *(
-            F.max(F.when(F.col("rel_week") == week, F.col(name))).alias(f"{name}_{t}")
+            F.expr(f"max(CASE WHEN rel_week = {week} THEN {name} END) AS {series[name][t]}")
             for name in columns
             for t, week in enumerate(weeks)
         )
     )
-    series = {name: [F.col(f"{name}_{t}") for t in range(pre_weeks + 1)] for name in columns}
-    wide = demean_members(members, series, [])
-    cells = F.array(
-        *(
-            F.struct(
-                F.lit(week).alias("rel_week"), *(F.col(f"{name}_{t}").alias(name) for name in columns)
-            )
-            for t, week in enumerate(weeks)
-        )
+    cells = ", ".join(
+        f"named_struct('rel_week', {week}, "
+        + ", ".join(f"'{name}', {series[name][t]}" for name in columns)
+        + ")"
+        for t, week in enumerate(weeks)
     )
-    return wide.select("event_id", "product_id", F.inline(cells))
+    wide = demean_members(members, series)
+    return wide.selectExpr("event_id", "product_id", f"inline(array({cells}))")
+
+
+@dataclass(frozen=True)
+class Model:
+    """A regression of one series on others."""
+
+    outcome: str
+    regressors: tuple[str, ...]
 
 
 @dataclass(frozen=True)
@@ -103,6 +100,9 @@ class ClusterFit:
     def dof(self) -> int:
         return self.clusters - 1
 
+    def coefficient(self, position: int) -> float:
+        return float(self.coefficients[position])
+
     def standard_error(self, position: int) -> float:
         return math.sqrt(max(float(self.covariance[position, position]), 0.0))
 
@@ -110,148 +110,214 @@ class ClusterFit:
         error = self.standard_error(position)
         if error == 0.0 or self.dof < 1:
             return None
-        return tails.t_two_sided(float(self.coefficients[position]) / error, self.dof)
+        return tails.t_two_sided(self.coefficient(position) / error, self.dof)
 
     def interval(self, position: int, level: float) -> tuple[float | None, float | None]:
         if self.dof < 1:
             return None, None
         width = tails.t_quantile(level, self.dof) * self.standard_error(position)
-        centre = float(self.coefficients[position])
-        return centre - width, centre + width
+        return self.coefficient(position) - width, self.coefficient(position) + width
 
-    def joint_test(self, positions: Sequence[int]) -> tuple[float, float]:
+    def joint_test(self, positions: Sequence[int]) -> tuple[float | None, float | None]:
         """F statistic and p-value of all the given coefficients being zero."""
         index = list(positions)
+        if not index or self.dof < 1:
+            return None, None
         beta = self.coefficients[index]
         inner = np.linalg.pinv(self.covariance[np.ix_(index, index)])
         f = float(beta @ inner @ beta) / len(index)
         return f, tails.f_tail(f, len(index), self.dof)
 
 
-def fit_clustered(
-    members: DataFrame, y: Sequence[Column], regressors: Mapping[str, Sequence[Column]]
-) -> ClusterFit:
-    """Regress ``y`` on the regressors; every series has one column per week."""
-    weeks, names = len(y), list(regressors)
-    wide = demean_members(members, {"y": y, **regressors}, [])
+def _pair(left: str, right: str) -> tuple[str, str]:
+    return (left, right) if left <= right else (right, left)
+
+
+def _cell(left: str, right: str) -> str:
+    return "p_" + "_x_".join(_pair(left, right))
 
-    def product(left: str, right: str) -> Column:
-        return F.sum(_sum([F.col(f"{left}_{t}") * F.col(f"{right}_{t}") for t in range(weeks)]))
 
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+def fit_models(
+    members: DataFrame, series: Series, models: Mapping[str, Model]
+) -> dict[str, ClusterFit]:
+    """Fit every model from one staged table of sums of products per cluster."""
+    weeks = len(next(iter(series.values())))
+    wide = demean_members(members, series)
+    pairs = sorted(
+        {
+            _pair(left, right)
+            for model in models.values()
+            for left in model.regressors
+            for right in (*model.regressors, model.outcome)
+        }
+    )
+    sums = [
+        F.expr(
+            "sum(" + " + ".join(f"{a}_{t} * {b}_{t}" for t in range(weeks)) + f") AS {_cell(a, b)}"
+        )
+        for a, b in pairs
+    ]
     clusters = stage(
-        wide.groupBy("product_id").agg(
-            F.count(F.lit(1)).alias("members"),
-            *(product(names[i], names[j]).alias(f"xx_{i}_{j}") for i, j in pairs),
-            *(product(name, "y").alias(f"xy_{i}") for i, name in enumerate(names)),
-        ),
-        "cluster-sums",
+        wide.groupBy("product_id").agg(F.count(F.lit(1)).alias("members"), *sums), "cluster-sums"
     )
     totals = clusters.agg(
         F.count(F.lit(1)).alias("clusters"),
         F.sum("members").alias("members"),
-        *(F.sum(name).alias(name) for name in clusters.columns[2:]),
+        *(F.sum(_cell(a, b)).alias(_cell(a, b)) for a, b in pairs),
     ).first()
     if totals["clusters"] == 0:
         raise ValueError("no events")
 
-    k = len(names)
-    a = np.zeros((k, k))
-    for i, j in pairs:
-        a[i, j] = a[j, i] = totals[f"xx_{i}_{j}"]
-    inverse = np.linalg.pinv(a)
-    beta = inverse @ np.array([totals[f"xy_{i}"] for i in range(k)])
-
-    def xx(i: int, j: int) -> Column:
-        return F.col(f"xx_{min(i, j)}_{max(i, j)}")
-
-    scores = clusters.select(
-        *(
-            (F.col(f"xy_{i}") - _sum([xx(i, j) * float(beta[j]) for j in range(k)])).alias(f"s_{i}")
-            for i in range(k)
+    inverses: dict[str, np.ndarray] = {}
+    betas: dict[str, np.ndarray] = {}
+    outer: list[str] = []
+    for name, model in models.items():
+        x, y = model.regressors, model.outcome
+        inverses[name] = np.linalg.pinv(
+            np.array([[totals[_cell(left, right)] for right in x] for left in x])
         )
-    )
-    outer = scores.agg(
-        *(F.sum(F.col(f"s_{i}") * F.col(f"s_{j}")).alias(f"m_{i}_{j}") for i, j in pairs)
-    ).first()
-    meat = np.zeros((k, k))
-    for i, j in pairs:
-        meat[i, j] = meat[j, i] = outer[f"m_{i}_{j}"]
+        betas[name] = inverses[name] @ np.array([totals[_cell(left, y)] for left in x])
+        scores = [
+            f"({_cell(left, y)} - "
+            + " - ".join(
+                f"{_cell(left, right)} * ({float(beta)!r}D)"
+                for right, beta in zip(x, betas[name], strict=True)
+            )
+            + ")"
+            for left in x
+        ]
+        outer.extend(
+            f"sum({scores[i]} * {scores[j]}) AS {name}_{i}_{j}"
+            for i in range(len(x))
+            for j in range(i, len(x))
+        )
+    meats = clusters.agg(*map(F.expr, outer)).first()
+
     g, n = int(totals["clusters"]), int(totals["members"]) * weeks
-    correction = g / (g - 1) * (n - 1) / (n - k) if g > 1 and n > k else math.nan
-    return ClusterFit(beta, correction * inverse @ meat @ inverse, n, g)
+    fits = {}
+    for name, model in models.items():
+        k = len(model.regressors)
+        meat = np.array([[meats[f"{name}_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+        correction = g / (g - 1) * (n - 1) / (n - k) if g > 1 and n > k else math.nan
+        covariance = correction * inverses[name] @ meat @ inverses[name]
+        fits[name] = ClusterFit(betas[name], covariance, n, g)
+    return fits
+
+
+def _relative_weeks(pre_weeks: int) -> list[int]:
+    """Weeks with a coefficient: all but the reference week -1."""
+    return [week for week in range(-pre_weeks, 1) if week != -1]
+
+
+def _dummy_name(week: int) -> str:
+    return f"treated_{'pre' if week < 0 else 'week'}{abs(week)}"
+
 
+def event_series(pre_weeks: int, names: Sequence[str]) -> dict[str, list[str]]:
+    """Series of event members by name.
+
+    ``log_units`` and ``log_revenue`` are log(1 + outcome), ``display_share`` is the covariate,
+    ``treated_*`` marks treated members in one relative week.
+    """
+    span = range(pre_weeks + 1)
+    known = {
+        "log_units": [f"log1p(history[{t}].units)" for t in span],
+        "log_revenue": [f"log1p(history[{t}].revenue)" for t in span],
+        "display_share": [f"history[{t}].display_share" for t in span],
+    }
+    for week in _relative_weeks(pre_weeks):
+        known[_dummy_name(week)] = [
+            "IF(treated, 1D, 0D)" if t - pre_weeks == week else "0D" for t in span
+        ]
+    return {name: known[name] for name in names}
 
-def _series(name: str, pre_weeks: int) -> list[Column]:
-    return [F.col("history")[t][name] for t in range(pre_weeks + 1)]
 
+def did_model(outcome: str, controls: Sequence[str] = ()) -> Model:
+    """Effect in the promo week on log(1 + outcome), given time-varying covariates."""
+    return Model(f"log_{outcome}", (_dummy_name(0), *controls))
 
-def _log_outcome(outcome: str, pre_weeks: int) -> list[Column]:
-    return [F.log1p(column) for column in _series(outcome, pre_weeks)]
+
+def study_model(outcome: str, pre_weeks: int) -> Model:
+    """One coefficient per relative week; week -1 is the reference."""
+    return Model(
+        f"log_{outcome}", tuple(_dummy_name(week) for week in _relative_weeks(pre_weeks))
+    )
 
 
-def _dummy(rel_week: int, pre_weeks: int) -> list[Column]:
-    """treated x (relative week = rel_week), one column per week."""
-    treated = F.col("treated").cast("double")
-    return [treated if week == rel_week else F.lit(0.0) for week in range(-pre_weeks, 1)]
+def fit_events(
+    events: DataFrame, models: Mapping[str, Model], pre_weeks: int
+) -> dict[str, ClusterFit]:
+    used = {
+        name for model in models.values() for name in (model.outcome, *model.regressors)
+    }
+    return fit_models(events, event_series(pre_weeks, sorted(used)), models)
 
 
 def did_units(events: DataFrame) -> DataFrame:
     """Events, treated and control members, and products of an event table."""
     return events.agg(
         F.count_distinct("event_id").alias("events"),
-        F.count_if("treated").alias("treated_units"),
+        F.count_if(F.col("treated")).alias("treated_units"),
         F.count_if(~F.col("treated")).alias("control_units"),
         F.count_distinct("product_id").alias("clusters"),
     )
 
 
 DID_SCHEMA = (
-    "outcome string, coefficient double, std_error double, ci_low double, ci_high double, "
-    "p_value double, effect_pct double, effect_pct_ci_low double, effect_pct_ci_high double, "
-    "observations bigint, events bigint, treated_units bigint, control_units bigint, "
-    "clusters bigint"
+    "estimate string, outcome string, coefficient double, std_error double, ci_low double, "
+    "ci_high double, p_value double, effect_pct double, effect_pct_ci_low double, "
+    "effect_pct_ci_high double, observations bigint, events bigint, treated_units bigint, "
+    "control_units bigint, clusters bigint"
 )
 
 
-def estimate_did(
+def did_rows(
     events: DataFrame,
-    outcome: str,
-    confidence_level: float,
-    pre_weeks: int,
-    controls: Sequence[str] = (),
+    fits: Mapping[str, ClusterFit],
+    models: Mapping[str, Model],
+    level: float,
 ) -> DataFrame:
-    """Effect of treatment in the promo week on log(1 + outcome), one row.
-
-    ``controls`` are time-varying history columns added as covariates.
-    """
-    regressors = {"treated_post": _dummy(0, pre_weeks)}
-    regressors.update({name: _series(name, pre_weeks) for name in controls})
-    fit = fit_clustered(events, _log_outcome(outcome, pre_weeks), regressors)
+    """One row per DiD fit: the treated coefficient, its interval and the effect in percent."""
     size = did_units(events).first()
-    low, high = fit.interval(0, confidence_level)
-    coefficient = float(fit.coefficients[0])
 
     def percent(value: float | None) -> float | None:
         return None if value is None else 100.0 * math.expm1(value)
 
-    row = (
-        outcome,
-        coefficient,
-        fit.standard_error(0),
-        low,
-        high,
-        fit.p_value(0),
-        percent(coefficient),
-        percent(low),
-        percent(high),
-        fit.observations,
-        size["events"],
-        size["treated_units"],
-        size["control_units"],
-        fit.clusters,
-    )
-    return events.sparkSession.createDataFrame([row], DID_SCHEMA)
+    rows = []
+    for name, fit in fits.items():
+        low, high = fit.interval(0, level)
+        rows.append(
+            (
+                name,
+                models[name].outcome.removeprefix("log_"),
+                fit.coefficient(0),
+                fit.standard_error(0),
+                low,
+                high,
+                fit.p_value(0),
+                percent(fit.coefficient(0)),
+                percent(low),
+                percent(high),
+                fit.observations,
+                size["events"],
+                size["treated_units"],
+                size["control_units"],
+                fit.clusters,
+            )
+        )
+    return events.sparkSession.createDataFrame(rows, DID_SCHEMA)
+
+
+def estimate_did(
+    events: DataFrame,
+    outcome: str,
+    confidence_level: float,
+    pre_weeks: int,
+    controls: Sequence[str] = (),
+) -> DataFrame:
+    """Effect of treatment in the promo week on log(1 + outcome), one row."""
+    models = {outcome: did_model(outcome, controls)}
+    return did_rows(events, fit_events(events, models, pre_weeks), models, confidence_level)
 
 
 STUDY_SCHEMA = (
@@ -260,37 +326,34 @@ STUDY_SCHEMA = (
 )
 
 
-def estimate_event_study(
-    events: DataFrame, outcome: str, confidence_level: float, pre_weeks: int
-) -> DataFrame:
-    """Treated-control gap by relative week; week -1 is the reference with coefficient 0.
-
-    Each row repeats the joint test that the coefficients before week -1 are zero.
-    """
-    weeks = [week for week in range(-pre_weeks, 1) if week != -1]
-    fit = fit_clustered(
-        events,
-        _log_outcome(outcome, pre_weeks),
-        {f"w{t}": _dummy(week, pre_weeks) for t, week in enumerate(weeks)},
-    )
-    before = [t for t, week in enumerate(weeks) if week < -1]
-    f, p = fit.joint_test(before) if before else (None, None)
-    rows = [(-1, 0.0, 0.0, 0.0, 0.0, None, f, p)]
+def study_rows(events: DataFrame, fit: ClusterFit, pre_weeks: int, level: float) -> DataFrame:
+    """Coefficients by relative week, each row with the joint test of the weeks before -1."""
+    weeks = _relative_weeks(pre_weeks)
+    joint = fit.joint_test([t for t, week in enumerate(weeks) if week < -1])
+    rows = [(-1, 0.0, 0.0, 0.0, 0.0, None, *joint)]
     rows.extend(
         (
             week,
-            float(fit.coefficients[t]),
+            fit.coefficient(t),
             fit.standard_error(t),
-            *fit.interval(t, confidence_level),
+            *fit.interval(t, level),
             fit.p_value(t),
-            f,
-            p,
+            *joint,
         )
         for t, week in enumerate(weeks)
     )
     return events.sparkSession.createDataFrame(sorted(rows), STUDY_SCHEMA)
 
 
+def estimate_event_study(
+    events: DataFrame, outcome: str, confidence_level: float, pre_weeks: int
+) -> DataFrame:
+    """Treated-control gap by relative week; week -1 is the reference with coefficient 0."""
+    models = {"study": study_model(outcome, pre_weeks)}
+    fit = fit_events(events, models, pre_weeks)["study"]
+    return study_rows(events, fit, pre_weeks, confidence_level)
+
+
 def largest_pre_gap(study: DataFrame) -> DataFrame:
     """Largest treated-control gap before the reference week, in percent."""
     gap = F.max(F.when(F.col("rel_week") < -1, F.abs("coefficient")))

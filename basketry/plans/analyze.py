@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from basketry.operators import business, churn, cohorts, inference, promo, rfm
+from basketry.operators.group_tests import rank_sum_p_values
+from basketry.operators.inference import Model
 from basketry.params import JobParams, PromoParams, Window
 from basketry.plans import report
 from basketry.sources.storage import stage
@@ -104,8 +105,6 @@ def churn_section(tables: Tables, window: Window, params: JobParams) -> dict[str
 
 
 def basket_value_with_p(households: DataFrame) -> DataFrame:
-    from basketry.operators.group_tests import rank_sum_p_values
-
     test = stage(churn.basket_value_test(households), "basket-value-test")
     return test.join(rank_sum_p_values(test, "test"), "test")
 
@@ -122,41 +121,49 @@ def promo_members(
     )
 
 
+def promo_models() -> tuple[dict[str, Model], dict[str, Model]]:
+    """Effect models of the promo events and of the cannibalisation events."""
+    return (
+        {
+            "units": inference.did_model("units"),
+            "revenue": inference.did_model("revenue"),
+            "units_display_control": inference.did_model("units", ("display_share",)),
+        },
+        {"cannibalization_units": inference.did_model("units")},
+    )
+
+
 def did_estimates(
     events: DataFrame, cannibal: DataFrame, params: PromoParams
 ) -> DataFrame:
     """The four effects: units, revenue, units given display, units of the siblings."""
     level, k = params.confidence_level, params.pre_weeks
-    runs = {
-        "units": inference.estimate_did(events, "units", level, k),
-        "revenue": inference.estimate_did(events, "revenue", level, k),
-        "units_display_control": inference.estimate_did(
-            events, "units", level, k, ("display_share",)
-        ),
-        "cannibalization_units": inference.estimate_did(cannibal, "units", level, k),
-    }
-    combined = None
-    for name, frame in runs.items():
-        one = frame.select(F.lit(name).alias("estimate"), "*")
-        combined = one if combined is None else combined.unionByName(one)
-    return combined
+    rows = [
+        inference.did_rows(members, inference.fit_events(members, models, k), models, level)
+        for members, models in zip((events, cannibal), promo_models(), strict=True)
+    ]
+    return rows[0].unionByName(rows[1])
 
 
 def promo_section(tables: Tables, window: Window, params: JobParams) -> dict[str, DataFrame]:
+    """All models of an event table are fitted from the same passes over it."""
     settings = params.promo
-    events, cannibal = promo_members(tables["promo_product_week"], window, settings)
-    panel = promo.expand_to_panel(events)
-    estimates = did_estimates(events, cannibal, settings)
     level, k = settings.confidence_level, settings.pre_weeks
-    study = inference.estimate_event_study(events, "units", level, k)
+    both = promo_members(tables["promo_product_week"], window, settings)
+    estimates, studies = [], []
+    for members, models in zip(both, promo_models(), strict=True):
+        study = inference.study_model("units", k)
+        fits = inference.fit_events(members, {**models, "study": study}, k)
+        studies.append(inference.study_rows(members, fits.pop("study"), k, level))
+        estimates.append(inference.did_rows(members, fits, models, level))
+    combined = estimates[0].unionByName(estimates[1])
+    panel = promo.expand_to_panel(both[0])
     return {
-        "did_estimates": estimates,
-        "promo_effects": report.effects_table(estimates),
-        "event_study": study,
-        "cannibalization_event_study": inference.estimate_event_study(
-            cannibal, "units", level, k
-        ),
-        "promo_headline": inference.largest_pre_gap(study),
+        "did_estimates": combined,
+        "promo_effects": report.effects_table(combined),
+        "event_study": studies[0],
+        "cannibalization_event_study": studies[1],
+        "promo_headline": inference.largest_pre_gap(studies[0]),
         "promo_group_means": promo.group_means(panel, "units"),
         "display_share": promo.display_share(panel),
     }

@@ -59,7 +59,7 @@ def f_p(f: str, a: str, b: str) -> str:
 
 
 def t_width(dof: str) -> str:
-    """97.5 % quantile of Student's t, expanded around the normal one."""
+    """97.5 % quantile of Student's t: expanded around the normal one, then one Newton step."""
     z = 1.959963984540054
     terms = (
         (z**3 + z) / 4,
@@ -68,7 +68,12 @@ def t_width(dof: str) -> str:
         (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
     )
     powers = " + ".join(f"{term!r} / power({dof}, {n})" for n, term in enumerate(terms, 1))
-    return f"({z!r} + {powers})"
+    start = f"({z!r} + {powers})"
+    density = (
+        f"exp(lgamma(({dof} + 1.0) / 2.0) - lgamma({dof} / 2.0)) / sqrt({dof} * pi()) "
+        f"* power(1.0 + power({start}, 2) / {dof}, -({dof} + 1.0) / 2.0)"
+    )
+    return f"({start} + ({t_p(start, dof)} - 0.05) / (2.0 * {density}))"
 
 
 # --- shared relations ---------------------------------------------------------------------------
