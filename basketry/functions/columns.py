@@ -9,12 +9,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MONEY = "decimal(18,4)"
+# Money is summed in whole ten-thousandths of the currency unit.
+MONEY_SCALE = 10_000
 
 
 def money_sum(column: str | Column) -> Column:
-    """Exact sum of money: decimal addition does not depend on the row order."""
-    return F.sum(F.col(column).cast(MONEY) if isinstance(column, str) else column.cast(MONEY))
+    """Exact sum of a money column, as double.
+
+    Adding doubles depends on the row order; adding integers does not, and stays on primitive
+    values in generated code, unlike wide decimals. An overflow raises.
+    """
+    value = F.col(column) if isinstance(column, str) else column
+    units = F.rint(value.cast("double") * MONEY_SCALE).cast("bigint")
+    return F.sum(units) / F.lit(float(MONEY_SCALE))
 
 
 def ratio(numerator: str | Column, denominator: str | Column) -> Column:

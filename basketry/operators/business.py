@@ -32,7 +32,7 @@ def weekly_kpi(transactions: DataFrame, window: Window) -> DataFrame:
         baskets(transactions, window)
         .groupBy("week_no")
         .agg(
-            F.sum("revenue").cast("double").alias("revenue"),
+            money_sum("revenue").alias("revenue"),
             F.count_distinct("basket_id").alias("baskets"),
             F.count_distinct("household_key").alias("active_households"),
         )
@@ -59,7 +59,7 @@ def category_revenue(transactions: DataFrame, products: DataFrame, window: Windo
     named = sold.join(products.select("product_id", "department", "commodity_desc"), "product_id")
     levels = named.groupingSets(
         [["department"], ["commodity_desc"]], "department", "commodity_desc"
-    ).agg(F.sum("revenue").alias("revenue"), F.grouping_id().alias("level"))
+    ).agg(money_sum("revenue").alias("revenue"), F.grouping_id().alias("level"))
     is_department = F.col("level") == 1
     return levels.select(
         F.when(is_department, "department").otherwise("commodity").alias("category_level"),
@@ -76,7 +76,7 @@ def category_share(
     """Top ``top_n`` categories per level; shares are of all categories of the level."""
     revenue = category_revenue(transactions, products, window)
     # Both levels hold the same lines, so one total serves as denominator of both.
-    total = revenue.where(F.col("category_level") == "department").agg(F.sum("revenue")).scalar()
+    total = revenue.where(F.col("category_level") == "department").agg(money_sum("revenue")).scalar()
     order = W.partitionBy("category_level").orderBy(
         F.desc("revenue"), F.asc_nulls_last("category")
     )
@@ -86,7 +86,7 @@ def category_share(
         .select(
             "category_level",
             "category",
-            F.col("revenue").cast("double").alias("revenue"),
+            "revenue",
             ratio("revenue", total).alias("revenue_share"),
             "revenue_rank",
         )
@@ -102,7 +102,7 @@ def top3_department_share(shares: DataFrame) -> DataFrame:
 def business_totals(transactions: DataFrame, window: Window) -> DataFrame:
     """Totals of the window and averages per week, one row."""
     totals = baskets(transactions, window).agg(
-        F.sum("revenue").cast("double").alias("total_revenue"),
+        money_sum("revenue").alias("total_revenue"),
         F.count_distinct("basket_id").alias("total_baskets"),
         F.count_distinct("household_key").alias("active_households"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from basketry.functions.columns import MONEY, money_sum, ratio
+from basketry.functions.columns import money_sum, ratio
 from basketry.operators import group_tests
 from basketry.operators.business import in_window
 from basketry.operators.ranks import group_medians, top_share_cutoff, with_cume_dist
@@ -38,16 +38,16 @@ def household_activity(
     plain counts. First-half revenue is NULL for a household without purchases in that half.
     """
     limit = last_baseline_week(window, params)
-    sales = F.col("sales_value").cast(MONEY)
+    sales = F.col("sales_value")
     baseline, recent = F.col("week_no") <= limit, F.col("week_no") > limit
     per_basket = (
         transactions.where(in_window(window))
         .groupBy("household_key", "basket_id")
         .agg(
-            F.sum(sales).alias("revenue"),
-            F.sum(F.when(F.col("week_no") <= window.mid_week, sales)).alias("first_half"),
-            F.sum(F.when(baseline, sales)).alias("baseline"),
-            F.sum(F.when(recent, sales)).alias("recent"),
+            money_sum(sales).alias("revenue"),
+            money_sum(F.when(F.col("week_no") <= window.mid_week, sales)).alias("first_half"),
+            money_sum(F.when(baseline, sales)).alias("baseline"),
+            money_sum(F.when(recent, sales)).alias("recent"),
             F.bool_or(baseline).alias("in_baseline"),
             F.bool_or(recent).alias("in_recent"),
         )
@@ -55,10 +55,10 @@ def household_activity(
     known = F.col("basket_id").isNotNull()
     blocks = limit - window.start_week + 1
     return per_basket.groupBy("household_key").agg(
-        F.sum("first_half").alias("first_half_revenue"),
-        F.sum("revenue").alias("revenue"),
-        F.coalesce(F.sum("baseline"), F.lit(0).cast(MONEY)).alias("baseline_revenue"),
-        F.coalesce(F.sum("recent"), F.lit(0).cast(MONEY)).alias("recent_revenue"),
+        money_sum("first_half").alias("first_half_revenue"),
+        money_sum("revenue").alias("revenue"),
+        F.coalesce(money_sum("baseline"), F.lit(0.0)).alias("baseline_revenue"),
+        F.coalesce(money_sum("recent"), F.lit(0.0)).alias("recent_revenue"),
         F.count("basket_id").alias("baskets"),
         ratio(
             F.count_if(known & F.col("in_baseline")) * params.recent_weeks, F.lit(blocks)
@@ -111,7 +111,7 @@ def household_groups(
         .when(loyal, STABLE)
         .otherwise(OTHER)
         .alias("household_group"),
-        F.coalesce("first_half_revenue", F.lit(0).cast(MONEY)).alias("first_half_revenue"),
+        F.coalesce("first_half_revenue", F.lit(0.0)).alias("first_half_revenue"),
         "revenue",
         "baseline_revenue",
         "recent_revenue",
@@ -149,7 +149,7 @@ def household_department(
         spread_by=["household_key"],
     )
     return named.groupBy("household_key", "department").agg(
-        F.sum("revenue").alias("department_revenue")
+        money_sum("revenue").alias("department_revenue")
     )
 
 
@@ -162,9 +162,10 @@ def group_summary(households: DataFrame) -> DataFrame:
     """Size, revenue, activity and shares of the three household groups."""
     groups = households.groupBy("household_group").agg(
         F.count("household_key").alias("households"),
-        F.sum("revenue").alias("revenue"),
-        F.sum("baseline_revenue").alias("baseline_revenue"),
-        F.sum("recent_revenue").alias("recent_revenue"),
+        *(
+            money_sum(name).alias(name)
+            for name in ("revenue", "baseline_revenue", "recent_revenue")
+        ),
         F.sum("baskets").alias("baskets"),
         F.avg("baseline_baskets").alias("baseline_baskets"),
         F.avg("recent_baskets").alias("recent_baskets"),
@@ -178,10 +179,9 @@ def group_summary(households: DataFrame) -> DataFrame:
     return groups.select(
         "household_group",
         "households",
-        *(
-            F.col(name).cast("double").alias(name)
-            for name in ("revenue", "baseline_revenue", "recent_revenue")
-        ),
+        "revenue",
+        "baseline_revenue",
+        "recent_revenue",
         "baseline_baskets",
         "recent_baskets",
         share("households").alias("household_share"),
@@ -193,7 +193,7 @@ def group_summary(households: DataFrame) -> DataFrame:
 
 
 def basket_value_test(households: DataFrame) -> DataFrame:
-    """Median basket value of both loyal groups and the rank-sum statistics, one row."""
+    """Median basket value of both loyal groups and their rank-sum test, one row."""
     loyal = households.where(is_loyal_group()).select(
         "household_key", "household_group", "avg_basket_value"
     )
@@ -210,9 +210,10 @@ def basket_value_test(households: DataFrame) -> DataFrame:
         "household_key",
         F.col("household_group") == CHURNING,
     )
-    return sums.withColumn("medians", medians.select(F.struct("*")).scalar()).select(
+    tested = sums.withColumn("medians", medians.select(F.struct("*")).scalar()).select(
         "test", "medians.*", "n1", "n2", "u", "tie_term", "z"
     )
+    return group_tests.add_rank_sum_p_values(tested)
 
 
 def department_shares(
@@ -228,7 +229,7 @@ def department_shares(
     bought = departments.where(F.col("department").isNotNull()).join(loyal, "household_key")
     top = (
         bought.groupBy("department")
-        .agg(F.sum("department_revenue").alias("revenue"))
+        .agg(money_sum("department_revenue").alias("revenue"))
         .orderBy(F.desc("revenue"), F.asc("department"))
         .limit(top_n)
     )
@@ -240,9 +241,9 @@ def department_shares(
         ).limit(0)
     revenue = F.col("department_revenue")
     per_household = bought.groupBy("household_key", "household_group").agg(
-        F.sum(revenue).alias("_all"),
+        money_sum(revenue).alias("_all"),
         *(
-            F.coalesce(F.sum(F.when(F.col("department") == name, revenue)), F.lit(0)).alias(
+            F.coalesce(money_sum(F.when(F.col("department") == name, revenue)), F.lit(0.0)).alias(
                 f"_d{number}"
             )
             for number, name in enumerate(names)
@@ -283,8 +284,7 @@ def department_mix(households: DataFrame, departments: DataFrame, top_n: int) ->
 
 def department_mix_tests(mix: DataFrame, top_n: int, alpha: float) -> DataFrame:
     """``department_mix`` with p-values and the Bonferroni flag ``p < alpha / top_n``."""
-    p_values = group_tests.rank_sum_p_values(mix, "department")
-    return mix.join(p_values, "department").withColumn(
+    return group_tests.add_rank_sum_p_values(mix).withColumn(
         "significant", F.coalesce(F.col("p_value") < alpha / top_n, F.lit(False))
     )
 
@@ -323,9 +323,8 @@ def demographic_statistics(households: DataFrame, min_expected_count: float) ->
 
 def demographic_tests(statistics: DataFrame, alpha: float) -> DataFrame:
     """``demographic_statistics`` with p-values and the Bonferroni flag over all attributes."""
-    p_values = group_tests.chi_square_p_values(statistics)
     level = alpha / len(DEMOGRAPHIC_COLUMNS)
-    return statistics.join(p_values, "attribute").withColumn(
+    return group_tests.add_chi_square_p_values(statistics).withColumn(
         "significant", F.coalesce(F.col("reliable") & (F.col("p_value") < level), F.lit(False))
     )
 

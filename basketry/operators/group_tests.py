@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from basketry.functions import tails
 from basketry.functions.columns import ratio
@@ -49,14 +50,18 @@ def rank_sums(frame: DataFrame, test: str, value: str, key: str, is_first: Colum
     return sums.select(test, "n1", "n2", u1.alias("u"), "tie_term", z.alias("z"))
 
 
-def rank_sum_p_values(sums: DataFrame, test: str) -> DataFrame:
-    """Two-sided p-values of ``rank_sums``; one row per test reaches the driver."""
+def add_rank_sum_p_values(sums: DataFrame) -> DataFrame:
+    """``rank_sums`` rows with ``p_value`` and ``method``.
+
+    There is one row per test; the rows are finished on the driver and become a new table, so
+    the job behind them runs once.
+    """
     rows = [
-        (row[test], *tails.rank_sum_p_value(row["u"], row["n1"], row["n2"], row["tie_term"])[1:])
+        (*row, *tails.rank_sum_p_value(row["u"], row["n1"], row["n2"], row["tie_term"])[1:])
         for row in sums.collect()
     ]
-    kind = sums.schema[test].dataType.simpleString()
-    return sums.sparkSession.createDataFrame(rows, f"`{test}` {kind}, p_value double, method string")
+    schema = T.StructType(sums.schema.fields).add("p_value", "double").add("method", "string")
+    return sums.sparkSession.createDataFrame(rows, schema)
 
 
 def crosstab(frame: DataFrame, attributes: Sequence[str], group: str) -> DataFrame:
@@ -110,13 +115,14 @@ def chi_square(counts: DataFrame, group: str, first: str, second: str) -> DataFr
     )
 
 
-def chi_square_p_values(tests: DataFrame) -> DataFrame:
-    """p-values of ``chi_square``; one row per attribute reaches the driver."""
+def add_chi_square_p_values(tests: DataFrame) -> DataFrame:
+    """``chi_square`` rows with ``p_value``; one row per attribute reaches the driver."""
     rows = [
         (
-            row["attribute"],
+            *row,
             None if row["statistic"] is None else tails.chi2_tail(row["statistic"], row["dof"]),
         )
         for row in tests.collect()
     ]
-    return tests.sparkSession.createDataFrame(rows, "attribute string, p_value double")
+    schema = T.StructType(tests.schema.fields).add("p_value", "double")
+    return tests.sparkSession.createDataFrame(rows, schema)

@@ -82,7 +82,7 @@ def segment_summary(segmented: DataFrame, rules: Sequence[SegmentRule]) -> DataF
         F.sum("frequency").alias("baskets"),
         F.avg("frequency").alias("avg_frequency"),
         F.avg("recency_weeks").alias("avg_recency_weeks"),
-        F.sum("monetary").alias("revenue"),
+        money_sum("monetary").alias("revenue"),
     )
     # At most one row per rule.
     total = W.partitionBy()
@@ -94,7 +94,7 @@ def segment_summary(segmented: DataFrame, rules: Sequence[SegmentRule]) -> DataF
         ratio("revenue", "baskets").alias("avg_basket_value"),
         "avg_frequency",
         "avg_recency_weeks",
-        F.col("revenue").cast("double").alias("revenue"),
+        "revenue",
         ratio("revenue", F.sum("revenue").over(total)).alias("revenue_share"),
     )
 
@@ -112,7 +112,7 @@ def top_customers_share(metrics: DataFrame, top_share: float) -> DataFrame:
         F.count(F.lit(1)).alias("households"),
         F.count_if(F.col("rank") <= wanted).alias("top_households"),
         ratio(
-            F.sum(F.when(F.col("rank") <= wanted, F.col("monetary"))), F.sum("monetary")
+            money_sum(F.when(F.col("rank") <= wanted, F.col("monetary"))), money_sum("monetary")
         ).alias("top_customers_revenue_share"),
     )
 

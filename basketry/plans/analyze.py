@@ -7,7 +7,6 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 
 from basketry.operators import business, churn, cohorts, inference, promo, rfm
-from basketry.operators.group_tests import rank_sum_p_values
 from basketry.operators.inference import Model
 from basketry.params import JobParams, PromoParams, Window
 from basketry.plans import report
@@ -87,16 +86,14 @@ def churn_section(tables: Tables, window: Window, params: JobParams) -> dict[str
     households, departments = churn_tables(tables, window, params)
     settings = params.churn
     summary = churn.group_summary(households)
-    mix = stage(
-        churn.department_mix(households, departments, settings.top_departments), "department-mix"
-    )
+    mix = churn.department_mix(households, departments, settings.top_departments)
     mix_tests = churn.department_mix_tests(mix, settings.top_departments, settings.alpha)
     statistics = churn.demographic_statistics(households, settings.min_expected_count)
     return {
         "churn_rows": churn.churn_rows(households, departments),
         "churn_groups": summary,
         "churn_groups_long": report.groups_long(summary),
-        "basket_value_test": basket_value_with_p(households),
+        "basket_value_test": churn.basket_value_test(households),
         "department_mix": mix_tests,
         "demographic_tests": churn.demographic_tests(statistics, settings.alpha),
         "churn_headline": churn.churn_headline(summary),
@@ -104,11 +101,6 @@ def churn_section(tables: Tables, window: Window, params: JobParams) -> dict[str
     }
 
 
-def basket_value_with_p(households: DataFrame) -> DataFrame:
-    test = stage(churn.basket_value_test(households), "basket-value-test")
-    return test.join(rank_sum_p_values(test, "test"), "test")
-
-
 def promo_members(
     product_weeks: DataFrame, window: Window, params: PromoParams
 ) -> tuple[DataFrame, DataFrame]:

@@ -34,7 +34,6 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def _lines(spark: SparkSession, folder: str, product_id: Column) -> DataFrame:
     """Purchase lines; ``product_id`` is computed from the part key."""
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit(FIRST_DAY).cast("date")) + 1
-    discount = F.lit(1) - F.col("l_discount").cast("decimal(4,2)")
     orders = _table(spark, folder, "orders").select(
         "o_orderkey", F.col("o_custkey").alias("household_key"), day.alias("day")
     )
@@ -51,9 +50,7 @@ def _lines(spark: SparkSession, folder: str, product_id: Column) -> DataFrame:
             "day",
             product_id.alias("product_id"),
             F.col("l_quantity").cast("int").alias("quantity"),
-            (F.col("l_extendedprice").cast("decimal(12,2)") * discount)
-            .cast("decimal(18,4)")
-            .alias("sales_value"),
+            (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("sales_value"),
             "store_id",
             F.expr("(day - 1) div 7 + 1").cast("int").alias("week_no"),
         )
@@ -181,9 +178,7 @@ def raw_transactions(spark: SparkSession, folder: str) -> DataFrame:
             {
                 "household_key": F.when(basket % 1009 != 0, F.col("household_key")),
                 "quantity": quantity,
-                "sales_value": F.when(
-                    basket % 89 == 0, F.lit(0).cast("decimal(18,4)")
-                ).otherwise(F.col("sales_value")),
+                "sales_value": F.when(basket % 89 == 0, 0.0).otherwise(F.col("sales_value")),
             }
         )
     )

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from basketry.functions.columns import round_doubles, trim_strings
 from basketry.operators import business, churn, clean, cohorts, inference, promo, quality, rfm
@@ -29,22 +28,9 @@ LAST_PERIOD = cohorts.last_full_period(WINDOW.end_week, PARAMS.cohorts.period_we
 QUERIES: dict[str, Query] = {}
 
 
-def present(frame: DataFrame) -> DataFrame:
-    """Money as double and doubles rounded to six digits, as in the checking SQL."""
-    plain = frame.select(
-        *(
-            F.col(field.name).cast("double").alias(field.name)
-            if isinstance(field.dataType, T.DecimalType)
-            else F.col(field.name)
-            for field in frame.schema.fields
-        )
-    )
-    return round_doubles(plain)
-
-
 def query(build: Query) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return present(build(spark, folder))
+        return round_doubles(build(spark, folder))
 
     QUERIES[build.__name__] = run
     return build
@@ -73,7 +59,6 @@ def retail_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         "transaction_data": source.transactions(spark, folder),
         "product": source.products(spark, folder),
         "hh_demographic": source.demographics(spark, folder),
-        "promo_product_week": product_weeks(spark, folder),
     }
 
 
@@ -93,8 +78,9 @@ def kept_product_weeks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Staged too: group flags and members both read them."""
     spine = promo.promo_spine(kept_product_weeks(spark, folder))
-    return promo.promo_flags(spine, PARAMS.promo, WINDOW)
+    return stage(promo.promo_flags(spine, PARAMS.promo, WINDOW), "promo-flags")
 
 
 # --- cleaning ---------------------------------------------------------------------------------
@@ -355,8 +341,7 @@ def churn_groups_long(spark, folder):
 
 @query
 def basket_value_test(spark, folder):
-    groups = stage(household_groups(spark, folder), "household-groups")
-    return analyze.basket_value_with_p(groups)
+    return churn.basket_value_test(household_groups(spark, folder))
 
 
 def churn_tables(spark, folder):
@@ -367,9 +352,7 @@ def churn_tables(spark, folder):
 def department_mix(spark, folder):
     households, departments = churn_tables(spark, folder)
     settings = PARAMS.churn
-    mix = stage(
-        churn.department_mix(households, departments, settings.top_departments), "department-mix"
-    )
+    mix = churn.department_mix(households, departments, settings.top_departments)
     return churn.department_mix_tests(mix, settings.top_departments, settings.alpha)
 
 
@@ -385,11 +368,8 @@ def demographic_crosstab(spark, folder):
 
 @query
 def demographic_tests(spark, folder):
-    statistics = stage(
-        churn.demographic_statistics(
-            churn_households(spark, folder), PARAMS.churn.min_expected_count
-        ),
-        "demographic-statistics",
+    statistics = churn.demographic_statistics(
+        churn_households(spark, folder), PARAMS.churn.min_expected_count
     )
     return churn.demographic_tests(statistics, PARAMS.churn.alpha)
 
@@ -424,7 +404,8 @@ def promo_weeks(spark, folder):
 
 @query
 def promo_flags(spark, folder):
-    return flags(spark, folder).drop("history")
+    spine = promo.promo_spine(kept_product_weeks(spark, folder))
+    return promo.promo_flags(spine, PARAMS.promo, WINDOW).drop("history")
 
 
 def members(spark, folder):
@@ -526,4 +507,6 @@ def data_summary(spark, folder):
 
 @query
 def results_metrics(spark, folder):
-    return analyze.analyze(retail_tables(spark, folder), WINDOW, PARAMS)["results_metrics"]
+    tables = retail_tables(spark, folder)
+    tables["promo_product_week"] = product_weeks(spark, folder)
+    return analyze.analyze(tables, WINDOW, PARAMS)["results_metrics"]
