@@ -60,7 +60,7 @@ def add_rank_sum_p_values(sums: DataFrame) -> DataFrame:
         (*row, *tails.rank_sum_p_value(row["u"], row["n1"], row["n2"], row["tie_term"])[1:])
         for row in sums.collect()
     ]
-    schema = T.StructType(sums.schema.fields).add("p_value", "double").add("method", "string")
+    schema = T.StructType(list(sums.schema.fields)).add("p_value", "double").add("method", "string")
     return sums.sparkSession.createDataFrame(rows, schema)
 
 
@@ -124,5 +124,5 @@ def add_chi_square_p_values(tests: DataFrame) -> DataFrame:
         )
         for row in tests.collect()
     ]
-    schema = T.StructType(tests.schema.fields).add("p_value", "double")
+    schema = T.StructType(list(tests.schema.fields)).add("p_value", "double")
     return tests.sparkSession.createDataFrame(rows, schema)

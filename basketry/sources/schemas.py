@@ -4,24 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql.types import StructType
 
+
+def _schema(columns: str) -> StructType:
+    """``name type`` pairs; ``StructType.fromDDL`` would need a running session."""
+    schema = StructType()
+    for column in columns.split(","):
+        schema.add(*column.split())
+    return schema
+
+
 # Column names, order and types of the raw files.
 RAW_SCHEMAS: dict[str, StructType] = {
-    "transaction_data": StructType.fromDDL(
-        "household_key INT, BASKET_ID BIGINT, DAY INT, PRODUCT_ID INT, QUANTITY INT, "
-        "SALES_VALUE DOUBLE, STORE_ID INT, RETAIL_DISC DOUBLE, TRANS_TIME INT, WEEK_NO INT, "
-        "COUPON_DISC DOUBLE, COUPON_MATCH_DISC DOUBLE"
+    "transaction_data": _schema(
+        "household_key integer, BASKET_ID long, DAY integer, PRODUCT_ID integer, "
+        "QUANTITY integer, SALES_VALUE double, STORE_ID integer, RETAIL_DISC double, "
+        "TRANS_TIME integer, WEEK_NO integer, "
+        "COUPON_DISC double, COUPON_MATCH_DISC double"
     ),
-    "product": StructType.fromDDL(
-        "PRODUCT_ID INT, MANUFACTURER INT, DEPARTMENT STRING, BRAND STRING, "
-        "COMMODITY_DESC STRING, SUB_COMMODITY_DESC STRING, CURR_SIZE_OF_PRODUCT STRING"
+    "product": _schema(
+        "PRODUCT_ID integer, MANUFACTURER integer, DEPARTMENT string, BRAND string, "
+        "COMMODITY_DESC string, SUB_COMMODITY_DESC string, CURR_SIZE_OF_PRODUCT string"
     ),
-    "hh_demographic": StructType.fromDDL(
-        "classification_1 STRING, classification_2 STRING, classification_3 STRING, "
-        "HOMEOWNER_DESC STRING, classification_5 STRING, classification_4 STRING, "
-        "KID_CATEGORY_DESC STRING, household_key INT"
+    "hh_demographic": _schema(
+        "classification_1 string, classification_2 string, classification_3 string, "
+        "HOMEOWNER_DESC string, classification_5 string, classification_4 string, "
+        "KID_CATEGORY_DESC string, household_key integer"
     ),
-    "causal_data": StructType.fromDDL(
-        "PRODUCT_ID INT, STORE_ID INT, WEEK_NO INT, display STRING, mailer STRING"
+    "causal_data": _schema(
+        "PRODUCT_ID integer, STORE_ID integer, WEEK_NO integer, display string, mailer string"
     ),
 }
 
