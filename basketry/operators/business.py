@@ -14,25 +14,17 @@ def in_window(window: Window) -> Column:
     return F.col("week_no").between(window.start_week, window.end_week)
 
 
-def baskets(transactions: DataFrame, window: Window) -> DataFrame:
-    """Revenue per (week, household, basket): ten or so lines become one row."""
-    return (
-        transactions.where(in_window(window))
-        .groupBy("week_no", "household_key", "basket_id")
-        .agg(money_sum("sales_value").alias("revenue"))
-    )
-
-
 def weekly_kpi(transactions: DataFrame, window: Window) -> DataFrame:
     """Revenue, baskets, active households, average basket and change to the week before.
 
-    The change is against the previous week that has purchases.
+    The change is against the previous week that has purchases. The distinct counts shuffle
+    by (week, basket) and (week, household), combined on the map side.
     """
     weekly = (
-        baskets(transactions, window)
+        transactions.where(in_window(window))
         .groupBy("week_no")
         .agg(
-            money_sum("revenue").alias("revenue"),
+            money_sum("sales_value").alias("revenue"),
             F.count_distinct("basket_id").alias("baskets"),
             F.count_distinct("household_key").alias("active_households"),
         )
@@ -101,8 +93,8 @@ def top3_department_share(shares: DataFrame) -> DataFrame:
 
 def business_totals(transactions: DataFrame, window: Window) -> DataFrame:
     """Totals of the window and averages per week, one row."""
-    totals = baskets(transactions, window).agg(
-        money_sum("revenue").alias("total_revenue"),
+    totals = transactions.where(in_window(window)).agg(
+        money_sum("sales_value").alias("total_revenue"),
         F.count_distinct("basket_id").alias("total_baskets"),
         F.count_distinct("household_key").alias("active_households"),
     )

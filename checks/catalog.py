@@ -80,7 +80,8 @@ def kept_product_weeks(spark: SparkSession, folder: str) -> DataFrame:
 def flags(spark: SparkSession, folder: str) -> DataFrame:
     """Staged too: group flags and members both read them."""
     spine = promo.promo_spine(kept_product_weeks(spark, folder))
-    return stage(promo.promo_flags(spine, PARAMS.promo, WINDOW), "promo-flags")
+    marked = promo.promo_flags(spine, PARAMS.promo, WINDOW)
+    return stage(promo.informative(marked), "promo-flags")
 
 
 # --- cleaning ---------------------------------------------------------------------------------
