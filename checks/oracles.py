@@ -460,9 +460,9 @@ RELATIONS["demographic_grid"] = """
 
 RELATIONS["demographic_sums"] = """
     SELECT attribute,
-           CAST(sum(observed) FILTER (WHERE household_group = 'churning_loyal') AS DOUBLE)
+           CAST(sum(observed) FILTER (WHERE household_group = 'churning_loyal') AS BIGINT)
                AS churning_with_demographics,
-           CAST(sum(observed) FILTER (WHERE household_group = 'stable_loyal') AS DOUBLE)
+           CAST(sum(observed) FILTER (WHERE household_group = 'stable_loyal') AS BIGINT)
                AS stable_with_demographics,
            CASE WHEN count(DISTINCT level) = 2
                 THEN sum(power(greatest(abs(observed - expected) - 0.5, 0), 2) / expected)
