@@ -30,10 +30,15 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path of its own below the application's part of the shared folder."""
+    application = spark.conf.get("spark.app.id", "session")
+    return f"{shared_folder(spark)}/{application}/{label}-{uuid.uuid4().hex}"
+
+
 def stage(frame: DataFrame, label: str) -> DataFrame:
     """Write ``frame`` once and return it read back from the shared folder."""
     spark = frame.sparkSession
-    application = spark.conf.get("spark.app.id", "session")
-    target = f"{shared_folder(spark)}/{application}/{label}-{uuid.uuid4().hex}"
+    target = new_folder(spark, label)
     frame.write.parquet(target)
     return spark.read.schema(frame.schema).parquet(target)

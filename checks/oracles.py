@@ -954,6 +954,28 @@ def union_all(parts: list[str]) -> str:
 
 def build() -> dict[str, str]:
     sql: dict[str, str] = {}
+    sql["csv_transactions"] = statement("""
+        SELECT CAST(household_key AS INTEGER) AS household_key, basket_id, day,
+               CAST(product_id AS INTEGER) AS product_id, quantity,
+               round(CAST(sales_value AS DOUBLE), 6) AS sales_value, store_id,
+               CAST(NULL AS DOUBLE) AS retail_disc, CAST(NULL AS INTEGER) AS trans_time, week_no,
+               CAST(NULL AS DOUBLE) AS coupon_disc, CAST(NULL AS DOUBLE) AS coupon_match_disc
+        FROM dirty_lines""")
+    sql["csv_products"] = statement("""
+        SELECT CAST(product_id AS INTEGER) AS product_id, CAST(NULL AS INTEGER) AS manufacturer,
+               department, CAST(NULL AS VARCHAR) AS brand, commodity_desc, sub_commodity_desc,
+               CAST(NULL AS VARCHAR) AS curr_size_of_product
+        FROM good_goods""")
+    sql["parquet_by_week"] = select(
+        "lines", _LINES, "sales_value", "WHERE week_no BETWEEN 100 AND 200"
+    )
+    sql["sql_file"] = statement("""
+        SELECT store_id, round(CAST(sum(sales_value) AS DOUBLE), 6) AS revenue,
+               count(DISTINCT basket_id) AS baskets
+        FROM lines WHERE week_no BETWEEN 100 AND 200 GROUP BY store_id""")
+    sql["write_clean_counts"] = statement(f"""
+        SELECT {", ".join(_COUNTS.split())}, rows_clean AS rows_written
+        FROM counts WHERE table_name = 'transaction_data'""")
     sql["clean_strings"] = select("good_goods", _GOODS)
     sql["dedup_rows"] = select("unique_lines", _LINES, "sales_value")
     sql["invalid_reason_counts"] = statement("""

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketry.operators import churn, cohorts, promo, rfm
-from basketry.operators.skew import salted_lookup
+from basketry.operators.skew import salted_lookup, table_lookup
 from basketry.params import ChurnParams, PromoParams, Window
 
 
@@ -112,3 +112,13 @@ def test_hot_household_results(many_lines):
         .first()
     )
     assert (metrics[0]["frequency"], metrics[0]["monetary"]) == tuple(want)
+
+
+@pytest.mark.parametrize("limit", [10, 1000])
+def test_table_lookup_on_both_sides_of_its_limit(spark, hot, limit):
+    table = spark.range(50).select(F.col("id").cast("int").alias("key"), F.col("id").alias("v"))
+    got = table_lookup(hot, table, ["key"], ["row_id"], broadcast_rows=limit)
+    want = hot.join(table, "key")
+    assert got.count() == want.count() == 9000
+    assert got.select(*want.columns).exceptAll(want).count() == 0
+    assert ("ResolvedHint" in got._jdf.queryExecution().analyzed().toString()) == (limit == 1000)
