@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import line_rules, line_windows, mixing, packing, simhash
+from basketry.llm import (
+    chat,
+    licenses,
+    line_rules,
+    line_windows,
+    merkle,
+    mixing,
+    packing,
+    resampling,
+    simhash,
+    token_files,
+)
+from basketry.sources.storage import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,3 +79,52 @@ def op9_mix(spark, folder):
         F.col("_target").alias("target"),
         F.col("_taken").alias("taken"),
     )
+
+
+@query
+def op1_importance_resampling(spark, folder):
+    documents, labels = (table(spark, folder, name) for name in ("documents", "labels"))
+    return resampling.resampled(documents, labels)
+
+
+@query
+def op3_chat_format(spark, folder):
+    """All conversations and one whose texts hold control strings."""
+    tricky = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame(
+        [(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)],
+        "conv_id long, turn long, role string, text string",
+    )
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.formatted(turns.unionByName(added)))
+
+
+@query
+def op4_license_scan(spark, folder):
+    return licenses.scanned(table(spark, folder, "documents"))
+
+
+@query
+def op7_merkle(spark, folder):
+    rows = merkle.with_edits(table(spark, folder, "documents"))
+    return rows.select(
+        F.col("_id").alias("doc_id"),
+        F.length("text").cast("bigint").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        F.col("own_root").alias("fingerprint"),
+        F.col("edited_root").alias("edited_fingerprint"),
+        merkle.likeness("own", "edited").alias("near_edited"),
+        merkle.likeness("own", "next").alias("near_next"),
+        F.size("own_leaves").cast("bigint").alias("n_paragraphs"),
+        F.size("own_sections").cast("bigint").alias("n_sections"),
+        merkle.first_difference("own", "edited").alias("first_changed"),
+    )
+
+
+@query
+def op10_token_files(spark, folder):
+    """Written to a folder of its own in the shared one, and read back from there."""
+    params = token_files.TokenFileParams(public_tokenizers.path("word_bpe_49k.json"))
+    target = new_folder(spark, "tokens")
+    token_files.write_tokens(table(spark, folder, "documents"), target, params)
+    return token_files.read_documents(spark, target)

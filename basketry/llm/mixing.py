@@ -9,7 +9,8 @@ start. As the order is random, so is the choice, and almost every document is ta
 
 Null and empty texts have no words, so none are taken. A null source is a source, last in order.
 Repeated rows are documents of their own. One row per source and shard is held by the driver:
-``most_shards`` bounds the shards of a source, and the sources are those that somebody weighs.
+``most_shards`` (a power of two) bounds the shards of a source, and the sources are those that
+somebody weighs. A shard of about ``shard_words`` is one task's work, so a hot source is many.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ class MixParams:
     share: float = 1.5
     most: int = 2
     block: int = 16
-    shard_words: int = 2_000_000
-    most_shards: int = 64
+    shard_words: int = 100_000
+    most_shards: int = 16_384
     seed: int = 9
 
 
@@ -157,35 +158,38 @@ def mixed(
     ends in the document it began in.
     """
     sized = _sized(docs, params)
-    in_shard = F.pmod(F.shiftright("_order", 20), F.lit(params.most_shards)).cast("int")
+    # Cells and shards are powers of two, so every shard of a source has as many cells.
+    cell = F.pmod(F.shiftright("_order", 20), F.lit(params.most_shards)).cast("int")
     parts = stage(
-        sized.groupBy("_source", in_shard.alias("_cell")).agg(F.sum("_size").alias("_words")),
+        sized.groupBy("_source", cell.alias("_cell")).agg(F.sum("_size").alias("_words")),
         "shard-sizes",
     )
-    # Small sources have few shards: their cells are merged until a shard has its words.
     totals = parts.groupBy("_source").agg(F.sum("_words").alias("_total")).collect()
     count = {
-        row["_source"]: max(1, min(params.most_shards, row["_total"] // params.shard_words))
+        row["_source"]: min(
+            params.most_shards, 1 << (row["_total"] // params.shard_words).bit_length()
+        )
         for row in totals
     }
-    cells: dict[tuple[str | None, int], int] = {}
-    for row in parts.collect():
-        key = row["_source"], row["_cell"] % count[row["_source"]]
-        cells[key] = cells.get(key, 0) + row["_words"]
+    known = sized.sparkSession.createDataFrame([*count.items()], "_s string, _shards int")
+    same_source = F.col("_source").eqNullSafe(F.col("_s"))
+    in_shards = (
+        parts.join(F.broadcast(known), same_source)
+        .groupBy("_source", F.pmod("_cell", "_shards").alias("_shard"))
+        .agg(F.sum("_words").alias("_words"))
+    )
+    cells = {(row[0], row[1]): row[2] for row in in_shards.collect()}
     plan = quotas([(*key, size) for key, size in cells.items()], weigh, params)
     table = sized.sparkSession.createDataFrame(
-        [(*row, count[row[0]]) for row in plan],
-        "_s string, _shard int, _words long, _source_size long, _target double, _quota long, "
-        "_shards int",
+        plan,
+        "_s string, _shard int, _words long, _source_size long, _target double, _quota long",
     )
-    # Small next to the documents and bounded like the driver's copy.
-    known = table.select("_s", "_shards").distinct()
-    rows = sized.join(F.broadcast(known), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s")
-    rows = rows.withColumn("_shard", F.pmod(in_shard, F.col("_shards")))
-    rows = rows.withColumnRenamed("_shard", "_own").drop("_shards")
-    rows = rows.join(
-        F.broadcast(table.drop("_shards")),
-        F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_own") == F.col("_shard")),
+    # Both small tables are bounded like the driver's copy: sources times shards.
+    rows = (
+        sized.join(F.broadcast(known), same_source)
+        .withColumn("_own", F.pmod(cell, F.col("_shards")))
+        .drop("_s")
+        .join(F.broadcast(table), same_source & (F.col("_own") == F.col("_shard")))
     )
     line = (
         Window.partitionBy("_source", "_own")
