@@ -53,7 +53,7 @@ class SimHashParams:
     words: int = 4
     distance: int = 4
     pivots: int = 16
-    bucket: int = 50_000
+    bucket: int = 1 << 20
     seed: int = 42
 
 
