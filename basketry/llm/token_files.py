@@ -16,6 +16,7 @@ Repeated rows are documents of their own. An empty table gives a folder without
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator, Sequence
@@ -45,7 +46,7 @@ class TokenFileParams:
     tokenizer: str
     end_id: int = 1
     segment_tokens: int = 262_144
-    cached_words: int = 200_000
+    cached_words: int = 400_000
 
 
 # --- codes ------------------------------------------------------------------------------------
@@ -138,28 +139,36 @@ class Segment:
 
 
 class WordIds(dict):
-    """Ids of words between ASCII blanks.
+    """Ids of words between ASCII blanks, as the bytes of 32-bit numbers.
 
     The tokenizer drops blanks and never joins characters across them, so a text's ids are those
-    of its words one after another, and a frequent word is encoded once.
+    of its words one after another, and a word is encoded once. When ``limit`` words are known,
+    further ones are encoded for the texts at hand and forgotten.
     """
 
     def __init__(self, path: str, limit: int):
         super().__init__()
+        # One thread: Spark runs a task per core already.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.passing: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        return self.passing[word]
 
     def learn(self, words: set[bytes]) -> None:
+        """Make the ids of ``words`` known until the next call."""
         new = [word for word in words if word not in self]
-        if len(self) + len(new) > self.limit:
-            self.clear()
-            new = list(words)
         texts = [word.decode("utf-8") for word in new]
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        self.update(zip(new, (tuple(x.ids) for x in found)))
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        ids = [np.array(x.ids, "<u4").tobytes() for x in found]
+        room = max(0, self.limit - len(self))
+        self.update(zip(new[:room], ids))
+        self.passing = dict(zip(new[room:], ids[room:]))
 
     def ids(self, words: list[bytes], end_id: int) -> np.ndarray:
-        flat = chain(chain.from_iterable(map(self.__getitem__, words)), (end_id,))
-        return np.fromiter(flat, np.uint32)
+        flat = b"".join(map(self.__getitem__, words)) + end_id.to_bytes(4, "little")
+        return np.frombuffer(flat, "<u4")
 
 
 def _segments(params: TokenFileParams, batches: Iterator[pa.RecordBatch]):
@@ -169,8 +178,7 @@ def _segments(params: TokenFileParams, batches: Iterator[pa.RecordBatch]):
 
     def closed() -> pa.RecordBatch:
         nonlocal names, ends, parts, number, before, held
-        ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        payload = pack_segment(names, np.array(ends, np.int64), ids)
+        payload = pack_segment(names, np.array(ends, np.int64), np.concatenate(parts))
         row = {
             "part": [TaskContext.get().partitionId()],
             "number": [number],
@@ -182,11 +190,10 @@ def _segments(params: TokenFileParams, batches: Iterator[pa.RecordBatch]):
         return pa.RecordBatch.from_pydict(row, schema=SEGMENT_SCHEMA)
 
     for batch in batches:
-        split = [text.as_py().split() for text in batch.column("_bytes")]
-        for at in range(0, len(split), 64):
-            some = split[at : at + 64]
-            known.learn(set(chain.from_iterable(some)))
-            for doc_id, words in zip(batch.column("_id")[at : at + 64], some):
+        for at in range(0, len(batch), 256):
+            texts = [text.as_py().split() for text in batch.column("_bytes")[at : at + 256]]
+            known.learn(set(chain.from_iterable(texts)))
+            for doc_id, words in zip(batch.column("_id")[at : at + 256], texts):
                 ids = known.ids(words, params.end_id)
                 held += len(ids)
                 names.append(doc_id.as_py())
@@ -212,10 +219,11 @@ SEGMENT_SCHEMA = pa.schema(
 def write_tokens(docs: DataFrame, folder: str, params: TokenFileParams) -> None:
     """Encode every whole text and write segments in document order: one shuffle, by range."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("_id"), text_of().alias("_text"))
-    order = [F.col("_id").asc_nulls_last(), F.col("_text")]
+    by_id = F.col("_id").asc_nulls_last()
+    # Ranges are of ids alone: Spark samples the ids for their bounds, not the texts.
     (
-        rows.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
+        rows.repartitionByRange(by_id)
+        .sortWithinPartitions(by_id, F.col("_text"))
         .select("_id", F.col("_text").cast("binary").alias("_bytes"))
         .mapInArrow(
             lambda batches: _segments(params, batches),
