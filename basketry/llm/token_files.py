@@ -16,8 +16,10 @@ Repeated rows are documents of their own. An empty table gives a folder without
 
 from __future__ import annotations
 
+import json
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -138,12 +140,31 @@ class Segment:
 # --- writing ----------------------------------------------------------------------------------
 
 
+#: Closing marks that stand apart from the letters before them.
+MARKS = b".,!?;:"
+
+# How the tokenizer must take texts apart for words to be encoded one by one.
+NORMAL_FORM = ["NFC", "Replace", "Lowercase"]
+LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones stand for
+    themselves, the others for 256, 257, ... in their order.
+    """
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
 class WordIds(dict):
     """Ids of words between ASCII blanks, as the bytes of 32-bit numbers.
 
     The tokenizer drops blanks and never joins characters across them, so a text's ids are those
-    of its words one after another, and a word is encoded once. When ``limit`` words are known,
-    further ones are encoded for the texts at hand and forgotten.
+    of its words one after another, and a word is encoded once. A word of small Latin letters needs
+    none of the tokenizer's preparation and goes to its model at once; marks after it are encoded
+    apart, as the tokenizer does itself. When ``limit`` words are known, further ones are encoded
+    for the texts at hand and forgotten.
     """
 
     def __init__(self, path: str, limit: int):
@@ -151,26 +172,73 @@ class WordIds(dict):
         # One thread: Spark runs a task per core already.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        parts = json.loads(self.tokenizer.to_str())
+        forms = [x["type"] for x in parts["normalizer"]["normalizers"]]
+        split, level = parts["pre_tokenizer"]["pretokenizers"]
+        if (forms, split["pattern"]["Regex"], level["type"]) != (
+            NORMAL_FORM,
+            LETTERS_APART,
+            "ByteLevel",
+        ):
+            raise ValueError(f"{path} does not take texts apart at blanks and letters")
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        self.marks: dict[bytes, bytes] = {b"": b""}
         self.passing: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
         return self.passing[word]
 
+    def _slow(self, words: list[bytes]) -> list[bytes]:
+        texts = [word.decode("utf-8") for word in words]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(x.ids, "<u4").tobytes() for x in found]
+
+    def _fast(self, stem: bytes) -> bytes | None:
+        """Ids of small Latin letters in composed form, else None."""
+        text = stem.decode("utf-8")
+        if max(text) >= "\u0250" or text != text.lower():
+            return None
+        if not text.isascii():
+            if not unicodedata.is_normalized("NFC", text):
+                return None
+            text = stem.decode("latin-1").translate(self.letters)
+        return b"".join(x.id.to_bytes(4, "little") for x in self.model.tokenize(text))
+
     def learn(self, words: set[bytes]) -> None:
         """Make the ids of ``words`` known until the next call."""
-        new = [word for word in words if word not in self]
-        texts = [word.decode("utf-8") for word in new]
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ids = [np.array(x.ids, "<u4").tobytes() for x in found]
-        room = max(0, self.limit - len(self))
-        self.update(zip(new[:room], ids))
-        self.passing = dict(zip(new[room:], ids[room:]))
+        found, slow = {}, []
+        for word in words:
+            if word in self:
+                continue
+            stem, ids = word.rstrip(MARKS), None
+            if stem.decode("utf-8").isalpha():
+                ids = self.get(stem) or found.get(stem) or self._fast(stem)
+            if ids is None:
+                slow.append(word)
+                continue
+            tail = word[len(stem) :]
+            if tail not in self.marks:
+                self.marks[tail] = self._slow([tail])[0]
+            found[stem] = ids
+            found[word] = ids + self.marks[tail]
+        found.update(zip(slow, self._slow(slow)))
+        if len(self) + len(found) <= self.limit:
+            self.update(found)
+        else:
+            self.passing = found
 
     def ids(self, words: list[bytes], end_id: int) -> np.ndarray:
         flat = b"".join(map(self.__getitem__, words)) + end_id.to_bytes(4, "little")
         return np.frombuffer(flat, "<u4")
 
 
+def split_words(text: bytes) -> list[bytes]:
+    """Words between ASCII blanks, in small letters as the tokenizer has them; special tokens are
+    told from other text by their letters, so a text that may hold one is left as it is.
+    """
+    return text.split() if b"<|" in text else text.lower().split()
+
+
 def _segments(params: TokenFileParams, batches: Iterator[pa.RecordBatch]):
     known = WordIds(params.tokenizer, params.cached_words)
     names, ends, parts = [], [], []
@@ -191,7 +259,7 @@ def _segments(params: TokenFileParams, batches: Iterator[pa.RecordBatch]):
 
     for batch in batches:
         for at in range(0, len(batch), 256):
-            texts = [text.as_py().split() for text in batch.column("_bytes")[at : at + 256]]
+            texts = [split_words(x.as_py()) for x in batch.column("_bytes")[at : at + 256]]
             known.learn(set(chain.from_iterable(texts)))
             for doc_id, words in zip(batch.column("_id")[at : at + 256], texts):
                 ids = known.ids(words, params.end_id)
