@@ -263,8 +263,25 @@ def test_token_files_of_awkward_rows(spark, awkward, nothing):
 @given(st.text(alphabet=st.characters(exclude_categories=["Cs"]), max_size=60))
 def test_words_have_the_ids_of_the_text(text):
     known = token_files.WordIds(PATH, 1000)
-    for mixed in (text, f"a{text} 's\n{text}<|endoftext|>", "Σ\tΑΣ " + text):
-        words = mixed.encode().split()
+    latin = "".join(chr(0xC0 + ord(c) % 0x1A0) for c in text)
+    for mixed in (
+        text,
+        f"a{text} 's\n{text}<|endoftext|>",
+        "Σ\tΑΣ " + text,
+        f"{latin}, The{latin}. e\u0301te! {latin.lower()}?! don't.'s: x2. <|ENDOFTEXT|>",
+        f"{latin.lower()}.. {latin[:3]}\u0301, I\u0307 ",
+    ):
+        words = token_files.split_words(mixed.encode())
         known.learn(set(words))
         want = known.tokenizer.encode(mixed, add_special_tokens=False).ids
         assert known.ids(words, 1).tolist() == [*want, 1]
+
+
+def test_marks_join_other_symbols():
+    """A symbol and the marks after it are one piece, whatever words were met before."""
+    known = token_files.WordIds(PATH, 1000)
+    for text in ("a$ x. \u20ac b\u20ac", "a$, x.. \u20ac. b\u20ac!", "... a$,. x.", ",a, 1. 1"):
+        words = token_files.split_words(text.encode())
+        known.learn(set(words))
+        want = known.tokenizer.encode(text, add_special_tokens=False).ids
+        assert known.ids(words, 1).tolist() == [*want, 1]
