@@ -17,7 +17,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +29,10 @@ from basketry.operators.ranks import global_rank
 
 ship(__name__)
 
-TOKEN = r"\w+|[^\w\s]+"
-BLOCK = 100_000
+TOKEN = re.compile(r"\w+|[^\w\s]+")
+BLANK = re.compile(r"\s")
+#: Characters of a text that are taken apart at a time, up to the next blank.
+BLOCK = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -55,9 +56,15 @@ class TokenHashes(dict):
 
 def features(text: str, buckets: int, known: TokenHashes) -> Iterator[np.ndarray]:
     """Buckets of the tokens and token pairs of a text, in blocks of bounded size."""
-    tokens = (m.group() for m in re.finditer(TOKEN, text.lower()))
+    lower, at = text.lower(), 0
     last = np.zeros(0, np.uint64)
-    while block := list(islice(tokens, BLOCK)):
+    while at < len(lower):
+        # Tokens hold no blanks, so a block ends at one.
+        border = BLANK.search(lower, at + BLOCK)
+        end = border.start() if border else len(lower)
+        block, at = TOKEN.findall(lower, at, end), end
+        if not block:
+            continue
         one = np.fromiter(map(known.__getitem__, block), np.uint64, len(block))
         chain = np.concatenate([last, one])
         two = (chain[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (chain[1:] >> np.uint64(7))
