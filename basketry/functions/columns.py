@@ -9,19 +9,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Money is summed in whole ten-thousandths of the currency unit.
+# Money is summed in whole ten-thousandths of the currency unit unless a caller says otherwise.
 MONEY_SCALE = 10_000
 
 
-def money_sum(column: str | Column) -> Column:
-    """Exact sum of a money column, as double.
+def money_sum(column: str | Column, scale: int = MONEY_SCALE) -> Column:
+    """Sum of a money column in whole ``1 / scale`` units, as double.
 
-    Adding doubles depends on the row order; adding integers does not, and stays on primitive
-    values in generated code, unlike wide decimals. An overflow raises.
+    Every value is rounded to such a unit first: amounts of up to four decimals, which all money
+    columns here have, are kept as they are. Adding doubles depends on the row order; adding
+    integers does not, and stays on primitive values in generated code, unlike wide decimals. An
+    overflow raises. The sum is exact up to 2**53 units; beyond, the double result is the nearest.
     """
     value = F.col(column) if isinstance(column, str) else column
-    units = F.rint(value.cast("double") * MONEY_SCALE).cast("bigint")
-    return F.sum(units) / F.lit(float(MONEY_SCALE))
+    units = F.rint(value.cast("double") * scale).cast("bigint")
+    return F.sum(units) / F.lit(float(scale))
 
 
 def ratio(numerator: str | Column, denominator: str | Column) -> Column:

@@ -106,41 +106,84 @@ def f_tail(f: float, numerator_dof: float, denominator_dof: float) -> float:
     return beta_regularised(denominator_dof / 2.0, numerator_dof / 2.0, x)
 
 
+SMALL_GROUP = 8
+
+
+def _partitions_within(m: int):
+    """A function N -> partitions of all integers up to N into parts of at most ``m``.
+
+    The generating function 1 / ((1 - q)(1 - q)(1 - q^2)...(1 - q^m)) over a common denominator
+    (1 - q^L)^(m + 1) has a numerator of fixed length, so N may be of any size.
+    """
+    parts = [1, *range(1, m + 1)]
+    period = math.lcm(*parts)
+    top = [1]
+    for part in parts:
+        longer = [0] * (len(top) + period - part)
+        for shift in range(0, period, part):
+            for i, ways in enumerate(top):
+                longer[i + shift] += ways
+        top = longer
+    k = len(parts)
+
+    def count(n: int) -> int:
+        if n < 0:
+            return 0
+        return sum(
+            top[r] * math.comb((n - r) // period + k - 1, k - 1)
+            for r in range(n % period, min(n + 1, len(top)), period)
+        )
+
+    return count
+
+
 def rank_sum_exact_two_sided(u: float, n1: int, n2: int) -> float:
     """Exact two-sided p-value of the Mann-Whitney U statistic without ties.
 
-    The number of arrangements with each value of U is read off the Gaussian binomial
-    coefficient, built with exact integers.
+    Arrangements with a U of at most t are the partitions that fit into an n1 x n2 box. With a
+    group of at most eight rows they are counted in time and memory that do not depend on the
+    other group; two larger groups take n1 * n2 integers.
     """
     small, large = sorted((n1, n2))
-    ways = [1] + [0] * (small * large)
-    for i in range(1, small + 1):
-        for value in range(len(ways) - 1, large + i - 1, -1):
-            ways[value] -= ways[value - large - i]
-        for value in range(i, len(ways)):
-            ways[value] += ways[value - i]
-    tail = sum(ways[math.ceil(max(u, n1 * n2 - u)) :])
-    return min(1.0, 2.0 * (tail / sum(ways)))
-
-
-# The exact count costs n1 * n2 steps on the driver, so it stays with small samples.
-_EXACT_STEPS = 5_000_000
+    tail = n1 * n2 - math.ceil(max(u, n1 * n2 - u))
+    if small > SMALL_GROUP:
+        ways = [1] + [0] * (small * large)
+        for i in range(1, small + 1):
+            for value in range(len(ways) - 1, large + i - 1, -1):
+                ways[value] -= ways[value - large - i]
+            for value in range(i, len(ways)):
+                ways[value] += ways[value - i]
+        below = sum(ways[: tail + 1])
+    else:
+        count = _partitions_within(small)
+        # Parts longer than the box are taken out by inclusion and exclusion.
+        shifts = {0: 1}
+        for i in range(1, small + 1):
+            for shift, sign in list(shifts.items()):
+                shifts[shift + large + i] = shifts.get(shift + large + i, 0) - sign
+        below = sum(sign * count(tail - shift) for shift, sign in shifts.items())
+    return min(1.0, 2 * below / math.comb(n1 + n2, small))
 
 
 def rank_sum_p_value(
-    u1: float, n1: int, n2: int, tie_term: float
+    u1: float, n1: int, n2: int, tie_term: float, method: str = "auto"
 ) -> tuple[float | None, float | None, str]:
     """z, two-sided p-value and the method used for one Mann-Whitney test.
 
-    A group of at most eight rows without ties gets the exact count, everything else the
-    normal approximation with tie and continuity correction.
+    ``exact`` counts arrangements and raises if there are ties, ``asymptotic`` is the normal
+    approximation with tie and continuity correction, and ``auto`` is exact if a group has at most
+    eight rows and there are no ties.
     """
+    if method not in ("auto", "exact", "asymptotic"):
+        raise ValueError(f"unknown method {method!r}")
     if n1 == 0 or n2 == 0:
         return None, None, "empty group"
+    if method == "exact" and tie_term:
+        raise ValueError("the exact test needs values without ties; set method='asymptotic'")
     n = n1 + n2
     variance = n1 * n2 / 12.0 * ((n + 1) - tie_term / (n * (n - 1))) if n > 1 else 0.0
     gap = max(u1, n1 * n2 - u1) - n1 * n2 / 2.0 - 0.5
     z = gap / math.sqrt(variance) if variance > 0.0 else None
-    if min(n1, n2) <= 8 and tie_term == 0 and n1 * n2 <= _EXACT_STEPS:
+    if method == "exact" or method == "auto" and min(n1, n2) <= SMALL_GROUP and not tie_term:
         return z, rank_sum_exact_two_sided(u1, n1, n2), "exact"
     return z, None if z is None else normal_two_sided(z), "asymptotic"

@@ -10,7 +10,6 @@ from basketry.functions.columns import money_sum, ratio
 from basketry.operators import group_tests
 from basketry.operators.business import in_window
 from basketry.operators.ranks import group_medians, top_share_cutoff, with_cume_dist
-from basketry.operators.skew import table_lookup
 from basketry.params import DEMOGRAPHIC_COLUMNS, ChurnParams, Window
 from basketry.sources.storage import stage
 
@@ -133,8 +132,9 @@ def household_department(
 ) -> DataFrame:
     """Baseline revenue per household and department.
 
-    Summed per household and product before the join. A product table too large to broadcast
-    is joined on salted keys, which spread a product that nearly everybody buys.
+    Summed per household and product before the join, so a product that everybody buys has one
+    row per household. Spark broadcasts the products if their measured size allows it, and splits
+    a partition of a sort-merge join that such a product makes too large.
     """
     baseline = Window(window.start_week, last_baseline_week(window, params))
     bought = (
@@ -142,12 +142,7 @@ def household_department(
         .groupBy("household_key", "product_id")
         .agg(money_sum("sales_value").alias("revenue"))
     )
-    named = table_lookup(
-        bought,
-        products.select("product_id", "department"),
-        on=["product_id"],
-        spread_by=["household_key"],
-    )
+    named = bought.join(products.select("product_id", "department"), "product_id")
     return named.groupBy("household_key", "department").agg(
         money_sum("revenue").alias("department_revenue")
     )

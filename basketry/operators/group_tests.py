@@ -50,14 +50,17 @@ def rank_sums(frame: DataFrame, test: str, value: str, key: str, is_first: Colum
     return sums.select(test, "n1", "n2", u1.alias("u"), "tie_term", z.alias("z"))
 
 
-def add_rank_sum_p_values(sums: DataFrame) -> DataFrame:
-    """``rank_sums`` rows with ``p_value`` and ``method``.
+def add_rank_sum_p_values(sums: DataFrame, method: str = "auto") -> DataFrame:
+    """``rank_sums`` rows with ``p_value`` and the ``method`` used (see ``rank_sum_p_value``).
 
     There is one row per test; the rows are finished on the driver and become a new table, so
     the job behind them runs once.
     """
     rows = [
-        (*row, *tails.rank_sum_p_value(row["u"], row["n1"], row["n2"], row["tie_term"])[1:])
+        (
+            *row,
+            *tails.rank_sum_p_value(row["u"], row["n1"], row["n2"], row["tie_term"], method)[1:],
+        )
         for row in sums.collect()
     ]
     schema = T.StructType(list(sums.schema.fields)).add("p_value", "double").add("method", "string")

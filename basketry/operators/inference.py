@@ -157,16 +157,32 @@ def fit_models(
         )
         for a, b in pairs
     ]
+    outcomes = sorted({model.outcome for model in models.values()})
+    # A member without a logarithm in some week would drop out of the sums but not of the counts.
+    unusable = " OR ".join(
+        f"{name}_{t} IS NULL OR isnan({name}_{t})" for name in outcomes for t in range(weeks)
+    )
     clusters = stage(
-        wide.groupBy("product_id").agg(F.count(F.lit(1)).alias("members"), *sums), "cluster-sums"
+        wide.groupBy("product_id").agg(
+            F.count(F.lit(1)).alias("members"),
+            F.count_if(F.expr(unusable)).alias("unusable"),
+            *sums,
+        ),
+        "cluster-sums",
     )
     totals = clusters.agg(
         F.count(F.lit(1)).alias("clusters"),
         F.sum("members").alias("members"),
+        F.sum("unusable").alias("unusable"),
         *(F.sum(_cell(a, b)).alias(_cell(a, b)) for a, b in pairs),
     ).first()
     if totals["clusters"] == 0:
         raise ValueError("no events")
+    if totals["unusable"]:
+        raise ValueError(
+            f"{totals['unusable']} event members have an outcome of -1 or less in some week, "
+            "which has no logarithm; leave their events out or correct the quantities"
+        )
 
     inverses: dict[str, np.ndarray] = {}
     betas: dict[str, np.ndarray] = {}

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 SALTS = 16
 
-# Rows of a narrow table that surely fit in every executor's memory.
-BROADCAST_ROWS = 500_000
-
 
 def salted_lookup(
     fact: DataFrame,
@@ -31,20 +28,3 @@ def salted_lookup(
     salted = fact.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "_salt"], how).drop("_salt")
-
-
-def table_lookup(
-    fact: DataFrame,
-    table: DataFrame,
-    on: Sequence[str],
-    spread_by: Sequence[str],
-    how: str = "inner",
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Look up a stored table: broadcast if its row count is small, salted otherwise.
-
-    The count stops one row past the limit, and Parquet answers it from the footers.
-    """
-    if table.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return fact.join(F.broadcast(table), list(on), how)
-    return salted_lookup(fact, table, on, spread_by, how)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from basketry.operators import business, churn, cohorts, inference, promo, rfm
 from basketry.operators.inference import Model
@@ -190,6 +192,26 @@ def analyze(tables: Tables, window: Window, params: JobParams) -> dict[str, Data
     return results
 
 
+#: Rows of a written result come in this order; a minus sign means descending. Results that are not
+#: listed are ordered by their columns from the left.
+ORDER = {
+    "rfm_segments": ("segment_order",),
+    "rfm_segmented": ("household_key",),
+    "churn_rows": ("household_key",),
+    "category_share": ("category_level", "revenue_rank"),
+}
+
+
+def in_order(name: str, frame: DataFrame) -> DataFrame:
+    """``frame`` sorted for readers: by range, so a large result is not sorted in one task."""
+    plain = {f.name for f in frame.schema.fields if isinstance(f.dataType, T.AtomicType)}
+    wanted = [x for x in ORDER.get(name, ()) if x.lstrip("-") in plain]
+    keys = wanted or [x for x in frame.columns if x in plain]
+    return frame.orderBy(
+        *(F.col(x[1:]).desc() if x.startswith("-") else F.col(x).asc_nulls_first() for x in keys)
+    )
+
+
 def write_results(results: Mapping[str, DataFrame], report_dir: str) -> None:
     for name, frame in results.items():
-        frame.write.mode("overwrite").json(f"{report_dir}/{name}")
+        in_order(name, frame).write.mode("overwrite").json(f"{report_dir}/{name}")

@@ -9,7 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.functions.columns import round_doubles, snake_case, trim_strings
-from basketry.operators import business, churn, clean, cohorts, inference, promo, quality, rfm
+from basketry.operators import (
+    business,
+    churn,
+    clean,
+    cohorts,
+    group_tests,
+    inference,
+    promo,
+    quality,
+    rfm,
+)
 from basketry.params import ChurnParams, JobParams, PromoParams, QualityParams, Window
 from basketry.plans import analyze, quality_gate, report
 from basketry.plans.prepare import write_clean
@@ -575,3 +585,26 @@ def results_metrics(spark, folder):
     tables = retail_tables(spark, folder)
     tables["promo_product_week"] = product_weeks(spark, folder)
     return analyze.analyze(tables, WINDOW, PARAMS)["results_metrics"]
+
+
+# --- exact rank test --------------------------------------------------------------------------
+
+
+@query
+def rank_sum_exact(spark, folder):
+    """Account balances of a region's nations against all others: small groups, no ties."""
+    customers, nations, regions = (
+        spark.read.parquet(f"{folder}/{name}.parquet") for name in ("customer", "nation", "region")
+    )
+    balances = (
+        customers.groupBy(F.col("c_nationkey").alias("n_nationkey"))
+        .agg(F.sum(F.rint(F.col("c_acctbal") * 100).cast("bigint")).cast("double").alias("balance"))
+        .join(nations, "n_nationkey")
+    )
+    every = regions.agg(F.sort_array(F.collect_set("r_regionkey"))).scalar()  # five regions
+    rows = balances.withColumn("test", F.explode(every))
+    sums = group_tests.rank_sums(
+        rows, "test", "balance", "n_nationkey", F.col("n_regionkey") == F.col("test")
+    )
+    tested = group_tests.add_rank_sum_p_values(sums, "exact")
+    return tested.select("test", "n1", "n2", "u", "p_value", "method")

@@ -1228,4 +1228,31 @@ def build() -> dict[str, str]:
             long("on_display", "promo", "treated control"),
         ]
     )
+    sql["rank_sum_exact"] = EXACT_RANK_SUM
     return sql
+
+
+# All 53,130 ways to choose the ranks of five nations out of 25 are counted one by one.
+EXACT_RANK_SUM = """
+WITH balance AS (
+  SELECT n_nationkey, n_regionkey, sum(CAST(round(c_acctbal * 100) AS BIGINT)) AS b
+  FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL
+), ranked AS (
+  SELECT *, rank() OVER (ORDER BY b) AS r FROM balance
+), tests AS (
+  SELECT t.r_regionkey AS test, count(*) FILTER (n_regionkey = t.r_regionkey) AS n1,
+         count(*) FILTER (n_regionkey <> t.r_regionkey) AS n2,
+         sum(r) FILTER (n_regionkey = t.r_regionkey) AS rank_sum
+  FROM ranked, region t GROUP BY 1
+), ways AS (
+  SELECT a.i + b.i + c.i + d.i + e.i - 15 AS u, count(*) AS n
+  FROM range(1, 26) a(i), range(1, 26) b(i), range(1, 26) c(i), range(1, 26) d(i), range(1, 26) e(i)
+  WHERE a.i < b.i AND b.i < c.i AND c.i < d.i AND d.i < e.i GROUP BY 1
+)
+SELECT test, n1, n2, CAST(rank_sum - 15 AS DOUBLE) AS u,
+       round(least(1.0, 2 * (SELECT sum(n) FROM ways
+                             WHERE ways.u >= greatest(rank_sum - 15, 115 - rank_sum)) / 53130.0), 6)
+         AS p_value,
+       'exact' AS method
+FROM tests
+"""

@@ -120,3 +120,17 @@ def test_collinear_covariate(spark, members):
     with_it = inference.estimate_did(frame, "units", 0.95, K, ("display_share",)).first()
     without = inference.estimate_did(frame, "units", 0.95, K).first()
     assert with_it["coefficient"] == pytest.approx(without["coefficient"], abs=1e-8)
+
+
+def test_outcomes_without_a_logarithm_raise(spark, members):
+    broken = [list(row) for row in members]
+    for place, units in ((0, -1.0), (3, -2.0)):
+        history = [list(step) for step in broken[place][4]]
+        history[K][1] = units
+        broken[place][4] = [tuple(step) for step in history]
+    frame = spark.createDataFrame([tuple(row) for row in broken], SCHEMA)
+    models = {"units": inference.did_model("units")}
+    with pytest.raises(ValueError, match="2 event members have an outcome of -1 or less"):
+        inference.fit_events(frame, models, K)
+    # Revenue is sound, so models of it go on.
+    inference.fit_events(frame, {"revenue": inference.did_model("revenue")}, K)

@@ -60,3 +60,32 @@ def test_rank_sum_method():
     assert tails.rank_sum_p_value(0.0, 0, 3, 0.0) == (None, None, "empty group")
     # All values tied: no variance, no p-value.
     assert tails.rank_sum_p_value(2.0, 2, 2, 60.0)[1] is None
+
+
+@pytest.mark.parametrize("small", [1, 2, 5, 8])
+def test_exact_rank_sum_of_a_small_group_needs_no_table(small):
+    """The closed count equals counting every arrangement, and stays exact for large groups."""
+    from itertools import combinations
+
+    for large in (small, small + 3):
+        sums = [sum(c) for c in combinations(range(1, small + large + 1), small)]
+        low = small * (small + 1) // 2
+        for u in range(small * large + 1):
+            top = max(u, small * large - u)
+            want = min(1.0, 2 * sum(s - low >= top for s in sums) / len(sums))
+            assert tails.rank_sum_exact_two_sided(float(u), small, large) == pytest.approx(want)
+    # Every value of the small group above 3 million others: one arrangement of all.
+    extreme = tails.rank_sum_exact_two_sided(0.0, small, 3_000_000)
+    assert extreme == pytest.approx(2 / math.comb(3_000_000 + small, small))
+
+
+def test_the_method_is_never_changed():
+    u, n = 4.0 * 2_000_000, 2_000_000
+    z, exact, method = tails.rank_sum_p_value(u * 1.01, 8, n, 0.0)
+    assert method == "exact"
+    z, near, method = tails.rank_sum_p_value(u * 1.01, 8, n, 0.0, "asymptotic")
+    assert method == "asymptotic" and near == pytest.approx(exact, rel=0.01)
+    assert tails.rank_sum_p_value(40.0, 9, 12, 0.0)[2] == "asymptotic"
+    assert tails.rank_sum_p_value(40.0, 9, 12, 0.0, "exact")[2] == "exact"
+    with pytest.raises(ValueError, match="without ties"):
+        tails.rank_sum_p_value(1.0, 3, 3, 6.0, "exact")
