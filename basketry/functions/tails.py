@@ -7,6 +7,7 @@ over the data that produce them are Spark jobs.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 _TINY = 1e-300
 _EPS = 1e-15
@@ -109,6 +110,7 @@ def f_tail(f: float, numerator_dof: float, denominator_dof: float) -> float:
 SMALL_GROUP = 8
 
 
+@lru_cache
 def _partitions_within(m: int):
     """A function N -> partitions of all integers up to N into parts of at most ``m``.
 
