@@ -14,6 +14,16 @@ def in_window(window: Window) -> Column:
     return F.col("week_no").between(window.start_week, window.end_week)
 
 
+def baskets(transactions: DataFrame) -> DataFrame:
+    """Purchases summed per household, basket and week, with the last day.
+
+    Operators that need no product take this table in place of the lines.
+    """
+    return transactions.groupBy("household_key", "basket_id", "week_no").agg(
+        F.max("day").alias("day"), money_sum("sales_value").alias("sales_value")
+    )
+
+
 def weekly_kpi(transactions: DataFrame, window: Window) -> DataFrame:
     """Revenue, baskets, active households, average basket and change to the week before.
 
@@ -91,14 +101,17 @@ def top3_department_share(shares: DataFrame) -> DataFrame:
     return shares.where(first).agg(F.sum("revenue_share").alias("top3_department_share"))
 
 
-def business_totals(transactions: DataFrame, window: Window) -> DataFrame:
-    """Totals of the window and averages per week, one row."""
+def business_totals(
+    transactions: DataFrame, window: Window, weekly: DataFrame | None = None
+) -> DataFrame:
+    """Totals of the window and averages per week, one row; ``weekly`` is a ready ``weekly_kpi``."""
     totals = transactions.where(in_window(window)).agg(
         money_sum("sales_value").alias("total_revenue"),
         F.count_distinct("basket_id").alias("total_baskets"),
         F.count_distinct("household_key").alias("active_households"),
     )
-    averages = weekly_kpi(transactions, window).agg(
+    weekly = weekly_kpi(transactions, window) if weekly is None else weekly
+    averages = weekly.agg(
         F.struct(
             F.avg("revenue").alias("revenue"),
             F.avg("baskets").alias("baskets"),

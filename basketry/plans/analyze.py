@@ -17,23 +17,29 @@ from basketry.sources.storage import stage
 Tables = Mapping[str, DataFrame]
 
 
+def basket_table(tables: Tables) -> DataFrame:
+    """The shared basket table where ``analyze`` has made one, else the lines themselves."""
+    return tables.get("baskets", tables["transaction_data"])
+
+
 def business_section(tables: Tables, window: Window, params: JobParams) -> dict[str, DataFrame]:
-    lines = tables["transaction_data"]
-    weekly = business.weekly_kpi(lines, window)
+    baskets = basket_table(tables)
+    weekly = stage(business.weekly_kpi(baskets, window), "weekly-kpi")
     shares = business.category_share(
-        lines, tables["product"], window, params.business.top_categories
+        tables["transaction_data"], tables["product"], window, params.business.top_categories
     )
+    shares = stage(shares, "category-share")
     return {
         "weekly_kpi": weekly,
         "category_share": shares,
-        "business_totals": business.business_totals(lines, window),
+        "business_totals": business.business_totals(baskets, window, weekly),
         "trend_change": business.trend_change(weekly, params.business.trend_weeks),
         "top3_department_share": business.top3_department_share(shares),
     }
 
 
 def rfm_section(tables: Tables, window: Window, params: JobParams) -> dict[str, DataFrame]:
-    metrics = stage(rfm.rfm_metrics(tables["transaction_data"], window), "rfm-metrics")
+    metrics = stage(rfm.rfm_metrics(basket_table(tables), window), "rfm-metrics")
     rules = params.rfm.segments
     segmented = rfm.assign_segments(rfm.rfm_scores(metrics, params.rfm.score_buckets), rules)
     summary = rfm.segment_summary(segmented, rules)
@@ -49,9 +55,7 @@ def rfm_section(tables: Tables, window: Window, params: JobParams) -> dict[str,
 def cohort_section(tables: Tables, window: Window, params: JobParams) -> dict[str, DataFrame]:
     settings = params.cohorts
     activity = stage(
-        cohorts.cohort_activity(
-            tables["transaction_data"], window.end_week, settings.period_weeks
-        ),
+        cohorts.cohort_activity(basket_table(tables), window.end_week, settings.period_weeks),
         "cohort-activity",
     )
     matrix = cohorts.retention_matrix(
@@ -78,7 +82,7 @@ def churn_tables(
 ) -> tuple[DataFrame, DataFrame]:
     """Household table and household-department table, both staged."""
     lines, settings = tables["transaction_data"], params.churn
-    groups = churn.household_groups(lines, window, settings)
+    groups = churn.household_groups(basket_table(tables), window, settings)
     households = churn.churn_households(groups, tables["hh_demographic"])
     departments = churn.household_department(lines, tables["product"], window, settings)
     return stage(households, "churn-households"), stage(departments, "household-department")
@@ -165,7 +169,11 @@ def promo_section(tables: Tables, window: Window, params: JobParams) -> dict[str
 
 
 def analyze(tables: Tables, window: Window, params: JobParams) -> dict[str, DataFrame]:
-    """All result tables by name, with one long table of the key numbers."""
+    """All result tables by name, with one long table of the key numbers.
+
+    Lines are read three times: for the basket table, the categories and the departments.
+    """
+    tables = {**tables, "baskets": stage(business.baskets(tables["transaction_data"]), "baskets")}
     results: dict[str, DataFrame] = {}
     for section in (business_section, rfm_section, cohort_section, churn_section, promo_section):
         results.update(section(tables, window, params))

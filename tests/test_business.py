@@ -79,3 +79,17 @@ def test_totals_and_trend(lines):
     assert trend["basket_value_change"] == pytest.approx(5)
     # Two-week ends overlap in week 2.
     assert business.trend_change(weekly, 2).first()["revenue_change"] == pytest.approx(40 / 15 - 1)
+
+
+def test_basket_table_stands_for_the_lines(lines):
+    frame = lines([(1, 1, 1, 5), (1, 1, 1, 2), (1, 2, 2, 3), (2, 3, 2, 4), (None, 4, 2, 1)])
+    short = business.baskets(frame)
+    assert short.count() == 4
+    window = Window(1, 2)
+    for build in (business.weekly_kpi, business.business_totals):
+        left, right = (sorted(map(tuple, build(f, window).collect())) for f in (frame, short))
+        assert left == right
+    ready = business.weekly_kpi(short, window)
+    assert business.business_totals(short, window, ready).first() == business.business_totals(
+        frame, window
+    ).first()

@@ -5,80 +5,78 @@ import pytest
 from basketry.operators import cohorts
 from conftest import as_dict
 
-END, PERIOD = 6, 2
+END, PERIOD = 11, 3
 
 
 @pytest.fixture(scope="module")
 def activity(lines):
-    """Cohort 0: households 1-3, cohort 1: 4 and 5; week 7 is after the end."""
-    weeks = {1: [1, 3, 5, 7], 2: [2, 6], 3: [1], 4: [3, 4], 5: [4, 5]}
+    """Three cohorts of 4, 3 and 1 households; weeks 10 and 11 are no complete period."""
+    visits = {
+        "first": {"a": (2, 8, 10), "b": (3, 4, 5), "c": (1, 2), "d": (1, 6, 9)},
+        "second": {"e": (5, 7), "f": (6, 12), "g": (4, 9)},
+        "third": {"h": (7,)},
+    }
     rows = [
-        (household, household * 100 + week, week, 5)
-        for household, active in weeks.items()
-        for week in active
+        (ord(name), 1000 + week, week, 2.5)
+        for households in visits.values()
+        for name, weeks in households.items()
+        for week in weeks
     ]
     return cohorts.cohort_activity(lines(rows), END, PERIOD)
 
 
-def matrix(activity, min_size, last=2):
-    rows = cohorts.retention_matrix(activity, min_size, last, PERIOD).collect()
-    return {(row["cohort_period"], row["periods_since_first"]): row["retention"] for row in rows}
+def shares(activity, smallest, last=2):
+    frame = cohorts.retention_matrix(activity, smallest, last, PERIOD)
+    out = {}
+    for row in frame.orderBy("cohort_period", "periods_since_first").collect():
+        out.setdefault(row["cohort_period"], []).append(row["retention"])
+    return out
 
 
-def test_last_full_period():
-    assert cohorts.last_full_period(6, 2) == 2
-    assert cohorts.last_full_period(101, 4) == 24
+@pytest.mark.parametrize("end, length, last", [(11, 3, 2), (12, 3, 3), (53, 4, 12)])
+def test_only_whole_periods_count(end, length, last):
+    assert cohorts.last_full_period(end, length) == last
 
 
-def test_matrix(activity):
-    assert matrix(activity, 1) == {
-        (0, 0): 1.0,
-        (0, 1): pytest.approx(1 / 3),
-        (0, 2): pytest.approx(2 / 3),
-        (1, 0): 1.0,
-        (1, 1): 0.5,
-        (1, 2): None,
+def test_shares_of_three_cohorts(activity):
+    assert shares(activity, 1) == {
+        0: [1.0, 0.5, 0.5],  # b and d return at once, a and d later
+        1: [1.0, pytest.approx(2 / 3), None],
+        2: [1.0, None, None],
     }
 
 
-def test_observed_gap_is_zero(lines):
-    """Nobody of the cohort buys in its second period: 0, not NULL."""
-    rows = [(1, 1, 1, 5), (1, 2, 5, 5)]
-    assert matrix(cohorts.cohort_activity(lines(rows), 6, 2), 1) == {
-        (0, 0): 1.0,
-        (0, 1): 0.0,
-        (0, 2): 1.0,
-    }
+def test_a_period_without_visits_is_zero(lines):
+    seen = cohorts.cohort_activity(lines([(7, 1, 2, 1), (7, 2, 8, 1)]), 9, PERIOD)
+    assert shares(seen, 1) == {0: [1.0, 0.0, 1.0]}
 
 
-def test_small_cohorts_are_dropped(activity):
-    assert {cohort for cohort, _ in matrix(activity, 3)} == {0}
-    assert matrix(activity, 99) == {}
+def test_smallest_cohort_size(activity):
+    assert [sorted(shares(activity, size)) for size in (2, 4, 5)] == [[0, 1], [0], []]
 
 
-def test_incomplete_last_period_is_left_out(lines):
-    rows = [(1, 1, 1, 5), (1, 2, 7, 5), (2, 3, 7, 5)]
-    got = cohorts.cohort_activity(lines(rows), 7, 2).collect()
+def test_visits_after_the_last_whole_period(lines):
+    rows = [(7, 1, 1, 1), (7, 2, 10, 1), (8, 3, 10, 1)]
+    got = cohorts.cohort_activity(lines(rows), 10, PERIOD).collect()
     assert [tuple(row) for row in got] == [(0, 0, 1)]
 
 
-def test_average_is_weighted_over_observed_cells(activity):
-    frame = cohorts.retention_matrix(activity, 1, 2, PERIOD)
-    average = cohorts.average_retention(frame)
+def test_averages_weigh_cohorts_by_size(activity):
+    average = cohorts.average_retention(cohorts.retention_matrix(activity, 1, 2, PERIOD))
     assert as_dict(average, "periods_since_first", "avg_retention") == {
         0: 1.0,
-        1: pytest.approx(2 / 5),
-        2: pytest.approx(2 / 3),
+        1: pytest.approx(4 / 7),
+        2: 0.5,
     }
-    plateau = cohorts.retention_plateau(average).first()
-    assert tuple(plateau) == (pytest.approx(2 / 5), pytest.approx(2 / 3))
+    low, high = cohorts.retention_plateau(average).first()
+    assert (low, high) == (0.5, pytest.approx(4 / 7))
 
 
-def test_headline_and_label(activity):
+def test_headline_and_labels(activity):
     frame = cohorts.retention_matrix(activity, 3, 2, PERIOD)
-    assert {row["cohort_label"] for row in frame.collect()} == {"нед. 1-2"}
+    assert {row["cohort_label"] for row in frame.collect()} == {"нед. 1-3", "нед. 4-6"}
     row = cohorts.cohort_headline(activity, frame, 3, (1, 9)).first()
-    assert row["cohorts_kept"] == 1
-    assert (row["households_in_kept_cohorts"], row["households_in_dropped_cohorts"]) == (3, 2)
-    assert row["retention_period_1"] == pytest.approx(1 / 3)
+    assert row["cohorts_kept"] == 2
+    assert (row["households_in_kept_cohorts"], row["households_in_dropped_cohorts"]) == (7, 1)
+    assert row["retention_period_1"] == pytest.approx(4 / 7)
     assert row["retention_period_9"] is None
