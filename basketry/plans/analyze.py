@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketry.operators import business, churn, cohorts, inference, promo, rfm
+from basketry.operators import business, churn, cohorts, inference, promo, quality, rfm
 from basketry.operators.inference import Model
 from basketry.params import JobParams, PromoParams, Window
 from basketry.plans import report
@@ -22,6 +22,19 @@ def basket_table(tables: Tables) -> DataFrame:
     return tables.get("baskets", tables["transaction_data"])
 
 
+def data_section(tables: Tables, data: Tables) -> dict[str, DataFrame]:
+    """What the numbers rest on, from the preparation's counts and the gate's report."""
+    totals = stage(quality.dataset_totals(tables["transaction_data"]), "dataset-totals")
+    weekly, window = data["weekly_activity"], data["analysis_window"]
+    return {
+        "dataset_totals": totals,
+        "excluded_weeks": report.excluded_weeks(weekly, window),
+        "data_summary": report.data_summary(
+            data["prepare_stats"], data["checks"], window, weekly, totals
+        ),
+    }
+
+
 def business_section(tables: Tables, window: Window, params: JobParams) -> dict[str, DataFrame]:
     baskets = basket_table(tables)
     weekly = stage(business.weekly_kpi(baskets, window), "weekly-kpi")
@@ -163,18 +176,31 @@ def promo_section(tables: Tables, window: Window, params: JobParams) -> dict[str
         "event_study": studies[0],
         "cannibalization_event_study": studies[1],
         "promo_headline": inference.largest_pre_gap(studies[0]),
+        "pretrend_tests": report.pretrend_tests(
+            {"promo": studies[0], "cannibalization": studies[1]}
+        ),
+        "products_left_out": promo.products_left_out(
+            promo.keep_departments(tables["promo_product_week"], settings)
+        ),
         "promo_group_means": promo.group_means(panel, "units"),
         "display_share": promo.display_share(panel),
     }
 
 
-def analyze(tables: Tables, window: Window, params: JobParams) -> dict[str, DataFrame]:
+def analyze(
+    tables: Tables, window: Window, params: JobParams, data: Tables | None = None
+) -> dict[str, DataFrame]:
     """All result tables by name, with one long table of the key numbers.
 
     Lines are read three times: for the basket table, the categories and the departments.
+    ``data`` adds the data section, which reads them once more: ``prepare_stats`` as read by
+    ``read_stats``, and the tables of ``read_report``.
     """
-    tables = {**tables, "baskets": stage(business.baskets(tables["transaction_data"]), "baskets")}
-    results: dict[str, DataFrame] = {}
+    lines = tables["transaction_data"]
+    tables = {**tables, "baskets": stage(business.baskets(lines), "baskets")}
+    results = {"parameters": report.parameters(lines.sparkSession, params, window)}
+    if data is not None:
+        results.update(data_section(tables, data))
     for section in (business_section, rfm_section, cohort_section, churn_section, promo_section):
         results.update(section(tables, window, params))
     results["results_metrics"] = report.results_metrics(
@@ -188,12 +214,26 @@ def analyze(tables: Tables, window: Window, params: JobParams) -> dict[str, Data
                 results["top_customers_share"],
                 results["rfm_segments"].drop("segment_order"),
             ],
-            "cohorts": [results["cohort_headline"], results["retention_plateau"]],
-            "churning_loyal": [results["churn_headline"], results["churn_groups"]],
+            "cohorts": [
+                results["cohort_headline"],
+                results["retention_plateau"],
+                results["cohort_sizes"].withColumn(
+                    "cohort_period", F.col("cohort_period").cast("string")
+                ),
+            ],
+            "churning_loyal": [
+                results["churn_headline"],
+                results["churn_groups"],
+                results["basket_value_test"].select(
+                    "test", "churning_median", "stable_median", "p_value"
+                ),
+            ],
             "promo": [
                 results["did_estimates"].drop("outcome"),
                 results["promo_headline"],
                 results["display_share"],
+                results["pretrend_tests"],
+                results["products_left_out"],
             ],
         }
     )

@@ -18,6 +18,13 @@ COUNTS = (
 )
 
 
+def read_stats(spark: SparkSession, processed_dir: str) -> DataFrame:
+    """The row counts as ``prepare`` stored them."""
+    shares = "removed_share_of_distinct double, removed_share_of_raw double"
+    schema = f"table_name string, {COUNTS}, {shares}"
+    return spark.read.schema(schema).json(f"{processed_dir}/prepare_stats")
+
+
 def write_clean(raw: DataFrame, table: str, processed_dir: str) -> dict[str, int | None]:
     """Deduplicate, drop invalid lines, write, and count, with one evaluation of ``raw``.
 

@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from basketry.operators import quality
 from basketry.params import QualityParams, Window
 from basketry.sources.storage import stage
 
 
+REPORT_SCHEMAS = {
+    "checks": "name string, passed boolean, critical boolean, details string, status string",
+    "weekly_activity": "week_no int, active_households bigint, days bigint",
+    "analysis_window": "start_week int, end_week int, active_households_threshold double",
+}
+
+
 def quality_report(
     tables: Mapping[str, DataFrame], params: QualityParams
 ) -> dict[str, DataFrame]:
@@ -25,6 +32,14 @@ def quality_report(
     }
 
 
+def read_report(spark: SparkSession, report_dir: str) -> dict[str, DataFrame]:
+    """The report as ``run_gate`` wrote it, by the same names."""
+    return {
+        name: spark.read.schema(schema).json(f"{report_dir}/{name}")
+        for name, schema in REPORT_SCHEMAS.items()
+    }
+
+
 def run_gate(
     tables: Mapping[str, DataFrame], params: QualityParams, report_dir: str
 ) -> Window:
@@ -32,11 +47,7 @@ def run_gate(
     report = quality_report(tables, params)
     for name, frame in report.items():
         frame.write.mode("overwrite").json(f"{report_dir}/{name}")
-    spark = report["checks"].sparkSession
-    checks = spark.read.schema(report["checks"].schema).json(f"{report_dir}/checks")
-    quality.raise_on_critical(checks)
-    window = spark.read.schema(report["analysis_window"].schema).json(
-        f"{report_dir}/analysis_window"
-    )
-    row = window.first()
+    written = read_report(report["checks"].sparkSession, report_dir)
+    quality.raise_on_critical(written["checks"])
+    row = written["analysis_window"].first()
     return Window(row["start_week"], row["end_week"])

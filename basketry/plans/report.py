@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import json
+from collections.abc import Iterator, Mapping
+from dataclasses import asdict
 from functools import reduce
+from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.operators.churn import is_loyal_group
+from basketry.params import JobParams, Window
 
 
 def long_metrics(frame: DataFrame, section: str, label: str | None = None) -> DataFrame:
@@ -36,6 +40,20 @@ def results_metrics(sections: Mapping[str, list[DataFrame]]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
+def _dotted(prefix: str, value: Any) -> Iterator[tuple[str, str]]:
+    if isinstance(value, dict):
+        for name, inner in value.items():
+            yield from _dotted(f"{prefix}.{name}" if prefix else name, inner)
+    else:
+        yield prefix, json.dumps(value, ensure_ascii=False)
+
+
+def parameters(spark: SparkSession, params: JobParams, window: Window) -> DataFrame:
+    """Every parameter of a run and its window: dotted name and value as JSON text."""
+    rows = [*_dotted("", asdict(params)), *_dotted("window", asdict(window))]
+    return spark.createDataFrame(rows, "name string, value string")
+
+
 def segments_long(summary: DataFrame) -> DataFrame:
     """Household and revenue share of every segment, one row per metric."""
     return summary.unpivot(["segment"], ["household_share", "revenue_share"], "metric", "share")
@@ -91,3 +109,16 @@ def data_summary(
 def effects_table(estimates: DataFrame) -> DataFrame:
     """Effect in percent with its interval, one row per estimate."""
     return estimates.select("estimate", "effect_pct", "effect_pct_ci_low", "effect_pct_ci_high")
+
+
+def pretrend_tests(studies: Mapping[str, DataFrame]) -> DataFrame:
+    """Joint test of the weeks before the last one, one row per event study."""
+    return reduce(
+        DataFrame.unionByName,
+        [
+            study.where("rel_week = -1").select(
+                F.lit(name).alias("study"), "pretrend_f", "pretrend_p_value"
+            )
+            for name, study in studies.items()
+        ],
+    )

@@ -565,19 +565,29 @@ def promo_effects(spark, folder):
 # --- documents --------------------------------------------------------------------------------
 
 
+@query
+def products_left_out(spark, folder):
+    """Every fifth part name loses its sub-commodity here, every other third one its commodity."""
+    number, kept = F.col("product_id"), kept_product_weeks(spark, folder)
+    return promo.products_left_out(
+        kept.withColumns(
+            {
+                "sub_commodity_desc": F.when(number % 5 != 0, F.col("sub_commodity_desc")),
+                "commodity_desc": F.when(number % 3 != 0, F.col("commodity_desc")),
+            }
+        )
+    )
+
+
 @query
 def data_summary(spark, folder):
     checked = checked_tables(spark, folder)
     gate = quality_gate.quality_report(
         {**checked, "transaction_data": source.transactions(spark, folder)}, PARAMS.quality
     )
-    return report.data_summary(
-        clean.prepare_stats(raw_tables(spark, folder)),
-        gate["checks"],
-        gate["analysis_window"],
-        gate["weekly_activity"],
-        quality.dataset_totals(source.transactions(spark, folder)),
-    )
+    gate["prepare_stats"] = clean.prepare_stats(raw_tables(spark, folder))
+    lines = {"transaction_data": source.transactions(spark, folder)}
+    return analyze.data_section(lines, gate)["data_summary"]
 
 
 @query

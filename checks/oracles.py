@@ -1101,13 +1101,14 @@ def build() -> dict[str, str]:
         SELECT household_group, unnest(['baseline_baskets', 'recent_baskets']) AS period,
                round(unnest([baseline_baskets, recent_baskets]), 6) AS baskets
         FROM group_rows WHERE household_group <> 'other'""")
-    sql["basket_value_test"] = select(
-        f"""(SELECT s.*, {normal_p("s.z")} AS p_value, 'asymptotic' AS method,
+    value_test = f"""(SELECT s.*, {normal_p("s.z")} AS p_value, 'asymptotic' AS method,
                     (SELECT median(avg_basket_value) FROM grouped
                      WHERE household_group = 'churning_loyal') AS churning_median,
                     (SELECT median(avg_basket_value) FROM grouped
                      WHERE household_group = 'stable_loyal') AS stable_median
-             FROM value_sums s)""",
+             FROM value_sums s)"""
+    sql["basket_value_test"] = select(
+        value_test,
         "test n1 n2 method",
         "churning_median stable_median u tie_term z p_value",
     )
@@ -1173,6 +1174,15 @@ def build() -> dict[str, str]:
     sql["promo_headline"] = select("pre_gap", "", "max_pre_gap_pct")
     sql["promo_effects"] = select("estimates", "estimate", _EFFECT)
 
+    sql["products_left_out"] = statement("""
+        SELECT count(DISTINCT product_id)
+                   FILTER (sub_commodity_desc IS NULL OR product_id % 5 = 0)
+                   AS products_without_sub_commodity,
+               count(DISTINCT product_id)
+                   FILTER (sub_commodity_desc IS NOT NULL AND product_id % 5 <> 0
+                           AND (commodity_desc IS NULL OR product_id % 3 = 0))
+                   AS products_without_commodity
+        FROM shelf_kept""")
     sql["data_summary"] = union_all(
         [
             long("counts", "tables", f"{_COUNTS} removed_share_of_raw", "table_name"),
@@ -1212,12 +1222,14 @@ def build() -> dict[str, str]:
             long("segments", "rfm", f"households {_SEGMENT}", "segment"),
             long("cohort_facts", "cohorts", f"{_KEPT} {_AT_NAMES}"),
             long("plateau", "cohorts", "retention_plateau_min retention_plateau_max"),
+            long("cohort_size", "cohorts", "households", "cohort_period"),
             long(
                 "churn_facts",
                 "churning_loyal",
                 f"churning_households loyal_households {_CHURN_SHARES}",
             ),
             long("group_rows", "churning_loyal", f"households {_GROUP}", "household_group"),
+            long(value_test, "churning_loyal", "churning_median stable_median p_value", "test"),
             long(
                 "estimates",
                 "promo",
@@ -1226,6 +1238,25 @@ def build() -> dict[str, str]:
             ),
             long("pre_gap", "promo", "max_pre_gap_pct"),
             long("on_display", "promo", "treated control"),
+            long(
+                """(SELECT 'promo' AS study, * FROM promo_study WHERE rel_week = -1
+                    UNION ALL BY NAME
+                    SELECT 'cannibalization' AS study, * FROM sibling_study
+                    WHERE rel_week = -1)""",
+                "promo",
+                "pretrend_f pretrend_p_value",
+                "study",
+            ),
+            long(
+                """(SELECT count(DISTINCT product_id) FILTER (sub_commodity_desc IS NULL)
+                               AS products_without_sub_commodity,
+                           count(DISTINCT product_id)
+                               FILTER (sub_commodity_desc IS NOT NULL AND commodity_desc IS NULL)
+                               AS products_without_commodity
+                    FROM shelf_kept)""",
+                "promo",
+                "products_without_sub_commodity products_without_commodity",
+            ),
         ]
     )
     sql["rank_sum_exact"] = EXACT_RANK_SUM

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from basketry.operators import quality
 from basketry.params import CohortParams, JobParams, PlacementCodes, PromoParams, QualityParams
 from basketry.plans.analyze import analyze, write_results
-from basketry.plans.prepare import prepare
-from basketry.plans.quality_gate import run_gate
+from basketry.plans.prepare import prepare, read_stats
+from basketry.plans.quality_gate import read_report, run_gate
 from basketry.sources import storage, tables
 from basketry.sources.schemas import PROCESSED_TABLES, RAW_SCHEMAS
 
@@ -150,7 +150,11 @@ def test_gate_and_analysis(spark, processed, tmp_path):
         cohorts=CohortParams(period_weeks=2, min_cohort_size=1, report_periods=(1, 2)),
         promo=PromoParams(pre_weeks=2, min_pre_weeks_with_sales=1, excluded_departments=()),
     )
-    results = analyze(got, window, params)
+    data = {
+        **read_report(spark, str(tmp_path / "quality")),
+        "prepare_stats": read_stats(spark, processed[0]),
+    }
+    results = analyze(got, window, params, data)
     write_results(results, str(tmp_path / "results"))
     metrics = {
         (row["section"], row["metric"], row["label"]): row["value"]
@@ -160,6 +164,19 @@ def test_gate_and_analysis(spark, processed, tmp_path):
     assert metrics["rfm", "share_bought_in_last_week", ""] == 1.0
     assert metrics["cohorts", "retention_period_1", ""] == 1.0
     assert metrics["promo", "treated_units", "units"] == 1
+    assert metrics["promo", "products_without_sub_commodity", ""] == 0
+    assert metrics["cohorts", "households", "0"] == HOUSEHOLDS
+    assert "p_value" in {m for s, m, label in metrics if (s, label) == ("churning_loyal", "avg_basket_value")}
+    summary = {
+        (row["section"], row["metric"], row["label"]): row["value"]
+        for row in spark.read.json(str(tmp_path / "results/data_summary")).collect()
+    }
+    assert summary["tables", "rows_clean", "transaction_data"] == WEEKS * HOUSEHOLDS * 2
+    assert summary["tables", "duplicates_removed", "transaction_data"] == 1
+    assert summary["analysis_window", "end_week", ""] == WEEKS
+    assert summary["totals", "households", ""] == HOUSEHOLDS
+    used = {r["name"]: r["value"] for r in spark.read.json(str(tmp_path / "results/parameters")).collect()}
+    assert used["cohorts.report_periods"] == "[1, 2]" and used["window.end_week"] == str(WEEKS)
     assert results["rfm_segments"].agg(F.sum("households")).first()[0] == HOUSEHOLDS
 
 
