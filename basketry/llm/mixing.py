@@ -250,7 +250,8 @@ def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     """The mixture itself, in the columns of ``docs``: whole copies, and parts at the run's ends."""
     rows = mixed(docs, params)
     whole = F.col("_part") + F.col("_wrap") == F.col("_size")
-    copies = F.col("_rounds") + F.when(whole & (F.col("_size") > 0), 1).otherwise(0)
+    rounds = F.col("_rounds") + F.when(whole, 1).otherwise(0)
+    copies = F.when(F.col("_size") > 0, rounds).otherwise(0)
     text = F.col("_text")
     pieces = F.concat(
         F.array_repeat(text, copies.cast("int")),

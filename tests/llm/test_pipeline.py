@@ -1,0 +1,112 @@
+"""Every stage of the pipeline against brute force on its own input."""
+
+import re
+from collections import Counter, defaultdict
+
+import pytest
+from test_line_operators import expected_figures, expected_windows
+from test_mixing_packing import check_mix
+from test_simhash import expected_fingerprint, expected_groups
+
+import corpus_pipeline
+from basketry.llm import mixing, packing
+from basketry.sources.storage import stage
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    """The documents, then what each stage made of them."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    out = [docs]
+    for name, function in corpus_pipeline.STAGES:
+        docs = stage(function(spark, docs, FOLDER), name)
+        out.append(docs)
+    return out
+
+
+def texts(frame):
+    return sorted((r["doc_id"], r["text"] or "") for r in frame.collect())
+
+
+def n_words(text):
+    return len(text.encode().split())
+
+
+def normal(line):
+    lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in line)
+    return re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[1-9]", "0", lower)).strip(" ")
+
+
+def expected_rules(rows):
+    """Documents that stay, with their text; ``rows`` are (id, text, source)."""
+    holders, hosts = defaultdict(set), defaultdict(set)
+    for _, text, host in rows:
+        for line in text.split("\n"):
+            if n_words(line):
+                holders[host, normal(line)].add(text)
+                hosts[host].add(text)
+    out = []
+    for doc, text, host in rows:
+        total, _, _, _, repeated = expected_figures(text)
+        limit = max(10, 0.001 * len(hosts[host]))
+        lines = text.split("\n")
+        stays = [x for x in lines if not n_words(x) or len(holders[host, normal(x)]) <= limit]
+        left = sum(map(n_words, stays))
+        if total >= 10 and 100 * repeated <= 20 * total and left >= max(10, 0.2 * total):
+            out.append((doc, "\n".join(stays)))
+    return sorted(out)
+
+
+def test_stages_are_the_dealt_ones_and_keep_the_columns(tables):
+    names = ["quality_rules", "line_dedup", "simhash_near_dedup", "mix_sources", "pack"]
+    assert [name for name, _ in corpus_pipeline.STAGES] == names
+    for frame in tables[1:-1]:
+        assert frame.columns == tables[0].columns
+
+
+def test_quality_rules(tables):
+    rows = [(r["doc_id"], r["text"] or "", r["source"]) for r in tables[0].collect()]
+    assert texts(tables[1]) == expected_rules(rows)
+
+
+def test_line_dedup(tables):
+    assert texts(tables[2]) == sorted((i, t) for i, t, _ in expected_windows(texts(tables[1])))
+
+
+def test_near_duplicates(tables):
+    rows = texts(tables[2])
+    groups = expected_groups([(i, expected_fingerprint(t)) for i, t in rows])
+    assert texts(tables[3]) == [(i, t) for i, t in rows if i in set(groups.values())]
+
+
+def test_mix(tables):
+    rows = [(r["doc_id"], r["text"] or "", r["source"]) for r in tables[3].collect()]
+    check_mix(tables[3], rows, 40)
+    written = Counter()
+    for doc, text in texts(tables[4]):
+        written[doc] += n_words(text)
+    counted = {r["_id"]: r["_taken"] for r in mixing.mixed(tables[3]).collect() if r["_taken"]}
+    assert written == counted
+
+
+def test_pack(tables):
+    packed = tables[5].collect()
+    words, given, params = Counter(), Counter(), packing.PackParams()
+    for r in packed:
+        words[r["doc_id"]] += r["n_words"]
+        assert r["n_words"] + r["padding"] == r["bucket"]
+    for doc, text in texts(tables[4]):
+        given[doc] += n_words(text)
+    assert words == given
+    lengths = Counter(r["n_words"] for r in packed)
+    order = sorted(lengths)
+    best = packing.best_boundaries(order, [lengths[x] for x in order], params.buckets)
+    assert (sorted({r["bucket"] for r in packed}), sum(r["padding"] for r in packed)) == best
+
+
+def test_run_gives_the_rows_of_its_stages(spark, tables):
+    got = corpus_pipeline.run(spark, FOLDER)
+    assert got.columns == tables[5].columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, tables[5].collect()))
