@@ -8,6 +8,10 @@ of as many rows as the token budget holds at the bucket's length.
 Null and empty texts have one piece without words, in the shortest bucket. Repeated rows are
 packed once each. Ties in the seeded order are broken by the row's hashes; rows that still tie are
 equal. An empty table gives no buckets and no rows.
+
+Every piece carries its text, so batches can be filled from the result alone: pieces of a row,
+joined in order, are its text, blanks included. ``row_key`` is equal for the pieces of one row and
+tells rows of the same ``doc_id`` apart (a whole and a partial copy, say); repeated rows share it.
 """
 
 from __future__ import annotations
@@ -20,7 +24,6 @@ from pyspark.sql import functions as F
 
 from basketry.llm.common import packed, word_count
 from basketry.operators.ranks import global_rank
-from basketry.sources.storage import stage
 
 
 @dataclass(frozen=True)
@@ -71,14 +74,54 @@ def best_boundaries(lengths: list[int], counts: list[int], buckets: int) -> tupl
     return ends[::-1], int(cost[n])
 
 
-def pieces(docs: DataFrame, params: PackParams) -> DataFrame:
-    """One row per piece of at most ``longest`` words: ``_piece`` from 0, ``_length`` words."""
+#: A word with the blanks before it; the last word of a text has those after it as well.
+_WORD_AND_BLANKS = r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++(?:[\x20\x09-\x0D]++\z)?"
+
+
+def _counted(docs: DataFrame, params: PackParams) -> DataFrame:
+    """Packed rows with ``_words`` and ``_pieces``, the numbers of both."""
     rows = packed(docs).withColumn("_words", word_count(F.col("_text")))
-    last = F.greatest(F.lit(0), F.ceil(F.col("_words") / F.lit(params.longest)) - 1)
-    rows = rows.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    start = F.col("_piece") * params.longest
-    length = F.least(F.lit(params.longest), F.col("_words") - start)
-    return rows.select("_k1", "_k2", "_id", "_piece", start.alias("_start"), length.alias("_length"))
+    many = F.greatest(F.lit(1), F.ceil(F.col("_words") / F.lit(params.longest)))
+    return rows.withColumn("_pieces", many.cast("bigint"))
+
+
+def _length(params: PackParams) -> Column:
+    return F.least(F.lit(params.longest), F.col("_words") - F.col("_piece") * params.longest)
+
+
+def histogram(docs: DataFrame, params: PackParams) -> DataFrame:
+    """(``_length``, ``n``) of the pieces, from the numbers of words alone."""
+    rows = _counted(docs, params).groupBy("_words", "_pieces").agg(F.count(F.lit(1)).alias("_n"))
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.col("_pieces") - 1)
+    rows = rows.withColumn("_piece", F.explode(numbers))
+    lengths = rows.select(_length(params).alias("_length"), "_n")
+    return lengths.groupBy("_length").agg(F.sum("_n").alias("n"))
+
+
+def pieces(docs: DataFrame, params: PackParams) -> DataFrame:
+    """One row per piece of at most ``longest`` words: ``_piece`` from 0, ``_length`` words, text.
+
+    A text that is longer is taken apart once, before its pieces are dealt out.
+    """
+    rows = _counted(docs, params)
+    words = F.regexp_extract_all(F.col("_text"), F.lit(_WORD_AND_BLANKS), F.lit(0))
+    rows = rows.withColumn("_parts", F.when(F.col("_pieces") > 1, words))
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.col("_pieces") - 1)
+    cut = lambda i: F.array_join(
+        F.slice("_parts", (i * params.longest + 1).cast("int"), F.lit(params.longest)), ""
+    )
+    texts = F.when(F.col("_parts").isNull(), F.array("_text")).otherwise(F.transform(numbers, cut))
+    rows = rows.select("_k1", "_k2", "_id", "_words", F.posexplode(texts).alias("_at", "_piece_text"))
+    rows = rows.withColumn("_piece", F.col("_at").cast("bigint"))
+    return rows.select(
+        "_k1",
+        "_k2",
+        "_id",
+        "_piece",
+        (F.col("_piece") * params.longest).alias("_start"),
+        _length(params).alias("_length"),
+        "_piece_text",
+    )
 
 
 def _bucket(length: Column, ends: list[int]) -> Column:
@@ -87,21 +130,23 @@ def _bucket(length: Column, ends: list[int]) -> Column:
 
 
 def packed_pieces(docs: DataFrame, params: PackParams = PackParams()) -> DataFrame:
-    """``_k1, _k2, _id``, the piece, its bucket length, its batch (per bucket, from 0) and row.
+    """``_k1, _k2, _id``, the piece, its text, bucket length, batch (per bucket, from 0) and row.
 
     Pieces of a bucket are numbered by range partitions, so one bucket may hold any share of all
-    rows. The histogram is the only thing collected, at most ``longest + 1`` rows.
+    rows. The histogram is the only thing collected, at most ``longest + 1`` rows. The texts are
+    shuffled and staged once, by the rank; ``docs`` is read for the histogram, the bounds of the
+    rank's ranges and the rank itself, and must give the same rows each time.
     """
-    rows = stage(pieces(docs, params), "pieces")
-    histogram = rows.groupBy("_length").agg(F.count(F.lit(1)).alias("n")).orderBy("_length")
-    lengths, counts = zip(*histogram.collect() or [(0, 0)])
+    lengths, counts = zip(
+        *histogram(docs, params).orderBy("_length").collect() or [(0, 0)]
+    )
     ends, _ = best_boundaries(list(lengths), list(counts), params.buckets)
     before, sizes = 0, {}
     for end, low in zip(ends, [-1, *ends]):
         sizes[end] = before
         before += sum(c for x, c in zip(lengths, counts) if low < x <= end)
     ranked = global_rank(
-        rows.withColumn("_bucket", _bucket(F.col("_length"), ends)),
+        pieces(docs, params).withColumn("_bucket", _bucket(F.col("_length"), ends)),
         [
             F.col("_bucket"),
             F.xxhash64("_k1", "_k2", "_piece", F.lit(params.seed)),
@@ -125,12 +170,14 @@ def packed_pieces(docs: DataFrame, params: PackParams = PackParams()) -> DataFra
         "_bucket",
         F.floor(place / fits).cast("bigint").alias("_batch"),
         (place % fits).cast("bigint").alias("_slot"),
+        "_piece_text",
     )
 
 
 def pack(docs: DataFrame, params: PackParams = PackParams()) -> DataFrame:
     """One row per piece: ``doc_id``, ``piece``, ``start`` and ``n_words`` (words of the text),
-    ``bucket`` (padded length), ``batch`` and ``slot`` in it, ``padding``.
+    ``bucket`` (padded length), ``batch`` and ``slot`` in it, ``padding``, ``row_key`` of the row
+    it was cut from, and the piece's ``text``.
     """
     return packed_pieces(docs, params).select(
         F.col("_id").cast("bigint").alias("doc_id"),
@@ -141,4 +188,6 @@ def pack(docs: DataFrame, params: PackParams = PackParams()) -> DataFrame:
         F.col("_batch").alias("batch"),
         F.col("_slot").alias("slot"),
         (F.col("_bucket") - F.col("_length")).alias("padding"),
+        F.col("_k1").alias("row_key"),
+        F.col("_piece_text").alias("text"),
     )

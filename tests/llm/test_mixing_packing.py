@@ -143,3 +143,21 @@ def test_pack_of_awkward_rows(awkward, nothing):
     assert Counter(r["doc_id"] for r in rows)[7] == 8 and Counter(r["doc_id"] for r in rows)[2] == 1
     assert sum(r["n_words"] for r in rows if r["doc_id"] == 7) == 30_000
     assert packing.pack(nothing).count() == 0
+
+
+def test_pieces_carry_the_text_of_their_row(spark, documents, awkward):
+    """Two rows of one id stay apart, and joined pieces are the text, blanks included."""
+    copies = [(1, "a b  c\n d e "), (1, "c\n d"), (2, " \n\t "), (3, None), (4, "\n x y z"), (5, "q  ")]
+    own = spark.createDataFrame(copies, "doc_id LONG, text STRING")
+    for docs, longest in ((own, 2), (documents, 200), (awkward, 4096)):
+        rows = defaultdict(list)
+        for r in packing.pack(docs, packing.PackParams(longest=longest)).collect():
+            assert len(r["text"].encode().split()) == r["n_words"]
+            rows[r["doc_id"], r["row_key"]].append((r["piece"], r["text"]))
+        found = []
+        for (doc, _), parts in rows.items():
+            times = Counter(piece for piece, _ in parts)[0]  # of a repeated row
+            for _ in range(times):
+                found.append((doc, "".join(text for _, text in sorted(parts)[::times])))
+        want = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+        assert sorted(found, key=repr) == sorted(want, key=repr)
