@@ -71,7 +71,10 @@ def products(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def demographics(spark: SparkSession, folder: str) -> DataFrame:
-    """Every third household has attributes; one of them has gaps of its own."""
+    """Every third household has attributes; one of them has gaps of its own.
+
+    Customers whose key does not divide by three are left out here and in the checking SQL.
+    """
     key = F.col("c_custkey")
     nation = _table(spark, folder, "nation")
     region = _table(spark, folder, "region")

@@ -226,7 +226,10 @@ def dq_week_range(spark, folder):
 
 @query
 def dq_report(spark, folder):
-    """The checks read the lines several times, as they would read a written table."""
+    """The checks read the lines several times, as they would read a written table.
+
+    Demographics cover customers whose key divides by three; the others are not read.
+    """
     tables = checked_tables(spark, folder)
     tables["transaction_data"] = stage(tables["transaction_data"], "clean-lines")
     return quality.run_checks(tables, PARAMS.quality)
@@ -387,6 +390,7 @@ def household_groups(spark, folder):
 
 @query
 def churn_households(spark, folder):
+    """Demographics cover customers whose key divides by three; the others are not read."""
     return churn.churn_households(
         household_groups(spark, folder), source.demographics(spark, folder)
     )
@@ -401,6 +405,7 @@ def household_department(spark, folder):
 
 @query
 def churn_rows(spark, folder):
+    """Demographics cover customers whose key divides by three; the others are not read."""
     return churn.churn_rows(churn_households(spark, folder), household_department(spark, folder))
 
 
@@ -438,11 +443,13 @@ def department_mix_headline(spark, folder):
 
 @query
 def demographic_crosstab(spark, folder):
+    """Demographics cover customers whose key divides by three; the others are not read."""
     return churn.demographic_crosstab(churn_households(spark, folder))
 
 
 @query
 def demographic_tests(spark, folder):
+    """Demographics cover customers whose key divides by three; the others are not read."""
     statistics = churn.demographic_statistics(
         churn_households(spark, folder), PARAMS.churn.min_expected_count
     )
@@ -581,6 +588,7 @@ def products_left_out(spark, folder):
 
 @query
 def data_summary(spark, folder):
+    """Demographics cover customers whose key divides by three; the others are not read."""
     checked = checked_tables(spark, folder)
     gate = quality_gate.quality_report(
         {**checked, "transaction_data": source.transactions(spark, folder)}, PARAMS.quality
