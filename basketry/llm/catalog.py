@@ -113,8 +113,8 @@ def op7_merkle(spark, folder):
         F.sha2("edited", 256).alias("edited_sha256"),
         F.col("own_root").alias("fingerprint"),
         F.col("edited_root").alias("edited_fingerprint"),
-        merkle.likeness("own", "edited").alias("near_edited"),
-        merkle.likeness("own", "next").alias("near_next"),
+        merkle.tree_likeness("own", "edited").alias("near_edited"),
+        merkle.tree_likeness("own", "next").alias("near_next"),
         F.size("own_leaves").cast("bigint").alias("n_paragraphs"),
         F.size("own_sections").cast("bigint").alias("n_sections"),
         merkle.first_difference("own", "edited").alias("first_changed"),

@@ -4,10 +4,16 @@ A paragraph is a line, and its digest a leaf. A section ends with a paragraph wh
 with 0 or 1, one in eight, so borders follow the content and an edit moves only those near it. A
 section's digest is that of its leaves, and the root's that of the sections: equal texts have equal
 roots, other texts have others, and sections and paragraphs that differ say where an edit is.
-Leaves carry the hashes of their sentences. Likeness is the share of distinct sentence hashes that
-two trees have in common (twice the common ones by the sum of both), 1 for equal roots.
 
-A null text is an empty one: one empty paragraph. Texts without a sentence are unlike any other.
+Under a paragraph lie its pieces, the finest leaves: runs of about four words, each ending where the
+word's checksum or the line says so, so borders follow the content here too. Joined in order they
+are the text. A paragraph's digest is taken over its whole text, not over the digests of its pieces.
+``tree_likeness`` is the share of nodes that two trees have in common (twice the common ones by the
+sum of both), where nodes are the pieces, each pair of neighbouring pieces and the root; a piece
+that occurs n times is n nodes. It is 1 for equal roots and below 1 for others.
+``likeness`` looks at the sets of sentences alone, whatever their number and order.
+
+A null text is an empty one: one empty paragraph. Texts without a sentence or piece are unlike any other.
 Documents are in order of ``doc_id`` (null last), then text; repeated rows follow one another.
 """
 
@@ -20,6 +26,16 @@ from basketry.llm.common import text_of
 
 SENTENCE = r"[^.!?\n\x20][^.!?\n]*[.!?]*|[.!?]+"
 
+#: A line break, or a word with the blanks before it, or blanks that no word follows. Words end
+#: after 32 characters at most, and a kana or Chinese character is a word.
+PIECE_WORD = (
+    r"\n|[\x20\x09\x0B-\x0D]*(?:[\u3040-\u30FF\u3400-\u9FFF]"
+    r"|[^\x20\x09-\x0D\u3040-\u30FF\u3400-\u9FFF]{1,32})|[\x20\x09\x0B-\x0D]+"
+)
+
+#: One word in so many ends a piece.
+PIECE_WORDS = 4
+
 
 def leaves(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), lambda p: F.sha2(F.concat(F.lit("p"), p), 256))
@@ -67,6 +83,70 @@ def with_tree(frame: DataFrame, text: str, prefix: str) -> DataFrame:
     )
 
 
+def with_pieces(frame: DataFrame, text: str, prefix: str) -> DataFrame:
+    """Column ``<prefix>_nodes``: hashes of the pieces of ``text`` and of neighbours among them.
+
+    Nodes that occur several times are numbered, so equal hashes do not fall together.
+    """
+    words, pieces, nodes = f"{prefix}_words", f"{prefix}_pieces", f"{prefix}_nodes"
+    stops, ends = f"{prefix}_stops", f"{prefix}_ends"
+    last = F.size(words) - 1
+    ends_piece = lambda i: (
+        (i == last)
+        | (F.get(words, i) == "\n")
+        | (F.crc32(F.get(words, i)) % F.lit(PIECE_WORDS) == 0)
+    )
+    places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    frame = frame.withColumn(words, F.regexp_extract_all(text, F.lit(PIECE_WORD), F.lit(0)))
+    frame = frame.withColumn(stops, F.filter(places, ends_piece))
+    starts = F.concat(F.array(F.lit(0)), F.transform(stops, lambda i: i + 1))
+    frame = frame.withColumn(
+        pieces,
+        F.zip_with(
+            F.slice(starts, F.lit(1), F.size(stops)),
+            stops,
+            lambda a, b: F.xxhash64(F.slice(words, a + 1, b - a + 1)),
+        ),
+    )
+    outside = F.array(F.lit(None).cast("bigint"))
+    pairs = F.zip_with(
+        F.concat(outside, pieces),
+        F.concat(pieces, outside),
+        lambda a, b: F.xxhash64(F.lit(1), a, a.isNull(), b, b.isNull()),
+    )
+    every = F.when(F.size(pieces) > 0, F.sort_array(F.concat(pieces, pairs)))
+    frame = frame.withColumn(nodes, F.coalesce(every, F.array().cast("array<bigint>")))
+    # Equal hashes are neighbours now: a run of them is told apart by its places in the run.
+    final = F.size(nodes) - 1
+    places = F.when(final >= 0, F.sequence(F.lit(0), final)).otherwise(
+        F.array().cast("array<int>")
+    )
+    frame = frame.withColumn(
+        ends,
+        F.filter(places, lambda i: (i == final) | (F.get(nodes, i) != F.get(nodes, i + 1))),
+    )
+    before = F.concat(F.array(F.lit(-1)), F.col(ends))
+    numbered = F.zip_with(
+        F.slice(before, F.lit(1), F.size(ends)),
+        ends,
+        lambda a, b: F.transform(
+            F.sequence(F.lit(1), b - a), lambda n: F.xxhash64(F.get(nodes, b), n)
+        ),
+    )
+    frame = frame.withColumn(nodes, F.flatten(numbered))
+    return frame.drop(words, stops, pieces, ends)
+
+
+def tree_likeness(left: str, right: str) -> Column:
+    """Share of the common nodes, for columns of ``with_pieces`` and ``with_tree``."""
+    a, b = F.col(f"{left}_nodes"), F.col(f"{right}_nodes")
+    common = F.size(F.array_intersect(a, b)) * F.lit(2.0)
+    total = F.size(a) + F.size(b) + 2  # the roots are nodes as well
+    return F.when(F.col(f"{left}_root") == F.col(f"{right}_root"), F.lit(1.0)).otherwise(
+        common / total
+    )
+
+
 def likeness(left: str, right: str) -> Column:
     a, b = F.col(f"{left}_sentences"), F.col(f"{right}_sentences")
     common = F.size(F.array_intersect(a, b)) * F.lit(2.0)
@@ -162,4 +242,8 @@ def with_edits(docs: DataFrame) -> DataFrame:
     rows = rows.withColumnRenamed("_next_own_sentences", "next_sentences")
     rows = rows.withColumn("own_leaves", leaves(F.col("text")))
     rows = rows.withColumn("own_sections", sections(F.col("own_leaves")))
-    return with_tree(rows, "edited", "edited")
+    rows = with_tree(rows, "edited", "edited")
+    # Pieces are computed after the shuffle, from the texts that met there.
+    for prefix, text in (("own", "text"), ("next", "_next_text"), ("edited", "edited")):
+        rows = with_pieces(rows, text, prefix)
+    return rows

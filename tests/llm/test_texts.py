@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -159,6 +159,57 @@ def test_trees_of_awkward_rows(awkward, nothing, spark):
     check_trees(same, [(None, "a"), (None, "b")])
 
 
+def expected_nodes(text):
+    """Pieces and neighbours with their numbers of occurrences."""
+    pieces, held = [], []
+    for word in re.findall(merkle.PIECE_WORD, text):
+        held.append(word)
+        if word == "\n" or zlib.crc32(word.encode()) % merkle.PIECE_WORDS == 0:
+            pieces.append(tuple(held))
+            held = []
+    pieces += [tuple(held)] if held else []
+    assert "".join("".join(piece) for piece in pieces) == text
+    ends = [None, *pieces, None]
+    return Counter(pieces) + Counter(zip(ends, ends[1:]) if pieces else ())
+
+
+def expected_tree_likeness(a, b):
+    if a == b:
+        return 1.0
+    ours, theirs = expected_nodes(a), expected_nodes(b)
+    return 2.0 * (ours & theirs).total() / (ours.total() + theirs.total() + 2)
+
+
+def check_tree_likeness(docs, rows):
+    found = merkle.with_edits(docs).select(
+        "text",
+        F.round(merkle.tree_likeness("own", "edited"), 9),
+        F.round(merkle.tree_likeness("own", "next"), 9),
+    )
+    want = [
+        (text, *(round(expected_tree_likeness(text, other), 9) for other in others))
+        for text, *others in edits(rows)
+    ]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_tree_likeness_matches_brute_force(documents, plain, awkward):
+    check_tree_likeness(documents, [(i, t) for i, t, _ in plain])
+    check_tree_likeness(awkward, [(r["doc_id"], r["text"]) for r in awkward.collect()])
+
+
+def test_likeness_sees_long_sentences_order_and_repeats(spark):
+    """The registered query's measure, where sets of sentences gave 0 and 1."""
+    words = " ".join(f"w{i}" for i in range(400))  # no full stop and no line break
+    texts = [words, "other words here. " * 150, "a b. c d. e f.", "e f. c d. a b.", "g h.", "g h. g h."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
+    near = {r[0]: (r[1], r[2]) for r in merkle.with_edits(docs).select(
+        "_id", merkle.tree_likeness("own", "edited"), merkle.tree_likeness("own", "next")
+    ).collect()}
+    assert 0.3 < near[0][0] < 0.7
+    assert near[2][1] < 1 and near[4][1] < 1
+
+
 # --- chat -------------------------------------------------------------------------------------
 
 
