@@ -56,10 +56,3 @@ def lines(spark):
         return spark.createDataFrame(full, LINE)
 
     return build
-
-
-def as_dict(frame, key, value=None):
-    rows = frame.collect()
-    if value is None:
-        return {row[key]: row for row in rows}
-    return {row[key]: row[value] for row in rows}

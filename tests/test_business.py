@@ -4,7 +4,7 @@ import pytest
 
 from basketry.operators import business
 from basketry.params import Window
-from conftest import as_dict
+from tests.helpers import as_dict
 
 
 def test_weekly_kpi_skips_missing_weeks(lines):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from basketry.operators import churn, group_tests
 from basketry.params import DEMOGRAPHIC_COLUMNS, ChurnParams, Window
-from conftest import as_dict
+from tests.helpers import as_dict
 
 WINDOW = Window(1, 8)
 PARAMS = ChurnParams(loyal_top_share=0.5, recent_weeks=4, top_departments=2)

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 
 from basketry.operators import cohorts
-from conftest import as_dict
+from tests.helpers import as_dict
 
 END, PERIOD = 11, 3
 

@@ -5,7 +5,7 @@ from pyspark.errors import PySparkException
 
 from basketry.operators import rfm
 from basketry.params import SEGMENT_RULES, Window
-from conftest import as_dict
+from tests.helpers import as_dict
 
 WINDOW = Window(3, 20)
 
