@@ -4,13 +4,13 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
-from test_line_operators import expected_figures, expected_windows
-from test_mixing_packing import check_mix
-from test_simhash import expected_fingerprint, expected_groups
 
 import corpus_pipeline
 from basketry.llm import mixing, packing
 from basketry.sources.storage import stage
+from tests.llm.test_line_operators import expected_figures, expected_windows
+from tests.llm.test_mixing_packing import check_mix
+from tests.llm.test_simhash import expected_fingerprint, expected_groups
 
 FOLDER = "/root/testdata/sf0.001"
 
