@@ -13,6 +13,7 @@ from basketry.llm import (
     licenses,
     line_rules,
     line_windows,
+    manifest,
     merkle,
     mixing,
     packing,
@@ -128,3 +129,10 @@ def op10_token_files(spark, folder):
     target = new_folder(spark, "tokens")
     token_files.write_tokens(table(spark, folder, "documents"), target, params)
     return token_files.read_documents(spark, target)
+
+
+@query
+def op12_merkle_manifest(spark, folder):
+    """Proofs of the table as it is, held against the table with some texts lower-cased."""
+    documents = table(spark, folder, "documents")
+    return manifest.verified(documents, text=manifest.lower_one_in_five())
