@@ -20,6 +20,7 @@ from basketry.llm import (
     resampling,
     simhash,
     token_files,
+    vector_links,
 )
 from basketry.sources.storage import new_folder
 
@@ -136,3 +137,8 @@ def op12_merkle_manifest(spark, folder):
     """Proofs of the table as it is, held against the table with some texts lower-cased."""
     documents = table(spark, folder, "documents")
     return manifest.verified(documents, text=manifest.lower_one_in_five())
+
+
+@query
+def op11_product_quantisation(spark, folder):
+    return vector_links.linked(table(spark, folder, "embeddings"))
