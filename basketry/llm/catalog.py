@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.llm import (
+    alignment,
     chat,
     licenses,
     line_rules,
@@ -142,3 +143,13 @@ def op12_merkle_manifest(spark, folder):
 @query
 def op11_product_quantisation(spark, folder):
     return vector_links.linked(table(spark, folder, "embeddings"))
+
+
+@query
+def op13_token_alignment(spark, folder):
+    params = alignment.AlignParams(
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+    return alignment.alignments(table(spark, folder, "documents"), params)
