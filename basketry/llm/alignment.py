@@ -29,9 +29,11 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,11 @@ ship(__name__)
 #: Where both tokenizers end a token.
 CUT = re.compile(r"(?<=\S) ")
 
+#: Texts where a blank comes first or follows white space, so that not every blank is such a place.
+ODD = (
+    r"(^|[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]) "
+)
+
 #: A pair is one long: the id of A above these bits, the id of B below.
 BITS = 24
 
@@ -64,44 +71,40 @@ class AlignParams:
     buckets: int = 256
     fan_in: int = 16
     requests: int = 512
-    words: int = 400_000
-
-
-class Word:
-    """A word's figures, groups as text, and links as pairs of ids."""
-
-    __slots__ = ("n_a", "n_b", "n_groups", "groups", "links")
-
-    def __init__(self, n_a: int, n_b: int, n_groups: int, groups: str, links: np.ndarray):
-        self.n_a, self.n_b, self.n_groups = n_a, n_b, n_groups
-        self.groups, self.links = groups, links
-
-
-def aligned(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int]) -> Word:
-    """The groups of tokens with the given byte sizes, and all links inside them."""
-    parts, links = [], []
-    i = j = i0 = j0 = at_a = at_b = 0
-    while i < len(a):
-        if at_a <= at_b:
-            at_a += a_sizes[i]
-            i += 1
-        while at_b < at_a:
-            at_b += b_sizes[j]
-            j += 1
-        if at_a == at_b:
-            own, other = a[i0:i], b[j0:j]
-            parts.append(",".join(map(str, own)) + "|" + ",".join(map(str, other)))
-            if len(own) == len(other) == 1:
-                links.append((own[0] << BITS) | other[0])
-            else:
-                pairs = (np.array(own, np.int64)[:, None] << BITS) | np.array(other, np.int64)
-                links.extend(pairs.ravel().tolist())
-            i0, j0 = i, j
-    return Word(len(a), len(b), len(parts), ";".join(parts), np.array(links, np.int64))
+    words: int = 600_000
+
+
+class Rows:
+    """A column that grows."""
+
+    def __init__(self):
+        self.data, self.size = np.zeros(1024, np.int64), 0
+
+    def add(self, values: np.ndarray) -> None:
+        end = self.size + len(values)
+        if end > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros(end, np.int64)])
+        self.data[self.size : end] = values
+        self.size = end
+
+
+def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of consecutive parts that end before the given places."""
+    return np.diff(np.concatenate([[0], np.cumsum(values)])[np.concatenate([[0], ends])])
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of the given ranges, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
 
 
 class Aligner:
-    """Both tokenizers, and the words that were aligned before."""
+    """Both tokenizers, and the words that were aligned before.
+
+    A word has a number; ``figures`` holds its tokens of A and B, its groups (-1 if the tokens do
+    not give the word back) and its links, ``texts`` its groups as text.
+    """
 
     def __init__(self, params: AlignParams):
         import sentencepiece
@@ -113,10 +116,23 @@ class Aligner:
             "a", pat_str=params.pattern, mergeable_ranks=ranks, special_tokens={}
         )
         self.b = sentencepiece.SentencePieceProcessor(model_file=params.b_model)
-        self.a_bytes = {i: t for t, i in ranks.items()}
+        self.a_bytes = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            self.a_bytes[i] = token
         self.b_bytes = [self.piece_bytes(self.b.id_to_piece(i)) for i in range(len(self.b))]
+        self.a_sizes, self.b_sizes = (
+            np.array([len(t) for t in tokens], np.int64) for tokens in (self.a_bytes, self.b_bytes)
+        )
+        self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
         self.blank = self.b.piece_to_id("▁")
-        self.most, self.known = params.words, {}
+        self.most = params.words
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.texts: list[str] = []
+        self.figures = {name: Rows() for name in (*FIGURES, "start")}
+        self.links = Rows()
 
     @staticmethod
     def piece_bytes(piece: str) -> bytes:
@@ -124,37 +140,136 @@ class Aligner:
             return bytes([int(piece[3:5], 16)])
         return piece.replace("▁", " ").encode()
 
-    def new_word(self, word: str) -> Word | None:
-        """None if the tokens do not give the word back."""
-        text = " " + word
-        a = self.a.encode_ordinary(text)
+    def encoded(self, text: str) -> tuple[list[int], list[int]] | None:
+        """Tokens of A and B of a blank and the text; None if they do not give it back."""
+        a = self.a.encode_ordinary(" " + text)
         # B puts the blank before a text itself, but none before an empty one.
-        b = self.b.encode(word) or [self.blank]
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        data = text.encode()
-        if b"".join(a_parts) != data or b"".join(b_parts) != data:
-            return None
-        return aligned(a, b, [len(p) for p in a_parts], [len(p) for p in b_parts])
-
-    def words(self, text: str) -> list[Word] | None:
-        """The words of a text that are aligned; None if it has no tokens."""
-        if not text:
-            return None
-        if len(self.known) > self.most:
-            self.known.clear()
-        known, out = self.known, []
-        for word in CUT.split(text):
-            entry = known.get(word, False)
-            if entry is False:
-                entry = known[word] = self.new_word(word)
-            if entry is None:
+        b = self.b.encode(text) or [self.blank]
+        data = (" " + text).encode()
+        for ids, parts in ((a, self.a_bytes), (b, self.b_bytes)):
+            if b"".join([parts[i] for i in ids]) != data:
                 return None
-            out.append(entry)
-        return out
+        return a, b
 
+    def encoded_words(self, words: list[str]) -> tuple[list[int], list[int]] | None:
+        """Tokens of words that stand one after another; short calls are what B is fast at."""
+        texts = [" ".join(words[i : i + 64]) for i in range(0, len(words), 64)]
+        data = "".join([" " + text for text in texts])
+        out = []
+        for lists, parts in (
+            ([self.a.encode_ordinary(data)], self.a_bytes),
+            (self.b.encode(texts, num_threads=1), self.b_bytes),
+        ):
+            ids = list(chain.from_iterable(lists))
+            if b"".join([parts[i] for i in ids]) != data.encode():
+                return None
+            out.append(ids)
+        return out[0], out[1]
 
-def distinct_links(words: list[Word]) -> np.ndarray:
-    return np.unique(np.concatenate([w.links for w in {id(w): w for w in words}.values()]))
+    def learn(self, words: list[str]) -> None:
+        """Align new words, many in one call: each begins with its blank, where tokens end."""
+        plain = [w for w in words if w and not w[-1].isspace() and "▁" not in w]
+        found = self.encoded_words(plain) if plain else None
+        if found:
+            self.add(plain, *found)
+        else:
+            plain = []
+        done = set(plain)
+        for word in words:
+            if word not in done:
+                found = self.encoded(word)
+                if found:
+                    self.add([word], *found)
+                else:
+                    self.number([word])
+                    for name, rows in self.figures.items():
+                        rows.add([-1 if name == "n_groups" else 0])
+                    self.texts.append("")
+
+    def number(self, words: list[str]) -> None:
+        first = len(self.known)
+        self.known.update(zip(words, range(first, first + len(words))))
+
+    def add(self, words: list[str], a_ids: list[int], b_ids: list[int]) -> None:
+        """Align the tokens of words that stand one after another, each behind a blank."""
+        a, b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        ends = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        a_group, b_group = np.searchsorted(ends, a_ends), np.searchsorted(ends, b_ends)
+        a_n, b_n = (np.bincount(g, minlength=len(ends)) for g in (a_group, b_group))
+        word_ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        last = np.searchsorted(ends, word_ends) + 1  # groups up to each word's end
+        # All tokens by group, A's before B's, with what stands behind each.
+        tokens, group = np.concatenate([a, b]), np.concatenate([a_group, b_group])
+        order = np.argsort(2 * group + (np.arange(len(tokens)) >= len(a)), kind="stable")
+        behind = np.full(len(tokens), ",")
+        behind[np.cumsum(a_n + b_n) - b_n - 1] = "|"
+        behind[np.cumsum(a_n + b_n) - 1] = ";"
+        behind[np.cumsum(a_n + b_n)[last - 1] - 1] = "\n"
+        names = self.names
+        parts = [names[i] + s for i, s in zip(tokens[order].tolist(), behind.tolist())]
+        self.texts += [text + ";" for text in "".join(parts).split("\n")[:-1]]
+        each = b_n[a_group]
+        pairs = (np.repeat(a, each) << BITS) | b[ranges((np.cumsum(b_n) - b_n)[a_group], each)]
+        n_links = sums(a_n * b_n, last)
+        start = self.links.size + np.cumsum(n_links) - n_links
+        self.links.add(pairs)
+        groups = np.diff(np.concatenate([[0], last]))
+        columns = (sums(a_n, last), sums(b_n, last), groups, n_links, start)
+        for rows, values in zip(self.figures.values(), columns):
+            rows.add(values)
+        self.number(words)
+
+    def words(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, pa.StringArray]:
+        """Numbers of the words of all texts, where each text's words end, and their groups.
+
+        A text without tokens has no words.
+        """
+        if len(self.known) > self.most:
+            self.forget()
+        texts = texts.fill_null("")
+        words = pc.split_pattern(texts, " ")
+        odd = pc.or_(pc.equal(texts, ""), pc.match_substring_regex(texts, ODD))
+        if pc.any(odd).as_py():
+            some = [CUT.split(t) if t else [] for t in texts.filter(odd).to_pylist()]
+            own = np.arange(len(texts))
+            own[odd.to_numpy(zero_copy_only=False)] = len(texts) + np.arange(len(some))
+            words = pa.concat_arrays([words, pa.array(some, words.type)]).take(pa.array(own))
+        ends = words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
+        flat = words.flatten().dictionary_encode()
+        distinct, place = flat.dictionary.to_pylist(), flat.indices.to_numpy()
+        numbers = [self.known.get(word, -1) for word in distinct]
+        new = [word for word, number in zip(distinct, numbers) if number < 0]
+        if new:
+            self.learn(new)
+            numbers = [
+                self.known[word] if number < 0 else number
+                for word, number in zip(distinct, numbers)
+            ]
+        groups = pa.array([self.texts[i] for i in numbers], pa.large_string())
+        numbers = np.array(numbers, np.int64)
+        wrong = self.figures["n_groups"].data[numbers] < 0
+        if wrong.any():
+            starts = np.concatenate([[0], ends[:-1]])
+            sound = sums(wrong[place], ends) == 0
+            place = place[ranges(starts[sound], (ends - starts)[sound])]
+            ends = np.cumsum(np.where(sound, ends - starts, 0))
+        return numbers[place], ends, groups.take(pa.array(place))
+
+    def links_of(self, numbers: np.ndarray) -> np.ndarray:
+        """All links of the words with these numbers."""
+        rows = self.figures
+        return self.links.data[ranges(rows["start"].data[numbers], rows["n_links"].data[numbers])]
+
+
+def chunks(*columns: pa.Array) -> Iterator[list[pa.Array]]:
+    """Slices of columns with about a megabyte of texts, the last column, each."""
+    sizes = pc.fill_null(pc.binary_length(columns[-1]), 0).to_numpy()
+    number = np.cumsum(sizes) >> 20
+    cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(sizes)]
+    for start, end in zip(cuts, cuts[1:]):
+        if end > start:
+            yield [column.slice(start, end - start) for column in columns]
 
 
 def blocks(docs: DataFrame, params: AlignParams) -> DataFrame:
@@ -167,47 +282,42 @@ def blocks(docs: DataFrame, params: AlignParams) -> DataFrame:
         number, size, found = 0, 0, []
         first = TaskContext.get().partitionId() << 32
 
-        def rows(part: list[tuple]) -> pa.RecordBatch:
+        def pairs_row() -> pa.RecordBatch:
+            pairs, counts = np.unique(np.concatenate(found), return_counts=True)
+            row = (first + number, *[None] * 7, pairs, counts)
             return pa.RecordBatch.from_arrays(
-                [pa.array(column, kind) for column, kind in zip(zip(*part), KINDS)], names=NAMES
+                [pa.array([value], kind) for value, kind in zip(row, KINDS)], names=NAMES
             )
 
-        def pairs_row() -> tuple:
-            pairs, counts = np.unique(np.concatenate(found), return_counts=True)
-            return (first + number, *[None] * 7, pairs, counts)
-
         for batch in batches:
-            part = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = both.words(text) or []
-                groups = ";".join([w.groups for w in words])
-                part.append(
-                    (
-                        first + number,
-                        doc_id,
-                        text,
-                        sum([w.n_a for w in words]),
-                        sum([w.n_b for w in words]),
-                        sum([w.n_groups for w in words]),
-                        sum([len(w.links) for w in words]),
-                        hashlib.sha256(groups.encode()).hexdigest() if words else "",
-                        None,
-                        None,
-                    )
+            for ids, texts in chunks(*batch.columns):
+                numbers, ends, groups = both.words(texts)
+                figures = [sums(both.figures[f].data[numbers], ends).tolist() for f in FIGURES]
+                digests, start = [], 0
+                places = np.frombuffer(groups.buffers()[1], np.int64)
+                data = memoryview(groups.buffers()[2] or b"")
+                for end in ends.tolist():
+                    if end > start:
+                        # Groups of a word end in a separator, the text's last one is left out.
+                        part = data[places[start] : places[end] - 1]
+                        digests.append(hashlib.sha256(part).hexdigest())
+                        found.append(np.unique(both.links_of(np.unique(numbers[start:end]))))
+                    else:
+                        digests.append("")
+                    start = end
+                n = len(texts)
+                block, none = pa.array([first + number] * n, pa.int64()), pa.nulls(n, LONGS)
+                columns = [block, ids, texts, *map(pa.array, figures), pa.array(digests), none, none]
+                yield pa.RecordBatch.from_arrays(
+                    [c.cast(k) for c, k in zip(columns, KINDS)], names=NAMES
                 )
-                if words:
-                    found.append(distinct_links(words))
-                size += len(text or "")
+                size += texts.nbytes
                 if size > params.block_bytes:
                     if found:
-                        part.append(pairs_row())
+                        yield pairs_row()
                     number, size, found = number + 1, 0, []
-                    yield rows(part)
-                    part = []
-            if part:
-                yield rows(part)
         if found:
-            yield rows([pairs_row()])
+            yield pairs_row()
 
     narrow = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     return narrow.mapInArrow(run, f"{DOCUMENT}, pairs array<long>, docs array<long>")
@@ -423,20 +533,13 @@ def second_pass(staged: DataFrame, answers: DataFrame, params: AlignParams) -> D
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
         best, total = [], []
-        seen: dict[int, tuple[int, int]] = {}
-        held = []  # keeps the words alive, since they are known by their address
-        for text in left.column("text").to_pylist():
-            n = s = 0
-            for word in both.words(text) or []:
-                sums = seen.get(id(word))
-                if sums is None:
-                    found = counts[np.searchsorted(keys, word.links)]
-                    sums = seen[id(word)] = (int((found < 0).sum()), int(np.abs(found).sum()))
-                    held.append(word)
-                n += sums[0]
-                s += sums[1]
-            best.append(n)
-            total.append(s)
+        for (texts,) in chunks(left.column("text").combine_chunks()):
+            numbers, text_ends, _ = both.words(texts)
+            every, place = np.unique(numbers, return_inverse=True)
+            found = counts[np.searchsorted(keys, both.links_of(every))]
+            ends = np.cumsum(both.figures["n_links"].data[every])
+            for values, out in ((found < 0, best), (np.abs(found), total)):
+                out += sums(sums(values, ends)[place], text_ends).tolist()
         out = left.drop_columns(["block", "text"])
         return out.append_column("n_best", pa.array(best, pa.int64())).append_column(
             "count_sum", pa.array(total, pa.int64())
