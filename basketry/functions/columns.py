@@ -13,6 +13,17 @@ from pyspark.sql import types as T
 MONEY_SCALE = 10_000
 
 
+def money_units(column: str | Column, scale: int = MONEY_SCALE) -> Column:
+    """A money column in whole ``1 / scale`` units."""
+    value = F.col(column) if isinstance(column, str) else column
+    return F.rint(value.cast("double") * scale).cast("bigint")
+
+
+def units_money(units: Column, scale: int = MONEY_SCALE) -> Column:
+    """Whole units as money."""
+    return units / F.lit(float(scale))
+
+
 def money_sum(column: str | Column, scale: int = MONEY_SCALE) -> Column:
     """Sum of a money column in whole ``1 / scale`` units, as double.
 
@@ -21,9 +32,7 @@ def money_sum(column: str | Column, scale: int = MONEY_SCALE) -> Column:
     integers does not, and stays on primitive values in generated code, unlike wide decimals. An
     overflow raises. The sum is exact up to 2**53 units; beyond, the double result is the nearest.
     """
-    value = F.col(column) if isinstance(column, str) else column
-    units = F.rint(value.cast("double") * scale).cast("bigint")
-    return F.sum(units) / F.lit(float(scale))
+    return units_money(F.sum(money_units(column, scale)), scale)
 
 
 def ratio(numerator: str | Column, denominator: str | Column) -> Column:

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from basketry.functions.columns import money_sum, ratio
+from basketry.functions.columns import money_sum, money_units, ratio, units_money
+from basketry.operators import distinct
 from basketry.params import Window
+from basketry.sources.storage import stage
 
 
 def in_window(window: Window) -> Column:
@@ -24,25 +26,39 @@ def baskets(transactions: DataFrame) -> DataFrame:
     )
 
 
-def weekly_kpi(transactions: DataFrame, window: Window) -> DataFrame:
-    """Revenue, baskets, active households, average basket and change to the week before.
+#: Ids that are counted per week, and the names of their counts.
+ACTIVE = {"basket_id": "baskets", "household_key": "active_households"}
+
 
-    The change is against the previous week that has purchases. The distinct counts shuffle
-    by (week, basket) and (week, household), combined on the map side.
+def weekly_sets(transactions: DataFrame, window: Window) -> DataFrame:
+    """Baskets and households of every week as sets, with the week's money, from one scan.
+
+    ``weekly_kpi`` and ``business_totals`` both follow from it; who calls both should stage it.
     """
-    weekly = (
-        transactions.where(in_window(window))
-        .groupBy("week_no")
-        .agg(
-            money_sum("sales_value").alias("revenue"),
-            F.count_distinct("basket_id").alias("baskets"),
-            F.count_distinct("household_key").alias("active_households"),
-        )
+    return distinct.id_sets(
+        transactions.where(in_window(window)),
+        list(ACTIVE),
+        ["week_no"],
+        {"units": money_units("sales_value")},
     )
+
+
+def weekly_kpi(
+    transactions: DataFrame, window: Window, sets: DataFrame | None = None
+) -> DataFrame:
+    """Revenue, baskets, active households, average basket and change to the week before.
+
+    The change is against the previous week that has purchases. ``sets`` is a ready
+    ``weekly_sets``.
+    """
+    sets = weekly_sets(transactions, window) if sets is None else sets
+    weekly = distinct.counts(sets, ACTIVE, ["week_no"], units_money(F.sum("units")).alias("revenue"))
     # One row per week: the window function sorts a calendar, not the purchases.
     before = F.lag("revenue").over(W.orderBy("week_no"))
     return weekly.select(
-        "*",
+        "week_no",
+        "revenue",
+        *ACTIVE.values(),
         ratio("revenue", "baskets").alias("avg_basket_value"),
         (ratio("revenue", before) - 1).alias("revenue_wow_change"),
     )
@@ -102,15 +118,22 @@ def top3_department_share(shares: DataFrame) -> DataFrame:
 
 
 def business_totals(
-    transactions: DataFrame, window: Window, weekly: DataFrame | None = None
+    transactions: DataFrame,
+    window: Window,
+    weekly: DataFrame | None = None,
+    sets: DataFrame | None = None,
 ) -> DataFrame:
-    """Totals of the window and averages per week, one row; ``weekly`` is a ready ``weekly_kpi``."""
-    totals = transactions.where(in_window(window)).agg(
-        money_sum("sales_value").alias("total_revenue"),
-        F.count_distinct("basket_id").alias("total_baskets"),
-        F.count_distinct("household_key").alias("active_households"),
-    )
-    weekly = weekly_kpi(transactions, window) if weekly is None else weekly
+    """Totals of the window and averages per week, one row.
+
+    The sets of all weeks are merged into those of the window, so the lines are read once for
+    both. ``weekly`` is a ready ``weekly_kpi`` and ``sets`` a ready ``weekly_sets``.
+    """
+    if sets is None:
+        sets = stage(weekly_sets(transactions, window), "weekly-sets")
+    revenue = sets.agg(units_money(F.sum("units"))).scalar()
+    named = {"basket_id": "total_baskets", "household_key": "active_households"}
+    totals = distinct.counts(distinct.merged(sets), named).withColumn("total_revenue", revenue)
+    weekly = weekly_kpi(transactions, window, sets) if weekly is None else weekly
     averages = weekly.agg(
         F.struct(
             F.avg("revenue").alias("revenue"),

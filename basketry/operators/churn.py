@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from basketry.functions.columns import money_sum, ratio
 from basketry.operators import group_tests
 from basketry.operators.business import in_window
-from basketry.operators.ranks import group_medians, top_share_cutoff, with_cume_dist
+from basketry.operators.ranks import group_medians, number, top_share_cutoff, with_cume_dist
 from basketry.params import DEMOGRAPHIC_COLUMNS, ChurnParams, Window
 from basketry.sources.storage import stage
 
@@ -71,9 +71,8 @@ def loyalty_flags(activity: DataFrame, params: ChurnParams) -> DataFrame:
     buyers = activity.where(F.col("first_half_revenue").isNotNull()).select(
         "household_key", "first_half_revenue"
     )
-    cutoff = top_share_cutoff(
-        buyers, "first_half_revenue", "household_key", params.loyal_top_share
-    )
+    buyers = stage(buyers, "first-half-buyers")
+    cutoff = top_share_cutoff(buyers, "first_half_revenue", params.loyal_top_share)
     loyal = F.coalesce(F.col("first_half_revenue") >= cutoff, F.lit(False))
     return buyers.withColumn("is_loyal", loyal)
 
@@ -95,12 +94,7 @@ def household_groups(
     is one value, so no join brings the flag back.
     """
     activity = stage(household_activity(transactions, window, params), "household-activity")
-    cutoff = top_share_cutoff(
-        activity.where(F.col("first_half_revenue").isNotNull()),
-        "first_half_revenue",
-        "household_key",
-        params.loyal_top_share,
-    )
+    cutoff = top_share_cutoff(activity, "first_half_revenue", params.loyal_top_share)
     loyal = F.col("first_half_revenue") >= cutoff
     kept = 1 - params.activity_drop
     fewer = F.col("recent_baskets") < F.lit(kept) * F.col("baseline_baskets")
@@ -188,22 +182,26 @@ def group_summary(households: DataFrame) -> DataFrame:
 
 
 def basket_value_test(households: DataFrame) -> DataFrame:
-    """Median basket value of both loyal groups and their rank-sum test, one row."""
-    loyal = households.where(is_loyal_group()).select(
-        "household_key", "household_group", "avg_basket_value"
+    """Median basket value of both loyal groups and their rank-sum test, one row.
+
+    Both come from one numbering of the loyal households by basket value.
+    """
+    loyal = households.where(is_loyal_group() & F.col("avg_basket_value").isNotNull()).select(
+        F.lit("avg_basket_value").alias("test"),
+        "household_key",
+        "household_group",
+        "avg_basket_value",
     )
-    medians = group_medians(loyal, "household_group", "avg_basket_value", "household_key").agg(
+    order = [F.asc("test"), F.asc("avg_basket_value"), F.asc("household_key")]
+    numbered = number(loyal, order)
+    medians = group_medians(numbered, "household_group", "avg_basket_value").agg(
         *(
             F.max(F.when(F.col("household_group") == group, F.col("median"))).alias(name)
             for group, name in ((CHURNING, "churning_median"), (STABLE, "stable_median"))
         )
     )
-    sums = group_tests.rank_sums(
-        loyal.withColumn("test", F.lit("avg_basket_value")),
-        "test",
-        "avg_basket_value",
-        "household_key",
-        F.col("household_group") == CHURNING,
+    sums = group_tests.rank_sums_of(
+        numbered, "test", "avg_basket_value", F.col("household_group") == CHURNING
     )
     tested = sums.withColumn("medians", medians.select(F.struct("*")).scalar()).select(
         "test", "medians.*", "n1", "n2", "u", "tie_term", "z"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,26 +16,49 @@ def last_full_period(end_week: int, period_weeks: int) -> int:
     return end_week // period_weeks - 1
 
 
+#: Periods in one word of a household's mask.
+MASK_BITS = 64
+
+
 def cohort_activity(transactions: DataFrame, end_week: int, period_weeks: int) -> DataFrame:
     """Active households per cohort and number of periods since the first purchase.
 
-    Lines shrink to one row per household and period; the cohort is the smallest period of the
-    household, taken over at most one row per period. Only complete periods are kept.
+    A household is one row: its active periods are bits of as many words as the calendar needs,
+    merged on the map side. The cohort is the lowest bit. Only complete periods are kept. Weeks
+    start with 1; an earlier one raises.
     """
+    last = last_full_period(end_week, period_weeks)
     period = F.expr(f"(week_no - 1) div {int(period_weeks)}").cast("int")
-    active = (
-        transactions.where(F.col("week_no") <= end_week)
-        .select("household_key", period.alias("period"))
-        .distinct()
+    checked = F.when(
+        F.col("week_no") < 1, F.raise_error(F.lit("week_no starts with 1")).cast("int")
+    ).otherwise(period)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("period") % MASK_BITS)
+    words = range(max(0, last) // MASK_BITS + 1)
+    masks = (
+        transactions.where((F.col("week_no") <= end_week) & F.col("household_key").isNotNull())
+        .select("household_key", checked.alias("period"))
+        .where(F.col("period") <= last)
+        .groupBy("household_key")
+        .agg(
+            *(
+                F.bit_or(F.when(F.expr(f"period div {MASK_BITS}") == word, bit)).alias(f"_{word}")
+                for word in words
+            )
+        )
     )
-    first = F.min("period").over(W.partitionBy("household_key"))
-    return (
-        active.withColumn("cohort_period", first)
-        .where(F.col("period") <= last_full_period(end_week, period_weeks))
-        .groupBy("cohort_period", (F.col("period") - F.col("cohort_period")).alias("offset"))
-        .agg(F.count("household_key").alias("active_households"))
-        .withColumnRenamed("offset", "periods_since_first")
+    def set_bits(word: int) -> Column:
+        first = word * MASK_BITS
+        numbers = F.sequence(F.lit(first), F.lit(first + MASK_BITS - 1))
+        mask = F.coalesce(f"_{word}", F.lit(0).cast("bigint"))
+        return F.filter(numbers, lambda p: F.getbit(mask, p % MASK_BITS) == 1)
+
+    periods = F.flatten(F.array(*(set_bits(word) for word in words)))
+    active = masks.select(periods.alias("active")).select(
+        F.get("active", F.lit(0)).alias("cohort_period"), F.explode("active").alias("period")
     )
+    return active.groupBy(
+        "cohort_period", (F.col("period") - F.col("cohort_period")).alias("periods_since_first")
+    ).agg(F.count(F.lit(1)).alias("active_households"))
 
 
 def cohort_sizes(activity: DataFrame) -> DataFrame:

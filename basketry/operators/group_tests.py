@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from basketry.functions import tails
 from basketry.functions.columns import ratio
-from basketry.operators.ranks import global_rank
+from basketry.operators.ranks import number, ranked
 
 
 def rank_sums(frame: DataFrame, test: str, value: str, key: str, is_first: Column) -> DataFrame:
@@ -21,13 +21,17 @@ def rank_sums(frame: DataFrame, test: str, value: str, key: str, is_first: Colum
     rank inside the test. Ties collapse on the map side, so a value shared by a third of the
     rows (a zero share, say) is one row per task.
     """
-    ranked = global_rank(
+    numbered = number(
         frame.where(F.col(value).isNotNull()).select(test, value, key, is_first.alias("_first")),
         [F.asc(test), F.asc(value), F.asc(key)],
-        "_rank",
-        "_total",
     )
-    ties = ranked.groupBy(test, value).agg(
+    return rank_sums_of(numbered, test, value, F.col("_first"))
+
+
+def rank_sums_of(numbered: DataFrame, test: str, value: str, is_first: Column) -> DataFrame:
+    """``rank_sums`` of rows that are numbered by (test, value, key) already."""
+    rows = ranked(numbered, "_rank", "_total").withColumn("_first", is_first)
+    ties = rows.groupBy(test, value).agg(
         F.min("_rank").alias("_low"),
         F.count(F.lit(1)).alias("_t"),
         F.count_if(F.col("_first")).alias("_n1"),

@@ -1,6 +1,6 @@
 """Ranks over a whole table without a single-partition sort.
 
-``ntile``, ``cume_dist`` and friends without PARTITION BY send every row to one task. Here the
+``cume_dist``, rank sums and friends without PARTITION BY send every row to one task. Here the
 rows are range-partitioned by the full order key, numbered inside each partition, and shifted by
 the number of rows in the partitions before it. The numbering is staged first, because range
 bounds come from a sample and another run of the same plan could cut the table elsewhere.
@@ -13,27 +13,36 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.operators.selection import Selection
 from basketry.sources.storage import stage
 
 # monotonically_increasing_id keeps the partition above bit 33 and the position below it.
 _POSITION_BITS = 33
 
 
-def global_rank(
-    frame: DataFrame, order: Sequence[Column], rank: str = "rank", total: str = "total_rows"
-) -> DataFrame:
-    """Add the 1-based position of every row in ``order`` and the number of rows.
+def number(frame: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """The rows in ``order``, staged, with ``_part``, their range, and ``_place``, their row in it.
 
-    ``order`` must be total: end it with a unique key.
+    ``order`` must be total: end it with a unique key. Ranks, rank sums and medians of groups
+    all follow from one numbering and counts per range.
     """
     numbered = (
         frame.repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_slot", F.monotonically_increasing_id())
     )
-    staged = stage(numbered, "rank")
-    part = F.shiftright("_slot", _POSITION_BITS).alias("_part")
-    sizes = staged.groupBy(part).agg(F.count(F.lit(1)).alias("_size"))
+    position = F.col("_slot").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
+    return (
+        stage(numbered, "rank")
+        .withColumn("_part", F.shiftright("_slot", _POSITION_BITS))
+        .withColumn("_place", position)
+        .drop("_slot")
+    )
+
+
+def ranked(numbered: DataFrame, rank: str = "rank", total: str = "total_rows") -> DataFrame:
+    """The 1-based position of every numbered row, and the number of rows."""
+    sizes = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     # One row per range partition: bounded by spark.sql.shuffle.partitions, not by the data.
     ordered = Window.orderBy("_part")
     offsets = sizes.select(
@@ -41,34 +50,21 @@ def global_rank(
         (F.sum("_size").over(ordered) - F.col("_size")).alias("_before"),
         F.sum("_size").over(Window.partitionBy()).alias(total),
     )
-    position = F.col("_slot").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
     return (
-        staged.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
-        .withColumn(rank, F.col("_before") + position + 1)
-        .drop("_part", "_slot", "_before")
+        numbered.join(F.broadcast(offsets), "_part")
+        .withColumn(rank, F.col("_before") + F.col("_place") + 1)
+        .drop("_part", "_place", "_before")
     )
 
 
-def ntile_of(rank: str, total: str, buckets: int) -> Column:
-    """NTILE bucket of a rank: the first ``total % buckets`` buckets get one row more."""
-    size, larger = f"({total} div {int(buckets)})", f"({total} % {int(buckets)})"
-    in_larger = f"({larger} * ({size} + 1))"
-    # With fewer rows than buckets the size is 0 and the ELSE branch is never taken.
-    return F.expr(
-        f"""CAST(CASE WHEN {rank} <= {in_larger}
-                 THEN ({rank} - 1) div ({size} + 1) + 1
-                 ELSE {larger} + ({rank} - 1 - {in_larger}) div greatest({size}, 1) + 1
-            END AS INT)"""
-    )
-
-
-def with_ntile(
-    frame: DataFrame, order: Sequence[Column], buckets: int, name: str
+def global_rank(
+    frame: DataFrame, order: Sequence[Column], rank: str = "rank", total: str = "total_rows"
 ) -> DataFrame:
-    """``NTILE(buckets) OVER (ORDER BY order)`` for a table of any size."""
-    ranked = global_rank(frame, order, "_rank", "_total")
-    return ranked.withColumn(name, ntile_of("_rank", "_total", buckets)).drop("_rank", "_total")
+    """Add the 1-based position of every row in ``order`` and the number of rows.
+
+    ``order`` must be total: end it with a unique key.
+    """
+    return ranked(number(frame, order), rank, total)
 
 
 def with_cume_dist(frame: DataFrame, value: str, key: str, name: str) -> DataFrame:
@@ -81,39 +77,76 @@ def with_cume_dist(frame: DataFrame, value: str, key: str, name: str) -> DataFra
     )
 
 
-def top_share_cutoff(frame: DataFrame, value: str, key: str, share: float) -> Column:
+def top_share_cutoff(frame: DataFrame, value: str, share: float) -> Column:
     """Smallest value whose descending CUME_DIST is at most ``share`` (NULL if there is none).
 
-    Comparing with one cut-off replaces a join on the values, where a frequent value would
-    be a hot key. A group of ties that crosses the limit stays out as a whole.
+    The value at the first rank beyond the share is selected; all values above it are inside. A
+    group of ties that crosses the limit stays out as a whole. No row is sorted, and comparing
+    with one cut-off replaces a join on the values, where a frequent value would be a hot key.
+    ``frame`` is read several times, so it should be a staged table.
     """
-    spread = with_cume_dist(frame, value, key, "_cume")
-    return spread.where(F.col("_cume") <= F.lit(float(share))).agg(F.min(value)).scalar()
-
 
-def group_medians(frame: DataFrame, group: str, value: str, key: str) -> DataFrame:
-    """Exact interpolated median of ``value`` per ``group``, without a buffer per group."""
-    ranked = global_rank(
-        frame.select(group, value, key).where(F.col(value).isNotNull()),
-        [F.col(group).asc_nulls_last(), F.col(value), F.col(key)],
-        "_rank",
-        "_total",
-    )
-    bounds = ranked.groupBy(group).agg(
-        F.min("_rank").alias("_first"), F.count(F.lit(1)).alias("_n")
-    )
-    # The one or two middle positions of each group: few rows, matched on the unique rank.
-    middle = bounds.select(
-        F.explode(
-            F.array_distinct(
-                F.array(
-                    F.col("_first") + F.expr("(_n - 1) div 2"), F.col("_first") + F.expr("_n div 2")
+    def inside(rows: int) -> int:
+        # CUME_DIST is a quotient of doubles, so the same division decides.
+        last = min(rows, max(0, int(rows * share)))
+        while last < rows and (last + 1) / rows <= share:
+            last += 1
+        while last > 0 and last / rows > share:
+            last -= 1
+        return last
+
+    known = frame.where(F.col(value).isNotNull()).select(value)
+    order = {"value": [(value, False)]}
+    chosen = Selection(known, order, {"value": lambda rows: [inside(rows) + 1]})
+    above = F.lit(True)
+    if inside(chosen.rows) < chosen.rows:
+        above = ~chosen.from_rank("value", inside(chosen.rows) + 1)
+    return known.where(above).agg(F.min(value)).scalar()
+
+
+def group_medians(numbered: DataFrame, group: str, value: str) -> DataFrame:
+    """Exact interpolated median of ``value`` per ``group``, from rows numbered by the value.
+
+    Counts per range and group tell in which range a group's middle rows are and how many of the
+    group's rows there come before them; only those ranges are read again. Rows numbered by
+    further columns before the value need those in the group.
+    """
+    known = numbered.where(F.col(value).isNotNull()).select(group, value, "_part", "_place")
+    # Groups times ranges: a few rows.
+    sizes = known.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.partitionBy(group).orderBy("_part")
+    middle = (
+        sizes.select(
+            group,
+            "_part",
+            "_size",
+            (F.sum("_size").over(earlier) - F.col("_size")).alias("_before"),
+            F.sum("_size").over(Window.partitionBy(group)).alias("_n"),
+        )
+        .select(
+            group,
+            "_part",
+            "_size",
+            F.explode(
+                F.array_distinct(
+                    F.array(
+                        F.expr("(_n - 1) div 2 - _before"), F.expr("_n div 2 - _before")
+                    )
                 )
-            )
-        ).alias("_rank")
+            ).alias("_at"),
+        )
+        .where("_at >= 0 AND _at < _size")
+        .groupBy(group, "_part")
+        .agg(F.collect_set("_at").alias("_wanted"))
+        .withColumnRenamed(group, "_group")
     )
+    inside = (F.col(group).eqNullSafe(F.col("_group"))) & (known["_part"] == middle["_part"])
+    chosen = known.join(middle, inside).drop(middle["_part"])
+    # A range of the numbering holds what one task holds.
+    place = F.row_number().over(Window.partitionBy(group, "_part").orderBy("_place")) - 1
     return (
-        ranked.join(middle, "_rank", "left_semi")
+        chosen.withColumn("_row", place.cast("bigint"))
+        .where(F.array_contains("_wanted", F.col("_row")))
         .groupBy(group)
         .agg(F.avg(F.col(value).cast("double")).alias("median"))
     )

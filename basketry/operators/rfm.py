@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from basketry.functions.columns import money_sum, ratio
 from basketry.operators.business import in_window
-from basketry.operators.ranks import global_rank, with_ntile
+from basketry.operators.selection import Selection, with_ntiles
 from basketry.params import SegmentRule, Window
+from basketry.sources.storage import stage
 
 
 def rfm_metrics(transactions: DataFrame, window: Window) -> DataFrame:
@@ -28,25 +29,28 @@ def rfm_metrics(transactions: DataFrame, window: Window) -> DataFrame:
     )
 
 
+#: The order of each score, whose best households come last; the household key ends every tie.
+SCORE_ORDERS = {
+    "r_score": [("recency_weeks", False), ("last_purchase_day", True), ("household_key", True)],
+    "f_score": [("frequency", True), ("household_key", True)],
+    "m_score": [("monetary", True), ("household_key", True)],
+}
+
+
 def rfm_scores(metrics: DataFrame, buckets: int) -> DataFrame:
-    """Scores 1..buckets, best last; ties go by last purchase day and household key."""
-    scored = with_ntile(
-        metrics,
-        [F.desc("recency_weeks"), F.asc("last_purchase_day"), F.asc("household_key")],
-        buckets,
-        "r_score",
-    )
-    scored = with_ntile(scored, [F.asc("frequency"), F.asc("household_key")], buckets, "f_score")
-    scored = with_ntile(scored, [F.asc("monetary"), F.asc("household_key")], buckets, "m_score")
+    """Scores 1..buckets, best last; ties go by last purchase day and household key.
+
+    The households at the bucket ends of all three orders are found together; every other
+    household is compared with them where it is.
+    """
+    scored = with_ntiles(stage(metrics, "rfm-metrics"), SCORE_ORDERS, buckets)
     return scored.select(
         "household_key",
         "recency_weeks",
         "frequency",
         "monetary",
         ratio("monetary", "frequency").alias("avg_basket_value"),
-        "r_score",
-        "f_score",
-        "m_score",
+        *SCORE_ORDERS,
     )
 
 
@@ -101,19 +105,20 @@ def segment_summary(segmented: DataFrame, rules: Sequence[SegmentRule]) -> DataF
 
 def top_customers_share(metrics: DataFrame, top_share: float) -> DataFrame:
     """Revenue share of the top households; their number is rounded half to even, at least 1."""
-    ranked = global_rank(
-        metrics.select("household_key", "monetary"),
-        [F.desc("monetary"), F.asc("household_key")],
-    )
-    wanted = F.greatest(
-        F.bround(F.col("total_rows") * F.lit(float(top_share)), 0).cast("bigint"), F.lit(1)
-    )
-    return ranked.agg(
+    rows = stage(metrics.select("household_key", "monetary"), "revenue")
+    order = {"revenue": [("monetary", False), ("household_key", True)]}
+
+    def wanted(total: int) -> int:
+        return max(1, round(total * float(top_share)))
+
+    chosen = Selection(rows, order, {"revenue": lambda total: [wanted(total)]})
+    top = ~chosen.after("revenue", wanted(chosen.rows))
+    return rows.agg(
         F.count(F.lit(1)).alias("households"),
-        F.count_if(F.col("rank") <= wanted).alias("top_households"),
-        ratio(
-            money_sum(F.when(F.col("rank") <= wanted, F.col("monetary"))), money_sum("monetary")
-        ).alias("top_customers_revenue_share"),
+        F.count_if(top).alias("top_households"),
+        ratio(money_sum(F.when(top, F.col("monetary"))), money_sum("monetary")).alias(
+            "top_customers_revenue_share"
+        ),
     )
 
 

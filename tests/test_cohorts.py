@@ -80,3 +80,31 @@ def test_headline_and_labels(activity):
     assert (row["households_in_kept_cohorts"], row["households_in_dropped_cohorts"]) == (7, 1)
     assert row["retention_period_1"] == pytest.approx(4 / 7)
     assert row["retention_period_9"] is None
+
+
+def test_more_periods_than_one_word_holds(lines):
+    weeks = {1: (1, 64, 65, 66, 130, 200), 2: (63, 64, 129, 191), 3: (193, 194, 201)}
+    rows = [(h, h * 1000 + w, w, 1) for h, seen in weeks.items() for w in seen for _ in range(2)]
+    got = cohorts.cohort_activity(lines(rows), 200, 1).collect()
+    want = {}
+    for seen in weeks.values():
+        for week in seen:
+            if week <= 200:
+                cell = (min(seen) - 1, week - min(seen))
+                want[cell] = want.get(cell, 0) + 1
+    assert {(r["cohort_period"], r["periods_since_first"]): r["active_households"] for r in got} == want
+
+
+def test_activity_takes_one_row_per_household(lines):
+    frame = cohorts.cohort_activity(lines([(1, 1, 1, 1)]), 300, 1)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 2
+
+
+def test_weeks_before_the_first_raise(lines):
+    with pytest.raises(Exception, match="week_no starts with 1"):
+        cohorts.cohort_activity(lines([(1, 1, 0, 1)]), 20, PERIOD).collect()
+
+
+def test_no_complete_period(lines):
+    assert cohorts.cohort_activity(lines([(1, 1, 1, 1)]), 2, PERIOD).collect() == []

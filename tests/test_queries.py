@@ -58,7 +58,9 @@ def test_every_query_has_a_statement(statements):
 @pytest.mark.parametrize("name", SOME)
 def test_query_equals_sql(spark, database, statements, name):
     # The window of the smallest tables ends early, as it should.
-    outcome, _, _ = compare.compare(spark, database, FOLDER, name, statements[name])
+    outcome, _, _ = compare.compare(
+        spark, database, FOLDER, catalog.QUERIES[name], statements[name]
+    )
     assert outcome == "ok"
 
 

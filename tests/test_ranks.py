@@ -25,16 +25,6 @@ def table(spark, numbers):
     return spark.createDataFrame(rows, "key INT, value DOUBLE").repartition(3)
 
 
-@few
-@given(numbers=values, buckets=st.integers(1, 7))
-def test_ntile_equals_window(spark, numbers, buckets):
-    frame = table(spark, numbers)
-    order = [F.desc("value"), F.asc("key")]
-    got = ranks.with_ntile(frame, order, buckets, "bucket")
-    want = frame.withColumn("bucket", F.ntile(buckets).over(Window.orderBy(*order)))
-    assert sorted(got.collect()) == sorted(want.collect())
-
-
 @few
 @given(numbers=values)
 def test_cume_dist_equals_window(spark, numbers):
@@ -61,7 +51,8 @@ def test_rank_is_a_permutation_in_order(spark, numbers):
 @given(numbers=values)
 def test_group_medians(spark, numbers):
     frame = table(spark, numbers).withColumn("g", F.col("key") % 2)
-    got = {r["g"]: r["median"] for r in ranks.group_medians(frame, "g", "value", "key").collect()}
+    numbered = ranks.number(frame, [F.asc("value"), F.asc("key")])
+    got = {r["g"]: r["median"] for r in ranks.group_medians(numbered, "g", "value").collect()}
     groups = {}
     for key, number in enumerate(numbers):
         groups.setdefault(key % 2, []).append(float(number))
@@ -81,14 +72,32 @@ def test_many_rows_cross_partitions(spark):
 
 def test_cutoff_excludes_ties_across_the_limit(spark):
     frame = table(spark, [9, 8, 8, 5, 1])
-    cutoff = ranks.top_share_cutoff(frame, "value", "key", 0.4)
+    cutoff = ranks.top_share_cutoff(frame, "value", 0.4)
     assert frame.where(F.col("value") >= cutoff).count() == 1
-    none = ranks.top_share_cutoff(table(spark, [3, 3]), "value", "key", 0.5)
+    none = ranks.top_share_cutoff(table(spark, [3, 3]), "value", 0.5)
     assert frame.where(F.col("value") >= none).count() == 0
 
 
 @pytest.mark.parametrize("share, expected", [(0.2, 1), (0.4, 1), (0.6, 3), (1.0, 5)])
 def test_cutoff_shares(spark, share, expected):
     frame = table(spark, [9, 8, 8, 5, 1])
-    cutoff = ranks.top_share_cutoff(frame, "value", "key", share)
+    cutoff = ranks.top_share_cutoff(frame, "value", share)
     assert frame.where(F.col("value") >= cutoff).count() == expected
+
+
+def test_medians_of_groups_across_many_ranges(spark):
+    frame = spark.range(5_000).select(
+        F.col("id").alias("key"),
+        (F.xxhash64("id") % 997).alias("value"),
+        F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("g"),  # a group without name
+    )
+    numbered = ranks.number(frame, [F.asc("value"), F.asc("key")])
+    got = {r["g"]: r["median"] for r in ranks.group_medians(numbered, "g", "value").collect()}
+    want = frame.groupBy("g").agg(F.median("value").alias("m")).collect()
+    assert got == {r["g"]: r["m"] for r in want}
+
+
+def test_cutoff_without_rows(spark):
+    frame = table(spark, [1]).where("key < 0")
+    assert ranks.top_share_cutoff(frame, "value", 0.5) is not None
+    assert spark.range(1).select(ranks.top_share_cutoff(frame, "value", 0.5)).first()[0] is None
