@@ -109,6 +109,9 @@ def f_tail(f: float, numerator_dof: float, denominator_dof: float) -> float:
 
 SMALL_GROUP = 8
 
+# Cells of the exact test of two larger groups: a fixed bound of time and memory.
+MOST_CELLS = 100_000
+
 
 @lru_cache
 def _partitions_within(m: int):
@@ -144,11 +147,16 @@ def rank_sum_exact_two_sided(u: float, n1: int, n2: int) -> float:
 
     Arrangements with a U of at most t are the partitions that fit into an n1 x n2 box. With a
     group of at most eight rows they are counted in time and memory that do not depend on the
-    other group; two larger groups take n1 * n2 integers.
+    other group. Two larger groups are counted in a table of n1 * n2 integers; where that has more
+    than ``MOST_CELLS``, the count raises instead of taking what memory the groups ask for.
     """
     small, large = sorted((n1, n2))
     tail = n1 * n2 - math.ceil(max(u, n1 * n2 - u))
     if small > SMALL_GROUP:
+        if small * large > MOST_CELLS:
+            raise ValueError(
+                f"the exact test of {n1} against {n2} rows is too large; set method='asymptotic'"
+            )
         ways = [1] + [0] * (small * large)
         for i in range(1, small + 1):
             for value in range(len(ways) - 1, large + i - 1, -1):

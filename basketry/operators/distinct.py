@@ -16,6 +16,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def word(ids: Column) -> Column:
+    """The word of 64 ids that holds an integer id."""
+    return F.shiftright(ids.cast("bigint"), 6)
+
+
+def bit(ids: Column) -> Column:
+    """The bit of an id in its word."""
+    place = ids.cast("bigint").bitwiseAND(F.lit(63)).cast("int")
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
+
+
 def id_sets(
     frame: DataFrame, ids: Sequence[str], by: Sequence[str] = (), amounts: Mapping[str, Column] = {}
 ) -> DataFrame:
@@ -29,9 +40,6 @@ def id_sets(
             raise TypeError(f"{name} is no integer column")
     members = []
     for kind, name in enumerate(ids):
-        value = F.col(name).cast("bigint")
-        place = value.bitwiseAND(F.lit(63)).cast("int")
-        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
         counted = (
             (amount if kind == 0 else F.lit(None).cast("bigint")).alias(label)
             for label, amount in amounts.items()
@@ -39,8 +47,8 @@ def id_sets(
         members.append(
             F.struct(
                 F.lit(kind).alias("kind"),
-                F.shiftright(value, 6).alias("word"),
-                bit.alias("bits"),
+                word(F.col(name)).alias("word"),
+                bit(F.col(name)).alias("bits"),
                 *counted,
             )
         )

@@ -37,7 +37,8 @@ def data_section(tables: Tables, data: Tables) -> dict[str, DataFrame]:
 
 def business_section(tables: Tables, window: Window, params: JobParams) -> dict[str, DataFrame]:
     baskets = basket_table(tables)
-    weekly = stage(business.weekly_kpi(baskets, window), "weekly-kpi")
+    sets = stage(business.weekly_sets(baskets, window), "weekly-sets")
+    weekly = stage(business.weekly_kpi(baskets, window, sets), "weekly-kpi")
     shares = business.category_share(
         tables["transaction_data"], tables["product"], window, params.business.top_categories
     )
@@ -45,7 +46,7 @@ def business_section(tables: Tables, window: Window, params: JobParams) -> dict[
     return {
         "weekly_kpi": weekly,
         "category_share": shares,
-        "business_totals": business.business_totals(baskets, window, weekly),
+        "business_totals": business.business_totals(baskets, window, weekly, sets),
         "trend_change": business.trend_change(weekly, params.business.trend_weeks),
         "top3_department_share": business.top3_department_share(shares),
     }

@@ -100,17 +100,17 @@ RELATIONS["goods"] = """
     FROM part"""
 
 RELATIONS["people"] = """
-    SELECT c_custkey AS household_key, c_mktsegment AS classification_1,
+    SELECT c_custkey AS household_key,
+           CASE WHEN c_acctbal >= 0 THEN c_mktsegment END AS classification_1,
            n_name AS classification_2, r_name AS classification_3,
-           CASE WHEN c_acctbal < 0 THEN 'negative' ELSE 'positive' END AS classification_4,
+           CASE WHEN c_acctbal < 5000 THEN 'low' ELSE 'high' END AS classification_4,
            CAST(c_custkey % 4 AS VARCHAR) AS classification_5,
            CASE WHEN c_custkey % 2 = 0 THEN 'owner' ELSE 'renter' END AS homeowner_desc,
            CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey % 7 AS VARCHAR) END
                AS kid_category_desc
     FROM customer
     JOIN nation ON n_nationkey = c_nationkey
-    JOIN region ON r_regionkey = n_regionkey
-    WHERE c_custkey % 3 = 0"""
+    JOIN region ON r_regionkey = n_regionkey"""
 
 RELATIONS["dirty_lines"] = """
     SELECT CASE WHEN basket_id % 1009 <> 0 THEN household_key END AS household_key,
@@ -1016,6 +1016,9 @@ def build() -> dict[str, str]:
         ]
     )
     sql["dq_report"] = select("checked", "name passed critical details status")
+    sql["quality_gate_failures"] = select(
+        "checked", "name critical status details", where="WHERE critical AND NOT passed"
+    )
     sql["weekly_activity"] = select("activity_by_week", "week_no active_households days")
     sql["analysis_window"] = select(
         "chosen_window", "start_week end_week", "active_households_threshold"

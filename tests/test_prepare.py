@@ -209,3 +209,25 @@ def test_report_of_window_is_json(spark, lines, tmp_path):
     window.write.json(str(tmp_path / "w"))
     part = next(p for p in (tmp_path / "w").iterdir() if p.suffix == ".json")
     assert json.loads(part.read_text().splitlines()[0])["start_week"] == 1
+
+
+def test_results_are_written_in_their_order(spark, tmp_path):
+    """File after file, a written result comes in the order readers expect."""
+    numbers = [(i * 7919) % 500 for i in range(500)]
+    frames = {
+        "rfm_segments": spark.createDataFrame(
+            [(f"s{i}", 500 - i) for i in numbers], "segment STRING, segment_order INT"
+        ).repartition(5),
+        "weekly_kpi": spark.createDataFrame(
+            [(i if i else None, float(i)) for i in numbers], "week_no INT, revenue DOUBLE"
+        ).repartition(5),
+    }
+    write_results(frames, str(tmp_path))
+
+    def written(name):
+        files = sorted((tmp_path / name).glob("part-*.json"))
+        return [json.loads(line) for file in files for line in file.read_text().splitlines()]
+
+    assert [r["segment_order"] for r in written("rfm_segments")] == list(range(1, 501))
+    weeks = [r.get("week_no") for r in written("weekly_kpi")]
+    assert weeks == [None, *range(1, 500)]

@@ -89,3 +89,10 @@ def test_the_method_is_never_changed():
     assert tails.rank_sum_p_value(40.0, 9, 12, 0.0, "exact")[2] == "exact"
     with pytest.raises(ValueError, match="without ties"):
         tails.rank_sum_p_value(1.0, 3, 3, 6.0, "exact")
+
+
+def test_two_large_groups_are_refused_by_name():
+    assert tails.rank_sum_p_value(40_000.0, 250, 400, 0.0, "exact")[2] == "exact"
+    with pytest.raises(ValueError, match="method='asymptotic'"):
+        tails.rank_sum_p_value(5e9, 100_000, 100_000, 0.0, "exact")
+    assert tails.rank_sum_p_value(5e9, 100_000, 100_000, 0.0)[2] == "asymptotic"
