@@ -53,7 +53,7 @@ class SimHashParams:
     words: int = 4
     distance: int = 4
     pivots: int = 16
-    bucket: int = 1 << 20
+    bucket: int = 4_096
     seed: int = 42
 
 
@@ -167,6 +167,11 @@ def bucketed(table: DataFrame, params: SimHashParams) -> DataFrame:
         rows = stage(rows, "divided-buckets")
 
 
+def pivots_allow(far: np.ndarray, own: np.ndarray, distance: int) -> np.ndarray:
+    """Which rows of pivot distances differ from another in no coordinate by more than that."""
+    return np.abs(far - own).max(axis=1, initial=0) <= distance
+
+
 def bucket_links(fps: np.ndarray, far: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Links that connect what can be connected in one bucket: at most one less than its rows.
 
@@ -174,26 +179,28 @@ def bucket_links(fps: np.ndarray, far: np.ndarray, distance: int) -> list[tuple[
     link; the largest difference over the other pivots discards most, and bits decide the rest.
     """
     if len(fps) == 2:
-        near = np.abs(far[0] - far[1]).max() <= distance
+        near = pivots_allow(far[:1], far[1], distance)[0]
         near = near and int(fps[0] ^ fps[1]).bit_count() <= distance
         return [(int(fps[0]), int(fps[1]))] if near else []
     order = np.argsort(far[:, 0], kind="stable")
     fps, far = fps[order], far[order]
-    links, todo = [], np.arange(len(fps))
-    while len(todo) > 1:
-        reached, todo = [todo[0]], todo[1:]
-        while reached and len(todo):
+    column = far[:, 0]
+    lows = np.searchsorted(column, column - distance)
+    highs = np.searchsorted(column, column + distance, side="right")
+    links, waits = [], np.ones(len(fps), bool)
+    for start in range(len(fps)):
+        if not waits[start]:
+            continue
+        waits[start] = False
+        reached = [start]
+        while reached:
             x = reached.pop()
-            column = far[todo, 0]
-            low = np.searchsorted(column, far[x, 0] - distance)
-            high = np.searchsorted(column, far[x, 0] + distance, side="right")
-            some = todo[low:high]
-            some = some[np.abs(far[some] - far[x]).max(axis=1) <= distance]
+            some = lows[x] + np.flatnonzero(waits[lows[x] : highs[x]])
+            some = some[pivots_allow(far[some], far[x], distance)]
             some = some[np.bitwise_count(fps[some] ^ fps[x]) <= distance]
-            if len(some):
-                links += [(int(fps[x]), int(fps[y])) for y in some]
-                reached += some.tolist()
-                todo = np.setdiff1d(todo, some, assume_unique=True)
+            links += [(int(fps[x]), int(fps[y])) for y in some]
+            reached += some.tolist()
+            waits[some] = False
     return links
 
 

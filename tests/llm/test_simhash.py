@@ -106,3 +106,64 @@ def test_awkward_rows(awkward, nothing):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == firsts
     assert simhash.near_duplicates(nothing).count() == 0
     assert simhash.one_of_each(nothing).count() == 0
+
+
+def one_bucket(rows, seed):
+    """Distinct fingerprints that agree on two blocks, and near ones around some of them."""
+    draw = np.random.default_rng(seed)
+    fixed = simhash.block_masks(0, 4)[0]
+    open_bits = [b for b in range(64) if not fixed >> b & 1]
+    fps = {int(x) & ~fixed & (2**64 - 1) for x in draw.integers(0, 2**64, rows, dtype=np.uint64)}
+    for f in list(fps)[: rows // 50]:
+        for _ in range(3):
+            flips = draw.choice(open_bits, size=int(draw.integers(1, 6)), replace=False)
+            f ^= sum(1 << int(b) for b in flips)
+            fps.add(f)
+    return sorted(fps)
+
+
+def near_pairs(fps, distance=4):
+    """All links, comparing every fingerprint with every other."""
+    array = np.array(fps, np.uint64)
+    for i in range(len(array)):
+        for j in np.flatnonzero(np.bitwise_count(array[:i] ^ array[i]) <= distance):
+            yield fps[i], fps[int(j)]
+
+
+def connected(pairs, nodes):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {n: find(n) for n in nodes}
+
+
+def test_a_large_bucket_is_divided_and_loses_no_link(spark):
+    """20,000 fingerprints meet under one key, five times what a task takes."""
+    fps = one_bucket(20_000, 8)
+    frame = spark.createDataFrame([(f - 2**64 if f >> 63 else f,) for f in fps], "_fp LONG")
+    params = simhash.SimHashParams()
+    assert len(fps) > 4 * params.bucket
+    found = [(r["left"] % 2**64, r["right"] % 2**64) for r in simhash.links(frame, params).collect()]
+    assert all((a ^ b).bit_count() <= 4 for a, b in found)
+    assert connected(found, fps) == connected(near_pairs(fps), fps)
+
+
+def test_pivots_discard_most_pairs_of_a_bucket():
+    """With sixteen pivots over nine of ten unrelated pairs go without a look at their bits."""
+    fps = np.array(one_bucket(2_000, 9), np.uint64)
+    pivots = np.array([p % 2**64 for p in simhash.references(16)], np.uint64)
+    far = np.bitwise_count(fps[:, None] ^ pivots).astype(np.int16)
+    kept = sum(int(simhash.pivots_allow(far[:i], far[i], 4).sum()) for i in range(len(fps)))
+    share = 1 - kept / (len(fps) * (len(fps) - 1) / 2)
+    assert share > 0.9
+    near = sum(1 for _ in near_pairs(fps.tolist()))
+    assert kept >= near
+    print(f"pivots discard {share:.4f} of the pairs")
