@@ -59,6 +59,15 @@ def id_sets(
     )
 
 
+def members(sets: DataFrame, kind: int, name: str) -> DataFrame:
+    """The ids of one kind, each once."""
+    words = merged(sets.where((F.col("kind") == kind) & F.col("bits").isNotNull()))
+    places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(F.col("bits"), i) == 1)
+    found = words.select("word", F.explode(places).alias("place"))
+    first = F.call_function("shiftleft", F.col("word"), F.lit(6))
+    return found.select(first.bitwiseOR(F.col("place").cast("bigint")).alias(name))
+
+
 def merged(sets: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The union of sets that agree in ``by``."""
     return sets.groupBy(*by, "kind", "word").agg(F.bit_or("bits").alias("bits"))

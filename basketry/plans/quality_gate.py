@@ -19,12 +19,20 @@ REPORT_SCHEMAS = {
 
 
 def quality_report(
-    tables: Mapping[str, DataFrame], params: QualityParams
+    tables: Mapping[str, DataFrame],
+    params: QualityParams,
+    measured: Mapping[str, DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
-    """The three tables of the report. The weekly profile is staged: the window reads it again."""
-    weekly = stage(quality.weekly_activity(tables["transaction_data"]), "weekly-activity")
+    """The three tables of the report.
+
+    The lines are read for one staged table of sets, which gives the weekly profile and the sold
+    products, and for nulls and weeks only if the job that wrote them has not ``measured`` those.
+    """
+    lines = tables["transaction_data"]
+    sets = stage(quality.line_sets(lines), "line-sets")
+    weekly = stage(quality.weekly_activity(lines, sets), "weekly-activity")
     return {
-        "checks": quality.run_checks(tables, params),
+        "checks": quality.run_checks(tables, params, measured, quality.sold_products(sets)),
         "weekly_activity": weekly,
         "analysis_window": quality.analysis_window(
             weekly, params.stable_activity_ratio, params.full_week_days
@@ -41,10 +49,16 @@ def read_report(spark: SparkSession, report_dir: str) -> dict[str, DataFrame]:
 
 
 def run_gate(
-    tables: Mapping[str, DataFrame], params: QualityParams, report_dir: str
+    tables: Mapping[str, DataFrame],
+    params: QualityParams,
+    report_dir: str,
+    measured: Mapping[str, DataFrame] | None = None,
 ) -> Window:
-    """Write the report, then raise on critical failures; a failed run keeps its evidence."""
-    report = quality_report(tables, params)
+    """Write the report, then raise on critical failures; a failed run keeps its evidence.
+
+    ``measured`` is what ``prepare`` observed while it wrote the tables (``read_measures``).
+    """
+    report = quality_report(tables, params, measured)
     for name, frame in report.items():
         frame.write.mode("overwrite").json(f"{report_dir}/{name}")
     written = read_report(report["checks"].sparkSession, report_dir)

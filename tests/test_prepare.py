@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from basketry.operators import quality
 from basketry.params import CohortParams, JobParams, PlacementCodes, PromoParams, QualityParams
 from basketry.plans.analyze import analyze, write_results
-from basketry.plans.prepare import prepare, read_stats
-from basketry.plans.quality_gate import read_report, run_gate
+from basketry.plans.prepare import prepare, read_measures, read_stats
+from basketry.plans.quality_gate import quality_report, read_report, run_gate
 from basketry.sources import storage, tables
 from basketry.sources.schemas import PROCESSED_TABLES, RAW_SCHEMAS
 
@@ -231,3 +231,27 @@ def test_results_are_written_in_their_order(spark, tmp_path):
     assert [r["segment_order"] for r in written("rfm_segments")] == list(range(1, 501))
     weeks = [r.get("week_no") for r in written("weekly_kpi")]
     assert weeks == [None, *range(1, 500)]
+
+
+def test_the_gate_needs_no_other_look_at_what_prepare_observed(spark, processed, tmp_path):
+    """Same report; with the observed measures, the checks read neither lines nor placements."""
+    got = tables.read_tables(spark, processed[0])
+    params = QualityParams(min_week=1, max_week=WEEKS)
+    measured = read_measures(spark, processed[0], params)
+    assert {"transaction_data", "causal_data"} <= set(measured)
+    run_gate(got, params, str(tmp_path / "plain"))
+    run_gate(got, params, str(tmp_path / "measured"), measured)
+    reports = [read_report(spark, str(tmp_path / name)) for name in ("plain", "measured")]
+    for name, frame in reports[0].items():
+        assert sorted(map(repr, frame.collect())) == sorted(map(repr, reports[1][name].collect()))
+    checks = quality_report(got, params, measured)["checks"]
+    read = checks.inputFiles()
+    assert any("/product/" in file for file in read)
+    assert not any("/transaction_data/" in file or "/causal_data/" in file for file in read)
+
+
+def test_observed_measures_equal_those_of_the_written_tables(spark, processed):
+    got = tables.read_tables(spark, processed[0])
+    params = QualityParams()
+    for name, row in read_measures(spark, processed[0], params).items():
+        assert tuple(row.first()) == tuple(got[name].agg(*quality.measures(name, params)).first())
