@@ -114,10 +114,10 @@ def op7_merkle(spark, folder):
         F.col("_id").alias("doc_id"),
         F.length("text").cast("bigint").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        F.col("own_root").alias("fingerprint"),
-        F.col("edited_root").alias("edited_fingerprint"),
-        merkle.tree_likeness("own", "edited").alias("near_edited"),
-        merkle.tree_likeness("own", "next").alias("near_next"),
+        F.col("own_fingerprint").alias("fingerprint"),
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
         F.size("own_leaves").cast("bigint").alias("n_paragraphs"),
         F.size("own_sections").cast("bigint").alias("n_sections"),
         merkle.first_difference("own", "edited").alias("first_changed"),

@@ -1,20 +1,22 @@
-"""Document fingerprints: a Merkle tree over paragraphs and sections, in DataFrame functions only.
-
-A paragraph is a line, and its digest a leaf. A section ends with a paragraph whose digest begins
-with 0 or 1, one in eight, so borders follow the content and an edit moves only those near it. A
-section's digest is that of its leaves, and the root's that of the sections: equal texts have equal
-roots, other texts have others, and sections and paragraphs that differ say where an edit is.
-
-Under a paragraph lie its pieces, the finest leaves: runs of about four words, each ending where the
-word's checksum or the line says so, so borders follow the content here too. Joined in order they
-are the text. A paragraph's digest is taken over its whole text, not over the digests of its pieces.
-``tree_likeness`` is the share of nodes that two trees have in common (twice the common ones by the
-sum of both), where nodes are the pieces, each pair of neighbouring pieces and the root; a piece
-that occurs n times is n nodes. It is 1 for equal roots and below 1 for others.
-``likeness`` looks at the sets of sentences alone, whatever their number and order.
-
-A null text is an empty one: one empty paragraph. Texts without a sentence or piece are unlike any other.
-Documents are in order of ``doc_id`` (null last), then text; repeated rows follow one another.
+"""Document fingerprints: a Merkle tree over pieces, paragraphs and sections, in DataFrame functions.
+
+The leaves are pieces: runs of about four words, each ending where the word's checksum or the line
+says so, so borders follow the content and an edit moves only those near it. Joined in order they
+are the text. A paragraph is a line, and its digest that of its pieces' digests. A section ends with
+a paragraph whose digest begins with 0 or 1, one in eight. A section's digest is that of its
+paragraphs, and the root's that of the sections: equal texts have equal roots, other texts have
+others, and sections and paragraphs that differ say where an edit is.
+
+A fingerprint is a string: the root, a colon, and the first eight hex digits of every piece's digest,
+with a comma after each paragraph but the last. ``likeness`` needs two of them and no text: the share
+of nodes that they have in common (twice the common ones by the sum of both), where nodes are the
+pieces, each pair of neighbouring pieces and the root; a piece that occurs n times is n nodes. It is
+1 for equal fingerprints and below 1 for others. About a third of the text's bytes is the price of
+a likeness that sees every piece; the root alone tells equal from other.
+
+A null text is an empty one: one paragraph without pieces, unlike any other but its equals.
+Documents are in order of ``doc_id`` (null last), then text; repeated rows follow one another. A very
+long text is one row: its pieces are arrays in that row. Rows of one ``doc_id`` meet in one task.
 """
 
 from __future__ import annotations
@@ -24,8 +26,6 @@ from pyspark.sql import functions as F
 
 from basketry.llm.common import text_of
 
-SENTENCE = r"[^.!?\n\x20][^.!?\n]*[.!?]*|[.!?]+"
-
 #: A line break, or a word with the blanks before it, or blanks that no word follows. Words end
 #: after 32 characters at most, and a kana or Chinese character is a word.
 PIECE_WORD = (
@@ -36,13 +36,20 @@ PIECE_WORD = (
 #: One word in so many ends a piece.
 PIECE_WORDS = 4
 
+#: Hex digits of a whole digest, and of a piece's digest in a fingerprint.
+DIGEST, SHORT = 64, 8
+
+#: Ranges of ids whose bytes are counted, for each block of neighbouring ids.
+FINE = 16
+
 
-def leaves(text: Column) -> Column:
-    return F.transform(F.split(text, "\n"), lambda p: F.sha2(F.concat(F.lit("p"), p), 256))
+def _places(last: Column) -> Column:
+    """0 to ``last``; none if it is negative."""
+    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
 def sections(leaf: Column) -> Column:
-    """Structs of a section's first and last leaf place and its digest; ``leaf`` is a column."""
+    """Structs of a section's first and last paragraph and its digest; ``leaf`` is a column."""
     last = F.size(leaf) - 1
     stops = F.filter(
         F.sequence(F.lit(0), last),
@@ -68,62 +75,69 @@ def root(section: Column) -> Column:
     return F.sha2(F.concat(F.lit("r"), F.array_join(section["digest"], "")), 256)
 
 
-def sentences(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
-    return F.array_distinct(F.transform(found, lambda s: F.xxhash64(s)))
-
-
 def with_tree(frame: DataFrame, text: str, prefix: str) -> DataFrame:
-    """Columns ``<prefix>_leaves, _sections, _root, _sentences`` of the tree of ``text``."""
-    return (
-        frame.withColumn(f"{prefix}_leaves", leaves(F.col(text)))
-        .withColumn(f"{prefix}_sections", sections(F.col(f"{prefix}_leaves")))
-        .withColumn(f"{prefix}_root", root(F.col(f"{prefix}_sections")))
-        .withColumn(f"{prefix}_sentences", sentences(F.col(text)))
-    )
-
-
-def with_pieces(frame: DataFrame, text: str, prefix: str) -> DataFrame:
-    """Column ``<prefix>_nodes``: hashes of the pieces of ``text`` and of neighbours among them.
-
-    Nodes that occur several times are numbered, so equal hashes do not fall together.
-    """
-    words, pieces, nodes = f"{prefix}_words", f"{prefix}_pieces", f"{prefix}_nodes"
-    stops, ends = f"{prefix}_stops", f"{prefix}_ends"
+    """Columns ``<prefix>_leaves`` (of paragraphs), ``_sections`` and ``_fingerprint`` of ``text``."""
+    words, stops, digests = (f"{prefix}_{name}" for name in ("words", "stops", "digests"))
     last = F.size(words) - 1
     ends_piece = lambda i: (
         (i == last)
         | (F.get(words, i) == "\n")
         | (F.crc32(F.get(words, i)) % F.lit(PIECE_WORDS) == 0)
     )
-    places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
     frame = frame.withColumn(words, F.regexp_extract_all(text, F.lit(PIECE_WORD), F.lit(0)))
-    frame = frame.withColumn(stops, F.filter(places, ends_piece))
+    frame = frame.withColumn(stops, F.filter(_places(last), ends_piece))
     starts = F.concat(F.array(F.lit(0)), F.transform(stops, lambda i: i + 1))
+    # A piece's digest, with a comma if the piece ends its paragraph.
+    digest = lambda a, b: F.concat(
+        F.sha2(F.array_join(F.slice(words, a + 1, b - a + 1), ""), 256),
+        F.when(F.get(words, b) == "\n", F.lit(",")).otherwise(F.lit("")),
+    )
+    frame = frame.withColumn(
+        digests, F.zip_with(F.slice(starts, F.lit(1), F.size(stops)), stops, digest)
+    )
+    paragraphs = F.split(F.array_join(digests, ""), ",")
+    short = F.transform(
+        digests, lambda d: F.concat(F.substring(d, 1, SHORT), F.substring(d, DIGEST + 1, 1))
+    )
+    return (
+        frame.withColumn(
+            f"{prefix}_leaves",
+            F.transform(paragraphs, lambda p: F.sha2(F.concat(F.lit("p"), p), 256)),
+        )
+        .withColumn(f"{prefix}_sections", sections(F.col(f"{prefix}_leaves")))
+        .withColumn(
+            f"{prefix}_fingerprint",
+            F.concat(root(F.col(f"{prefix}_sections")), F.lit(":"), F.array_join(short, "")),
+        )
+        .drop(words, stops, digests)
+    )
+
+
+def with_nodes(frame: DataFrame, fingerprint: str, nodes: str) -> DataFrame:
+    """Column ``nodes``: hashes of a fingerprint's pieces and of neighbours among them.
+
+    Nodes that occur several times are numbered, so equal hashes do not fall together.
+    """
+    pieces, ends = f"{nodes}_pieces", f"{nodes}_ends"
+    of_pieces = F.substring(fingerprint, DIGEST + 2, 2**31 - 1)
     frame = frame.withColumn(
         pieces,
-        F.zip_with(
-            F.slice(starts, F.lit(1), F.size(stops)),
-            stops,
-            lambda a, b: F.xxhash64(F.slice(words, a + 1, b - a + 1)),
-        ),
+        F.regexp_extract_all(of_pieces, F.lit(f"[0-9a-f]{{{SHORT}}}"), F.lit(0)),
     )
-    outside = F.array(F.lit(None).cast("bigint"))
+    outside = F.array(F.lit(None).cast("string"))
     pairs = F.zip_with(
         F.concat(outside, pieces),
         F.concat(pieces, outside),
         lambda a, b: F.xxhash64(F.lit(1), a, a.isNull(), b, b.isNull()),
     )
-    every = F.when(F.size(pieces) > 0, F.sort_array(F.concat(pieces, pairs)))
+    singles = F.transform(pieces, lambda piece: F.xxhash64(piece))
+    every = F.when(F.size(pieces) > 0, F.sort_array(F.concat(singles, pairs)))
     frame = frame.withColumn(nodes, F.coalesce(every, F.array().cast("array<bigint>")))
     # Equal hashes are neighbours now: a run of them is told apart by its places in the run.
     final = F.size(nodes) - 1
-    places = F.when(final >= 0, F.sequence(F.lit(0), final)).otherwise(
-        F.array().cast("array<int>")
-    )
     frame = frame.withColumn(
         ends,
-        F.filter(places, lambda i: (i == final) | (F.get(nodes, i) != F.get(nodes, i + 1))),
+        F.filter(_places(final), lambda i: (i == final) | (F.get(nodes, i) != F.get(nodes, i + 1))),
     )
     before = F.concat(F.array(F.lit(-1)), F.col(ends))
     numbered = F.zip_with(
@@ -133,27 +147,22 @@ def with_pieces(frame: DataFrame, text: str, prefix: str) -> DataFrame:
             F.sequence(F.lit(1), b - a), lambda n: F.xxhash64(F.get(nodes, b), n)
         ),
     )
-    frame = frame.withColumn(nodes, F.flatten(numbered))
-    return frame.drop(words, stops, pieces, ends)
+    return frame.withColumn(nodes, F.flatten(numbered)).drop(pieces, ends)
 
 
-def tree_likeness(left: str, right: str) -> Column:
-    """Share of the common nodes, for columns of ``with_pieces`` and ``with_tree``."""
-    a, b = F.col(f"{left}_nodes"), F.col(f"{right}_nodes")
-    common = F.size(F.array_intersect(a, b)) * F.lit(2.0)
-    total = F.size(a) + F.size(b) + 2  # the roots are nodes as well
-    return F.when(F.col(f"{left}_root") == F.col(f"{right}_root"), F.lit(1.0)).otherwise(
-        common / total
-    )
-
-
-def likeness(left: str, right: str) -> Column:
-    a, b = F.col(f"{left}_sentences"), F.col(f"{right}_sentences")
-    common = F.size(F.array_intersect(a, b)) * F.lit(2.0)
-    total = F.size(a) + F.size(b)
-    return F.when(F.col(f"{left}_root") == F.col(f"{right}_root"), F.lit(1.0)).otherwise(
-        F.when(total > 0, common / total).otherwise(F.lit(0.0))
-    )
+def with_likeness(frame: DataFrame, left: str, right: dict[str, str]) -> DataFrame:
+    """The likeness of fingerprint ``left`` to others: ``right`` names a new column for each."""
+    own = "_own_nodes"
+    frame = with_nodes(frame, left, own)
+    for fingerprint, name in right.items():
+        nodes = f"_{name}_nodes"
+        frame = with_nodes(frame, fingerprint, nodes)
+        common = F.size(F.array_intersect(own, nodes)) * F.lit(2.0)
+        total = F.size(own) + F.size(nodes) + 2  # the roots are nodes as well
+        same = F.substring(left, 1, DIGEST) == F.substring(fingerprint, 1, DIGEST)
+        frame = frame.withColumn(name, F.when(same, F.lit(1.0)).otherwise(common / total))
+        frame = frame.drop(nodes)
+    return frame.drop(own)
 
 
 def first_difference(left: str, right: str) -> Column:
@@ -185,50 +194,82 @@ def _block(value: Column, bounds: list[int]) -> Column:
     return F.when(value.isNull(), F.lit(len(bounds))).otherwise(found)
 
 
-def with_next(rows: DataFrame, order: list[Column], columns: list[str]) -> DataFrame:
-    """``rows`` (with ``_id``) plus ``_next_<column>`` of the row that follows, after the last the
-    first.
+def block_bounds(rows: DataFrame, size: Column, blocks: int) -> tuple[list[int], list[tuple]]:
+    """First ids of the blocks but the first, cut so that blocks hold about equal bytes, and
+    (first id, block before) of every block that has one before it.
 
-    Rows meet in blocks of neighbouring ids, as many as shuffle partitions; the first ids of a
-    block go to the block before as well. So the texts are shuffled once, and the driver holds
-    one number per block. Bounds come from ids alone.
+    Ids are taken apart into ``FINE`` ranges a block, whose bytes are added up; only ranges reach
+    the driver. A range is in one block whole, so a block exceeds its share by one range at most.
+    """
+    fine = FINE * blocks
+    marks = [i / fine for i in range(1, fine)]
+    bounds = rows.agg(F.percentile_approx("_id", marks, max(1000, 20 * fine))).first()[0]
+    bounds = sorted(set(bounds or []))
+    ranges = (
+        rows.groupBy(_block(F.col("_id"), bounds).alias("range"))
+        .agg(F.min("_id").alias("first"), F.sum(size).alias("bytes"))
+        .orderBy("range")
+        .collect()
+    )
+    share = max(1, sum(r["bytes"] for r in ranges)) / blocks
+    cuts, ahead, held, now = [], [], 0, 0
+    for r in ranges:
+        # The middle of a range says which share of all bytes it lies in.
+        at = int((held + r["bytes"] / 2) / share)
+        # Ids that are null are the last range and belong to the block before them.
+        if held and at > now and r["first"] is not None:
+            ahead.append((r["first"], len(cuts)))
+            cuts.append(r["first"])
+        held, now = held + r["bytes"], at
+    return cuts, ahead
+
+
+def with_next(rows: DataFrame, order: list[Column], prefix: str) -> DataFrame:
+    """``rows`` (``_id``, ``text``) with their trees, plus ``_next_text`` and the fingerprint
+    ``next_fingerprint`` of the row that follows, after the last the first.
+
+    Rows meet in blocks of neighbouring ids, at most as many as shuffle partitions and one a
+    partition; the first ids of a block go to the block before as well. So the texts are shuffled
+    once, trees are built where they meet, and the driver holds a few numbers per block.
     """
     spark = rows.sparkSession
     blocks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids = rows.select("_id")
-    marks = [i / blocks for i in range(1, blocks)] or [0.5]
-    bounds = ids.agg(F.percentile_approx("_id", marks, max(1000, 20 * blocks))).first()[0]
-    bounds = sorted(set(bounds or []))
-    block = _block(F.col("_id"), bounds)
-    firsts = ids.groupBy(block.alias("b")).agg(F.min("_id").alias("f")).orderBy("b").collect()
-    ahead = [(row["f"], firsts[i - 1]["b"]) for i, row in enumerate(firsts)]
+    size = F.octet_length("text") + F.lit(64)
+    bounds, ahead = block_bounds(rows, size, blocks)
+    first = rows.agg(F.min("_id")).first()[0]
+    ahead.append((first, len(bounds)))  # the first row follows the last
     table = spark.createDataFrame(ahead, "_first long, _before int")
-    places = F.array(F.struct(block.alias("b"), F.lit(False).alias("ahead")))
-    both = F.concat(
-        places, F.array(F.struct(F.col("_before").alias("b"), F.lit(True).alias("ahead")))
-    )
+    here = F.struct(_block(F.col("_id"), bounds).alias("block"), F.lit(False).alias("ahead"))
+    there = F.struct(F.col("_before").alias("block"), F.lit(True).alias("ahead"))
     dealt = (
         rows.join(F.broadcast(table), F.col("_id").eqNullSafe(F.col("_first")), "left")
-        .withColumn("_at", F.explode(F.when(F.col("_before").isNull(), places).otherwise(both)))
-        .drop("_first", "_before")
+        .withColumn(
+            "_at",
+            F.explode(F.when(F.col("_before").isNull(), F.array(here)).otherwise(F.array(here, there))),
+        )
+        .select("_id", "text", F.col("_at.block").alias("_block"), F.col("_at.ahead").alias("_ahead"))
+        .repartitionById(blocks, "_block")
     )
-    following = Window.partitionBy("_at.b").orderBy("_at.ahead", *order)
+    dealt = with_tree(dealt, "text", prefix)
+    following = Window.partitionBy("_block").orderBy("_ahead", *order)
     # The copies sent ahead sort last, so each block's last own row is followed by one of them.
-    return dealt.select(
-        "*", *(F.lead(name).over(following).alias(f"_next_{name}") for name in columns)
-    ).where("NOT _at.ahead")
+    return (
+        dealt.withColumn("_next_text", F.lead("text").over(following))
+        .withColumn("next_fingerprint", F.lead(f"{prefix}_fingerprint").over(following))
+        .where("NOT _ahead")
+        .drop("_block", "_ahead")
+    )
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
-    """Every document with its tree, the next document's tree and that of its edited text.
+    """Every document with its tree, that of its edited text, the next document's fingerprint, and
+    the likeness of its fingerprint to both, ``near_edited`` and ``near_next``.
 
     The edited text has the last half of the code points (rounded down) replaced by as many from
     the start of the next text, or by all of it.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("_id"), text_of().alias("text"))
-    rows = with_tree(rows, "text", "own").drop("own_sections", "own_leaves")
-    order = [F.col("_id").asc_nulls_last(), F.col("text")]
-    rows = with_next(rows, order, ["text", "own_root", "own_sentences"])
+    rows = with_next(rows, [F.col("_id").asc_nulls_last(), F.col("text")], "own")
     size = F.length("text")
     half = F.floor(size / 2).cast("int")
     rows = rows.withColumn(
@@ -238,12 +279,6 @@ def with_edits(docs: DataFrame) -> DataFrame:
             F.substring(F.col("_next_text"), F.lit(1), half),
         ),
     )
-    rows = rows.withColumnRenamed("_next_own_root", "next_root")
-    rows = rows.withColumnRenamed("_next_own_sentences", "next_sentences")
-    rows = rows.withColumn("own_leaves", leaves(F.col("text")))
-    rows = rows.withColumn("own_sections", sections(F.col("own_leaves")))
     rows = with_tree(rows, "edited", "edited")
-    # Pieces are computed after the shuffle, from the texts that met there.
-    for prefix, text in (("own", "text"), ("next", "_next_text"), ("edited", "edited")):
-        rows = with_pieces(rows, text, prefix)
-    return rows
+    others = {"edited_fingerprint": "near_edited", "next_fingerprint": "near_next"}
+    return with_likeness(rows, "own_fingerprint", others)

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from basketry.llm import chat, licenses, merkle, token_files
+from basketry.llm import catalog, chat, licenses, merkle, token_files
 from basketry.sources.storage import new_folder
 
 # --- licenses ---------------------------------------------------------------------------------
@@ -93,8 +93,27 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def pieces_of(text):
+    """The pieces of a text, as tuples of words."""
+    pieces, held = [], []
+    for word in re.findall(merkle.PIECE_WORD, text):
+        held.append(word)
+        if word == "\n" or zlib.crc32(word.encode()) % merkle.PIECE_WORDS == 0:
+            pieces.append(tuple(held))
+            held = []
+    pieces += [tuple(held)] if held else []
+    assert "".join("".join(piece) for piece in pieces) == text
+    return pieces
+
+
 def expected_tree(text):
-    leaves = [sha("p" + p) for p in text.split("\n")]
+    """The fingerprint of a text and the digests of its paragraphs."""
+    paragraphs = [[]]
+    for piece in pieces_of(text):
+        paragraphs[-1].append(sha("".join(piece)))
+        if piece[-1] == "\n":
+            paragraphs.append([])
+    leaves = [sha("p" + "".join(paragraph)) for paragraph in paragraphs]
     sections, held = [], []
     for leaf in leaves:
         held.append(leaf)
@@ -103,15 +122,8 @@ def expected_tree(text):
             held = []
     if held:
         sections.append(sha("s" + "".join(held)))
-    found = re.findall(r"[^.!?\n\x20][^.!?\n]*[.!?]*|[.!?]+", text)
-    return sha("r" + "".join(sections)), leaves, set(found)
-
-
-def expected_likeness(a, b):
-    if a[0] == b[0]:
-        return 1.0
-    total = len(a[2]) + len(b[2])
-    return 2.0 * len(a[2] & b[2]) / total if total else 0.0
+    short = ",".join("".join(digest[:8] for digest in p) for p in paragraphs)
+    return sha("r" + "".join(sections)) + ":" + short, leaves
 
 
 def edits(rows):
@@ -126,21 +138,18 @@ def check_trees(docs, rows):
     found = merkle.with_edits(docs).select(
         "text",
         F.sha2("edited", 256),
-        "own_root",
-        "edited_root",
-        F.round(merkle.likeness("own", "edited"), 9),
-        F.round(merkle.likeness("own", "next"), 9),
+        "own_fingerprint",
+        "edited_fingerprint",
         merkle.first_difference("own", "edited"),
     )
     want = []
-    for text, edited, after in edits(rows):
-        own, new, following = map(expected_tree, (text, edited, after))
+    for text, edited, _ in edits(rows):
+        own, new = map(expected_tree, (text, edited))
         width = max(len(own[1]), len(new[1]))
         first = next(
             (i for i in range(width) if own[1][i : i + 1] != new[1][i : i + 1]), None
         )
-        near = round(expected_likeness(own, new), 9), round(expected_likeness(own, following), 9)
-        want.append((text, sha(edited), own[0], new[0], *near, first))
+        want.append((text, sha(edited), own[0], new[0], first))
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
 
 
@@ -161,14 +170,7 @@ def test_trees_of_awkward_rows(awkward, nothing, spark):
 
 def expected_nodes(text):
     """Pieces and neighbours with their numbers of occurrences."""
-    pieces, held = [], []
-    for word in re.findall(merkle.PIECE_WORD, text):
-        held.append(word)
-        if word == "\n" or zlib.crc32(word.encode()) % merkle.PIECE_WORDS == 0:
-            pieces.append(tuple(held))
-            held = []
-    pieces += [tuple(held)] if held else []
-    assert "".join("".join(piece) for piece in pieces) == text
+    pieces = pieces_of(text)
     ends = [None, *pieces, None]
     return Counter(pieces) + Counter(zip(ends, ends[1:]) if pieces else ())
 
@@ -183,8 +185,8 @@ def expected_tree_likeness(a, b):
 def check_tree_likeness(docs, rows):
     found = merkle.with_edits(docs).select(
         "text",
-        F.round(merkle.tree_likeness("own", "edited"), 9),
-        F.round(merkle.tree_likeness("own", "next"), 9),
+        F.round("near_edited", 9),
+        F.round("near_next", 9),
     )
     want = [
         (text, *(round(expected_tree_likeness(text, other), 9) for other in others))
@@ -204,12 +206,49 @@ def test_likeness_sees_long_sentences_order_and_repeats(spark):
     texts = [words, "other words here. " * 150, "a b. c d. e f.", "e f. c d. a b.", "g h.", "g h. g h."]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")
     near = {r[0]: (r[1], r[2]) for r in merkle.with_edits(docs).select(
-        "_id", merkle.tree_likeness("own", "edited"), merkle.tree_likeness("own", "next")
+        "_id", "near_edited", "near_next"
     ).collect()}
     assert 0.3 < near[0][0] < 0.7
     assert near[2][1] < 1 and near[4][1] < 1
 
 
+def nodes_of_fingerprint(fingerprint):
+    pieces = re.findall("[0-9a-f]{8}", fingerprint.split(":")[1])
+    ends = [None, *pieces, None]
+    return Counter(pieces) + Counter(zip(ends, ends[1:]) if pieces else ())
+
+
+def test_likeness_follows_from_the_returned_columns(spark):
+    """Two fingerprints of the query's result give the likeness it states, without any text."""
+    rows = catalog.QUERIES["op7_merkle"](spark, "/root/testdata/sf0.001").orderBy("doc_id").collect()
+    assert len(rows) > 50
+
+    def near(a, b):
+        if a.split(":")[0] == b.split(":")[0]:
+            return 1.0
+        ours, theirs = nodes_of_fingerprint(a), nodes_of_fingerprint(b)
+        return 2.0 * (ours & theirs).total() / (ours.total() + theirs.total() + 2)
+
+    for row, after in zip(rows, rows[1:] + rows[:1]):
+        assert row["near_edited"] == pytest.approx(near(row["fingerprint"], row["edited_fingerprint"]))
+        assert row["near_next"] == pytest.approx(near(row["fingerprint"], after["fingerprint"]))
+
+
+def test_blocks_hold_equal_bytes_and_one_shuffle(spark):
+    """Every tenth id has a text a hundred times as long; most of them lie together."""
+    text = F.expr("repeat('some words ', IF(id < 400 OR id % 10 = 0, 300, 3))")
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").alias("_id"), "text")
+    bounds, ahead = merkle.block_bounds(rows, F.octet_length("text"), 8)
+    assert len(bounds) <= 7 and [first for first, _ in ahead] == bounds
+    sizes = rows.groupBy(merkle._block(F.col("_id"), bounds)).agg(F.sum(F.octet_length("text")))
+    sizes = [r[1] for r in sizes.collect()]
+    assert max(sizes) < 2 * sum(sizes) / len(sizes)
+    plan = merkle.with_edits(docs)._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("Initial Plan")[0]
+    assert plan.count("Exchange") - plan.count("BroadcastExchange") == 1, plan
+
+
 # --- chat -------------------------------------------------------------------------------------
 
 
