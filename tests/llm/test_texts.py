@@ -212,6 +212,16 @@ def test_likeness_sees_long_sentences_order_and_repeats(spark):
     assert near[2][1] < 1 and near[4][1] < 1
 
 
+@given(st.text(alphabet="ab!~ \n\r\t\x01\x7f\x85é中ア\U0001f600", max_size=120))
+@settings(max_examples=300, deadline=None)
+def test_piece_words_match_the_plain_pattern(text):
+    """The form that saves time finds the words of the rule: 32 characters, or one of kana."""
+    blank, kana = r"[ \t\x0b-\r]", "぀-ヿ㐀-鿿"
+    plain = rf"\n|{blank}*(?:[{kana}]|[^ \t-\r{kana}]{{1,32}})|{blank}+"
+    for some in (text, text * 5, text.replace(" ", "a")):
+        assert re.findall(merkle.PIECE_WORD, some) == re.findall(plain, some)
+
+
 def nodes_of_fingerprint(fingerprint):
     pieces = re.findall("[0-9a-f]{8}", fingerprint.split(":")[1])
     ends = [None, *pieces, None]
