@@ -126,8 +126,7 @@ def promo_members(
 ) -> tuple[DataFrame, DataFrame]:
     """Promo and cannibalisation event members with their outcome history, both staged."""
     kept = stage(promo.keep_departments(product_weeks, params), "product-weeks")
-    flags = promo.promo_flags(promo.promo_spine(kept), params, window)
-    flags = stage(promo.informative(flags), "promo-flags")
+    flags = stage(promo.informative(kept, params, window), "promo-flags")
     return (
         stage(promo.promo_events(flags), "promo-events"),
         stage(promo.cannibalization_events(flags), "cannibalization-events"),

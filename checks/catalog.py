@@ -93,9 +93,8 @@ def kept_product_weeks(spark: SparkSession, folder: str) -> DataFrame:
 
 def flags(spark: SparkSession, folder: str) -> DataFrame:
     """Staged too: group flags and members both read them."""
-    spine = promo.promo_spine(kept_product_weeks(spark, folder))
-    marked = promo.promo_flags(spine, PARAMS.promo, WINDOW)
-    return stage(promo.informative(marked), "promo-flags")
+    marked = promo.informative(kept_product_weeks(spark, folder), PARAMS.promo, WINDOW)
+    return stage(marked, "promo-flags")
 
 
 # --- sources and sinks ------------------------------------------------------------------------
@@ -480,8 +479,8 @@ def promo_weeks(spark, folder):
 
 @query
 def promo_flags(spark, folder):
-    spine = promo.promo_spine(kept_product_weeks(spark, folder))
-    return promo.promo_flags(spine, PARAMS.promo, WINDOW).drop("history")
+    kept = kept_product_weeks(spark, folder)
+    return promo.promo_flags(kept, PARAMS.promo, WINDOW).drop("history")
 
 
 def members(spark, folder):
