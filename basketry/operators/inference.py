@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions import tails
-from basketry.operators.skew import salted_lookup
+from basketry.operators.skew import heavy_keys, salted_lookup
 from basketry.sources.storage import stage
 
 # A series is one SQL expression per week, oldest first.
@@ -28,8 +28,8 @@ def demean_members(members: DataFrame, series: Series) -> DataFrame:
     """Two-way demeaned ``series`` as columns ``<name>_<position>``, one row per member.
 
     ``members`` has one row per event and product. The week means of an event are a partial
-    aggregate and come back by a salted join, so an event that holds a third of the members is
-    spread over tasks.
+    aggregate, which counts the members too, and come back by a salted join, so an event that
+    holds a third of the members is spread over tasks.
     """
     names = {name: [f"{name}_{t}" for t in range(len(series[name]))] for name in series}
     flat = members.selectExpr(
@@ -41,10 +41,20 @@ def demean_members(members: DataFrame, series: Series) -> DataFrame:
             for column, expression in zip(names[name], series[name], strict=True)
         ),
     )
-    means = flat.groupBy("event_id").agg(
-        *(F.expr(f"avg({column}) AS _m_{column}") for group in names.values() for column in group)
+    counted = stage(
+        flat.groupBy("event_id").agg(
+            F.count(F.lit(1)).alias("_rows"),
+            *(
+                F.expr(f"avg({column}) AS _m_{column}")
+                for group in names.values()
+                for column in group
+            ),
+        ),
+        "event-means",
     )
-    joined = salted_lookup(flat, means, ["event_id"], ["product_id"])
+    heavy = heavy_keys(counted, ["event_id"], "_rows")
+    means = counted.drop("_rows")
+    joined = salted_lookup(flat, means, ["event_id"], ["product_id"], heavy=heavy)
 
     def demeaned(columns: list[str]) -> list[str]:
         own = f"({' + '.join(columns)}) / {len(columns)}"

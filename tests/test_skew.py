@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketry.operators import churn, cohorts, promo, rfm
-from basketry.operators.skew import salted_lookup
+from basketry.operators.skew import heavy_keys, salted_lookup
 from basketry.params import ChurnParams, PromoParams, Window
 
 
@@ -45,6 +45,56 @@ def test_hot_key_is_spread(spark, hot):
     assert tasks > 1
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("exact", [False, True])
+def test_heavy_keys_are_the_only_copies(spark, hot, how, exact):
+    """Key 0 holds a third of the rows and takes two of four shares; no other key is copied."""
+    counts = hot.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    heavy = heavy_keys(counts, ["key"], "n") if exact else heavy_keys(hot, ["key"])
+    zero = spark.range(1).select(F.xxhash64(F.lit(0).cast("int"))).first()[0]
+    assert [tuple(row) for row in heavy.collect()] == [(zero, 2)]
+    lookup = spark.range(40).select(
+        F.col("id").cast("int").alias("key"), (F.col("id") * 2).alias("v")
+    )
+    got = salted_lookup(hot, lookup, ["key"], ["row_id"], how, heavy=heavy)
+    want = hot.join(lookup, "key", how)
+    assert got.columns == want.columns
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_even_keys_are_joined_plainly(spark):
+    even = spark.range(1000).select(F.col("id").alias("row_id"), (F.col("id") % 50).alias("key"))
+    lookup = spark.range(50).select(F.col("id").alias("key"), (-F.col("id")).alias("v"))
+    heavy = heavy_keys(even, ["key"])
+    assert heavy.isEmpty()
+    joined = salted_lookup(even, lookup, ["key"], ["row_id"], heavy=heavy)
+    assert "_salt" not in plan_of(joined) and "Generate" not in plan_of(joined)
+    assert joined.where("v = -key").count() == 1000
+
+
+def test_no_rows_no_heavy_keys(spark, hot):
+    nothing = hot.limit(0)
+    assert heavy_keys(nothing, ["key"]).isEmpty()
+    counts = nothing.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    assert heavy_keys(counts, ["key"], "n").isEmpty()
+
+
+def test_heavy_null_key_and_types(spark):
+    """Null keys match nothing but stay in a left join; keys of two types are refused."""
+    rows = spark.range(900).select(
+        F.col("id").alias("row_id"), F.when(F.col("id") % 3 > 0, F.col("id") % 9).alias("key")
+    )
+    lookup = spark.range(9).select(F.col("id").alias("key"), F.col("id").alias("v"))
+    heavy = heavy_keys(rows, ["key"])
+    assert heavy.count() == 1
+    left = salted_lookup(rows, lookup, ["key"], ["row_id"], "left", heavy=heavy)
+    assert left.count() == 900 and left.where("v IS NULL").count() == 300
+    assert salted_lookup(rows, lookup, ["key"], ["row_id"], heavy=heavy).count() == 600
+    other = lookup.withColumn("key", F.col("key").cast("int"))
+    with pytest.raises(TypeError, match="key"):
+        salted_lookup(rows, other, ["key"], ["row_id"], heavy=heavy)
+
+
 def plan_of(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
