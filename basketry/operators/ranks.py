@@ -20,16 +20,19 @@ from basketry.sources.storage import stage
 _POSITION_BITS = 33
 
 
-def number(frame: DataFrame, order: Sequence[Column]) -> DataFrame:
+def number(frame: DataFrame, order: Sequence[Column], cells: int | None = None) -> DataFrame:
     """The rows in ``order``, staged, with ``_part``, their range, and ``_place``, their row in it.
 
     ``order`` must be total: end it with a unique key. Ranks, rank sums and medians of groups
-    all follow from one numbering and counts per range.
+    all follow from one numbering and counts per range. Where the ranges are known beforehand,
+    ``order`` starts with their numbers, from 0 up to ``cells``; then nothing is sampled.
     """
-    numbered = (
-        frame.repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .withColumn("_slot", F.monotonically_increasing_id())
+    if cells is None:
+        dealt = frame.repartitionByRange(*order)
+    else:
+        dealt = frame.repartitionById(cells, order[0])
+    numbered = dealt.sortWithinPartitions(*order).withColumn(
+        "_slot", F.monotonically_increasing_id()
     )
     position = F.col("_slot").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
     return (
@@ -43,7 +46,7 @@ def number(frame: DataFrame, order: Sequence[Column]) -> DataFrame:
 def ranked(numbered: DataFrame, rank: str = "rank", total: str = "total_rows") -> DataFrame:
     """The 1-based position of every numbered row, and the number of rows."""
     sizes = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    # One row per range partition: bounded by spark.sql.shuffle.partitions, not by the data.
+    # One row per range partition: bounded by a setting or by the caller's cells, not by the data.
     ordered = Window.orderBy("_part")
     offsets = sizes.select(
         "_part",
@@ -58,13 +61,17 @@ def ranked(numbered: DataFrame, rank: str = "rank", total: str = "total_rows") -
 
 
 def global_rank(
-    frame: DataFrame, order: Sequence[Column], rank: str = "rank", total: str = "total_rows"
+    frame: DataFrame,
+    order: Sequence[Column],
+    rank: str = "rank",
+    total: str = "total_rows",
+    cells: int | None = None,
 ) -> DataFrame:
     """Add the 1-based position of every row in ``order`` and the number of rows.
 
-    ``order`` must be total: end it with a unique key.
+    ``order`` must be total: end it with a unique key; ``cells`` as in ``number``.
     """
-    return ranked(number(frame, order), rank, total)
+    return ranked(number(frame, order, cells), rank, total)
 
 
 def with_cume_dist(frame: DataFrame, value: str, key: str, name: str) -> DataFrame:
