@@ -9,6 +9,10 @@ Null and empty texts have one piece without words, in the shortest bucket. Repea
 packed once each. Ties in the seeded order are broken by the row's hashes; rows that still tie are
 equal. An empty table gives no buckets and no rows.
 
+Pieces are numbered in cells: each bucket is cut along the seeded order into as many cells as its
+words need, so tasks hold about equal numbers of words, whatever the lengths and counts are. A
+text longer than a cell cannot make one, since pieces have at most ``longest`` words.
+
 Every piece carries its text, so batches can be filled from the result alone: pieces of a row,
 joined in order, are its text, blanks included. ``row_key`` is equal for the pieces of one row and
 tells rows of the same ``doc_id`` apart (a whole and a partial copy, say); repeated rows share it.
@@ -28,12 +32,21 @@ from basketry.operators.ranks import global_rank
 
 @dataclass(frozen=True)
 class PackParams:
-    """Words of the longest piece, number of buckets, and words in a batch, padding included."""
+    """Words of the longest piece, number of buckets, and words in a batch, padding included.
+
+    A task numbers about ``cell_words``, more if that took over ``most_cells`` tasks.
+    """
 
     longest: int = 4096
     buckets: int = 12
     budget: int = 65_536
     seed: int = 2
+    cell_words: int = 1 << 22
+    most_cells: int = 1 << 16
+
+
+#: Words that a row weighs beside its own: its keys and numbers.
+ROW_WORDS = 8
 
 
 def best_boundaries(lengths: list[int], counts: list[int], buckets: int) -> tuple[list[int], int]:
@@ -129,36 +142,57 @@ def _bucket(length: Column, ends: list[int]) -> Column:
     return F.element_at(F.filter(F.lit(ends).cast("array<bigint>"), lambda end: end >= length), 1)
 
 
+def cells(
+    lengths: list[int], counts: list[int], ends: list[int], least: int, params: PackParams
+) -> dict[int, tuple[int, int, int]]:
+    """For each bucket the pieces and the cells before it, and its own cells.
+
+    Cells are dealt by words: at least ``least`` in all, and one for every bucket.
+    """
+    rows, words = [], []
+    for end, low in zip(ends, [-1, *ends]):
+        inside = [(x, c) for x, c in zip(lengths, counts) if low < x <= end]
+        rows.append(sum(c for _, c in inside))
+        words.append(sum((x + ROW_WORDS) * c for x, c in inside))
+    total = max(1, sum(words))
+    wanted = min(params.most_cells, max(least, -(-total // params.cell_words)))
+    many = [max(1, -(-w * wanted // total)) for w in words]
+    firsts = zip(ends, np.cumsum([0, *rows]), np.cumsum([0, *many]), many)
+    return {end: (int(row), int(cell), n) for end, row, cell, n in firsts}
+
+
 def packed_pieces(docs: DataFrame, params: PackParams = PackParams()) -> DataFrame:
     """``_k1, _k2, _id``, the piece, its text, bucket length, batch (per bucket, from 0) and row.
 
-    Pieces of a bucket are numbered by range partitions, so one bucket may hold any share of all
+    The seeded order inside a bucket is that of a hash, so equal shares of the hash's range are
+    cells of equal size, known without a look at the rows; one bucket may hold any share of all
     rows. The histogram is the only thing collected, at most ``longest + 1`` rows. The texts are
-    shuffled and staged once, by the rank; ``docs`` is read for the histogram, the bounds of the
-    rank's ranges and the rank itself, and must give the same rows each time.
+    shuffled and staged once, by the cell; ``docs`` is read for the histogram and the cells, and
+    must give the same rows each time.
     """
     lengths, counts = zip(
         *histogram(docs, params).orderBy("_length").collect() or [(0, 0)]
     )
     ends, _ = best_boundaries(list(lengths), list(counts), params.buckets)
-    before, sizes = 0, {}
-    for end, low in zip(ends, [-1, *ends]):
-        sizes[end] = before
-        before += sum(c for x, c in zip(lengths, counts) if low < x <= end)
-    ranked = global_rank(
-        pieces(docs, params).withColumn("_bucket", _bucket(F.col("_length"), ends)),
-        [
-            F.col("_bucket"),
-            F.xxhash64("_k1", "_k2", "_piece", F.lit(params.seed)),
-            F.col("_k1"),
-            F.col("_k2"),
-            F.col("_piece"),
-        ],
-        "_rank",
-        "_total",
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cells(list(lengths), list(counts), ends, least, params)
+
+    def of_bucket(at: int) -> Column:
+        pairs = (F.lit(x).cast("bigint") for end, of in dealt.items() for x in (end, of[at]))
+        return F.element_at(F.create_map(*pairs), F.col("_bucket"))
+
+    # The upper 32 bits of the hash, from 0: times the cells, they tell the cell in hash order.
+    upper = F.shiftright("_hash", 32) + F.lit(1 << 31)
+    cell = of_bucket(1) + F.shiftright(upper * of_bucket(2), 32)
+    rows = (
+        pieces(docs, params)
+        .withColumn("_bucket", _bucket(F.col("_length"), ends))
+        .withColumn("_hash", F.xxhash64("_k1", "_k2", "_piece", F.lit(params.seed)))
+        .withColumn("_cell", cell.cast("int"))
     )
-    starts = F.create_map(*(F.lit(x).cast("bigint") for pair in sizes.items() for x in pair))
-    place = F.col("_rank") - F.element_at(starts, F.col("_bucket")) - 1
+    order = [F.col(name) for name in ("_cell", "_hash", "_k1", "_k2", "_piece")]
+    ranked = global_rank(rows, order, "_rank", "_total", sum(n for _, _, n in dealt.values()))
+    place = F.col("_rank") - of_bucket(0) - 1
     fits = F.greatest(F.lit(1), F.floor(F.lit(params.budget) / F.greatest(F.lit(1), "_bucket")))
     return ranked.select(
         "_k1",

@@ -5,6 +5,7 @@ import pytest
 
 from basketry.llm import mixing, packing
 from basketry.llm.mixing import MixParams, apportion
+from basketry.operators.ranks import number, ranked
 
 
 def one_by_one(votes, seats, limits):
@@ -161,3 +162,44 @@ def test_pieces_carry_the_text_of_their_row(spark, documents, awkward):
                 found.append((doc, "".join(text for _, text in sorted(parts)[::times])))
         want = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
         assert sorted(found, key=repr) == sorted(want, key=repr)
+
+
+def test_cells_hold_equal_words(spark, monkeypatch):
+    """Few long and many short texts, a third of the rows copies: no task holds twice the mean."""
+    docs = spark.range(6000).selectExpr(
+        "id AS doc_id",
+        "CASE WHEN id % 3 = 0 THEN repeat('copy ', 20) "
+        "WHEN id % 30 = 1 THEN repeat(concat('w', id, ' '), 900) "
+        "ELSE repeat(concat('v', id, ' '), CAST(1 + id % 40 AS INT)) END AS text",
+        "'a' AS source",
+    )
+    seen = {}
+
+    def watch(rows, order, rank, total, cells):
+        seen.update(numbered=number(rows, order, cells), cells=cells)
+        return ranked(seen["numbered"], rank, total)
+
+    monkeypatch.setattr(packing, "global_rank", watch)
+    params = packing.PackParams(longest=1000, buckets=6, budget=4000, cell_words=8000)
+    rows = packing.pack(docs, params).collect()
+    parts = defaultdict(int)
+    for r in seen["numbered"].select("_part", "_cell", "_length").collect():
+        assert r["_part"] == r["_cell"] < seen["cells"]
+        parts[r["_part"]] += r["_length"] + packing.ROW_WORDS
+    assert len(parts) > 30
+    assert max(parts.values()) < 2 * sum(parts.values()) / len(parts)
+    for bucket in {r["bucket"] for r in rows}:
+        inside = sorted((r["batch"], r["slot"]) for r in rows if r["bucket"] == bucket)
+        fits = max(1, params.budget // max(1, bucket))
+        assert inside == [divmod(i, fits) for i in range(len(inside))]
+
+
+def test_cells_are_bounded():
+    """At any size there are few tasks more than asked for, and each bucket has one."""
+    params = packing.PackParams(cell_words=100, most_cells=50)
+    for scale in (1, 10**3, 10**9):
+        dealt = packing.cells([0, 5, 90], [scale * 7, scale, scale * 2], [0, 5, 90], 4, params)
+        assert [row for row, _, _ in dealt.values()] == [0, scale * 7, scale * 8]
+        many = [n for _, _, n in dealt.values()]
+        assert min(many) >= 1 and 4 <= sum(many) <= 50 + 3
+    assert packing.cells([0], [0], [0], 4, params)[0][:2] == (0, 0)
