@@ -8,7 +8,8 @@ per 512 bits gives in constant time.
 The ids of whole documents make up segments of about ``segment_tokens``. A segment is one row of a
 Parquet folder: the table format commits files atomically, so a lost executor leaves no half
 written segment, and any store that Spark writes to will do. Rows carry their range partition and
-the tokens before them in it; adding up partition totals gives global positions.
+the tokens before them in it; adding up partition totals gives global positions. Every row is a
+Parquet page of its own, so one segment is read without the payloads of its neighbours.
 
 Order is by ``doc_id`` (null last), then text. Null and empty texts have the end id alone.
 Repeated rows are documents of their own. An empty table gives a folder without segments.
@@ -21,6 +22,7 @@ import os
 import struct
 import unicodedata
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import chain
@@ -100,9 +102,7 @@ class Segment:
             at += out.nbytes
             return out
 
-        named = take("u1", docs)
-        ids = take("<i8", docs)
-        self.doc_ids = [int(i) if known else None for i, known in zip(ids, named)]
+        self.named, self.ids = take("u1", docs), take("<i8", docs)
         self.ends = take("<u8", docs).astype(np.int64)
         self.levels = []
         for _ in range(count):
@@ -110,6 +110,10 @@ class Segment:
             chunks, bitmap = take("u1", size), take("u1", -(-size // 8))
             self.levels.append((chunks, bitmap, take("<u8", -(-size // RANK_BITS))))
 
+    @property
+    def doc_ids(self) -> list[int | None]:
+        return [int(i) if known else None for i, known in zip(self.ids, self.named)]
+
     def token(self, place: int) -> int:
         """The id at one place: a chunk, a bit and a rank per level."""
         if not 0 <= place < self.size:
@@ -284,6 +288,14 @@ SEGMENT_SCHEMA = pa.schema(
 )
 
 
+#: Every row ends a page, and payloads are in no dictionary.
+PAGE_PER_ROW = {
+    "parquet.page.row.count.limit": 1,
+    "parquet.page.size.row.check.min": 1,
+    "parquet.enable.dictionary#payload": "false",
+}
+
+
 def write_tokens(docs: DataFrame, folder: str, params: TokenFileParams) -> None:
     """Encode every whole text and write segments in document order: one shuffle, by range."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("_id"), text_of().alias("_text"))
@@ -297,27 +309,37 @@ def write_tokens(docs: DataFrame, folder: str, params: TokenFileParams) -> None:
             lambda batches: _segments(params, batches),
             "part int, number int, before long, n_tokens long, payload binary",
         )
-        .write.parquet(folder)
+        .write.options(**PAGE_PER_ROW)
+        .parquet(folder)
     )
 
 
 # --- reading ----------------------------------------------------------------------------------
 
 
-def segments(spark: SparkSession, folder: str) -> DataFrame:
-    """Segments with ``start``, the tokens before them in the whole folder.
+def _starts(rows: DataFrame) -> DataFrame:
+    """``start``, the tokens before a segment in the whole folder, in place of ``before``.
 
     The window runs over one row per range partition of the writing job.
     """
-    rows = spark.read.parquet(folder)
     totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("_tokens"))
     before = F.sum("_tokens").over(
         Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = totals.select("part", F.coalesce(before, F.lit(0)).alias("_offset"))
-    return rows.join(F.broadcast(offsets), "part").select(
-        (F.col("_offset") + F.col("before")).alias("start"), "n_tokens", "payload"
-    )
+    start = (F.col("_offset") + F.col("before")).alias("start")
+    kept = [name for name in rows.columns if name != "before"]
+    return rows.join(F.broadcast(offsets), "part").select(start, *kept)
+
+
+def segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Segments with ``start``, the tokens before them in the whole folder."""
+    return _starts(spark.read.parquet(folder)).select("start", "n_tokens", "payload")
+
+
+def segment_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Where every segment is and begins, without its payload."""
+    return _starts(spark.read.parquet(folder).select("part", "number", "before", "n_tokens"))
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,29 +369,42 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _found(positions: list[int], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _found(
+    wanted: dict[tuple[int, int], tuple[int, list[int]]], batches: Iterator[pa.RecordBatch]
+) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start, size, payload in zip(*(batch.column(i) for i in range(3))):
-            low = start.as_py()
-            inside = [p for p in positions if low <= p < low + size.as_py()]
+        for part, number, payload in zip(*(batch.column(i) for i in range(3))):
+            start, positions = wanted[part.as_py(), number.as_py()]
             segment = Segment(payload.as_py())
-            tokens = [segment.token(p - low) for p in inside]
+            tokens = [segment.token(p - start) for p in positions]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(inside, pa.int64()), pa.array(tokens, pa.int64())],
+                [pa.array(positions, pa.int64()), pa.array(tokens, pa.int64())],
                 names=["position", "token"],
             )
 
 
 def tokens_at(spark: SparkSession, folder: str, positions: Sequence[int]) -> DataFrame:
-    """The ids at global positions: only segments that hold one are read, none is decoded."""
-    wanted = sorted({int(p) for p in positions})
+    """The ids at global positions; positions outside the folder give no row.
+
+    The index names the segments that hold one, at most as many as ``positions``. Their numbers
+    are pushed to the scan, which reads the payloads of these segments; none is decoded.
+    """
+    asked = sorted({int(p) for p in positions})
     holds = F.exists(
-        F.lit(wanted).cast("array<bigint>"),
+        F.lit(asked).cast("array<bigint>"),
         lambda p: (p >= F.col("start")) & (p < F.col("start") + F.col("n_tokens")),
     )
+    wanted, numbers = {}, {}
+    for r in segment_index(spark, folder).where(holds).collect():
+        first, last = bisect_left(asked, r["start"]), bisect_left(asked, r["start"] + r["n_tokens"])
+        wanted[r["part"], r["number"]] = (r["start"], asked[first:last])
+        numbers.setdefault(r["part"], []).append(r["number"])
+    chosen = F.lit(False)
+    for part, inside in sorted(numbers.items()):
+        chosen |= (F.col("part") == part) & F.col("number").isin(inside)
     return (
-        segments(spark, folder)
-        .where(holds)
-        .select("start", "n_tokens", "payload")
+        spark.read.parquet(folder)
+        .where(chosen)
+        .select("part", "number", "payload")
         .mapInArrow(lambda batches: _found(wanted, batches), "position long, token long")
     )

@@ -357,6 +357,32 @@ def test_token_files_of_awkward_rows(spark, awkward, nothing):
     folder = new_folder(spark, "test-tokens")
     token_files.write_tokens(nothing, folder, token_files.TokenFileParams(PATH))
     assert token_files.read_documents(spark, folder).count() == 0
+    assert token_files.tokens_at(spark, folder, [0]).count() == 0
+
+
+def test_one_token_reads_one_segment(spark, documents, plain):
+    """Of many segments a file, the scan hands on only those that hold a position."""
+    folder = new_folder(spark, "test-tokens")
+    params = token_files.TokenFileParams(PATH, segment_tokens=500)
+    token_files.write_tokens(documents.coalesce(2), folder, params)
+    index = token_files.segment_index(spark, folder).orderBy("start").collect()
+    per_part = Counter(r["part"] for r in index)
+    assert max(per_part.values()) > 3
+    every = [i for w in expected_tokens([(i, t) for i, t, _ in plain]) for i in w[4]]
+    assert sum(r["n_tokens"] for r in index) == len(every)
+    for places in ([700], [0, 1, len(every) - 1], [-1, len(every)]):
+        found = token_files.tokens_at(spark, folder, places)
+        inside = [p for p in places if 0 <= p < len(every)]
+        assert {r[0]: r[1] for r in found.collect()} == {p: every[p] for p in inside}
+        plan = found._jdf.queryExecution().executedPlan()
+        if not inside:
+            continue
+        assert "PushedFilters: [" in plan.toString() and "EqualTo(part" in plan.toString()
+        scan = plan.collectLeaves().head()
+        read = scan.metrics().get("numOutputRows").get().value()
+        held = {i for p in inside for i, r in enumerate(index)
+                if r["start"] <= p < r["start"] + r["n_tokens"]}
+        assert read == len(held)
 
 
 @settings(max_examples=150, deadline=None)
