@@ -20,12 +20,14 @@ from __future__ import annotations
 import json
 import os
 import struct
+import sys
 import unicodedata
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -167,8 +169,7 @@ class WordIds(dict):
     The tokenizer drops blanks and never joins characters across them, so a text's ids are those
     of its words one after another, and a word is encoded once. A word of small Latin letters needs
     none of the tokenizer's preparation and goes to its model at once; marks after it are encoded
-    apart, as the tokenizer does itself. When ``limit`` words are known, further ones are encoded
-    for the texts at hand and forgotten.
+    apart, as the tokenizer does itself. Beyond ``limit`` words all but those at hand are forgotten.
     """
 
     def __init__(self, path: str, limit: int):
@@ -187,10 +188,6 @@ class WordIds(dict):
             raise ValueError(f"{path} does not take texts apart at blanks and letters")
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.marks: dict[bytes, bytes] = {b"": b""}
-        self.passing: dict[bytes, bytes] = {}
-
-    def __missing__(self, word: bytes) -> bytes:
-        return self.passing[word]
 
     def _slow(self, words: list[bytes]) -> list[bytes]:
         texts = [word.decode("utf-8") for word in words]
@@ -226,16 +223,29 @@ class WordIds(dict):
             found[stem] = ids
             found[word] = ids + self.marks[tail]
         found.update(zip(slow, self._slow(slow)))
-        if len(self) + len(found) <= self.limit:
-            self.update(found)
-        else:
-            self.passing = found
+        if len(self) + len(found) > self.limit:
+            at_hand = {word: self[word] for word in words if word in self}
+            self.clear()
+            self.update(at_hand)
+        self.update(found)
 
     def ids(self, words: list[bytes], end_id: int) -> np.ndarray:
         flat = b"".join(map(self.__getitem__, words)) + end_id.to_bytes(4, "little")
         return np.frombuffer(flat, "<u4")
 
 
+def known_words(path: str, limit: int) -> WordIds:
+    """The words that this worker has met in earlier tasks.
+
+    Shipped functions are built anew for every task, so what a worker keeps is in a module of its
+    own, which it makes when it first needs it.
+    """
+    kept = sys.modules.setdefault("_kept_word_ids", ModuleType("_kept_word_ids")).__dict__
+    if (path, limit) not in kept:
+        kept[path, limit] = WordIds(path, limit)
+    return kept[path, limit]
+
+
 def split_words(text: bytes) -> list[bytes]:
     """Words between ASCII blanks, in small letters as the tokenizer has them; special tokens are
     told from other text by their letters, so a text that may hold one is left as it is.
@@ -244,7 +254,7 @@ def split_words(text: bytes) -> list[bytes]:
 
 
 def _segments(params: TokenFileParams, batches: Iterator[pa.RecordBatch]):
-    known = WordIds(params.tokenizer, params.cached_words)
+    known = known_words(params.tokenizer, params.cached_words)
     names, ends, parts = [], [], []
     number = before = held = 0
 
