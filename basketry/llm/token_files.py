@@ -195,24 +195,25 @@ class WordIds(dict):
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def _fast(self, stem: bytes) -> bytes | None:
-        """Ids of small Latin letters in composed form, else None."""
+        """Ids of small Latin letters in composed form, else None; ``stem`` holds letters only."""
         text = stem.decode("utf-8")
-        if max(text) >= "\u0250" or text != text.lower():
-            return None
-        if not text.isascii():
+        if text.isascii():
+            if not text.islower():
+                return None
+        else:
+            if max(text) >= "\u0250" or text != text.lower():
+                return None
             if not unicodedata.is_normalized("NFC", text):
                 return None
             text = stem.decode("latin-1").translate(self.letters)
-        return b"".join(x.id.to_bytes(4, "little") for x in self.model.tokenize(text))
+        return b"".join([x.id.to_bytes(4, "little") for x in self.model.tokenize(text)])
 
     def learn(self, words: set[bytes]) -> None:
         """Make the ids of ``words`` known until the next call."""
         found, slow = {}, []
-        for word in words:
-            if word in self:
-                continue
+        for word in words.difference(self):
             stem, ids = word.rstrip(MARKS), None
-            if stem.decode("utf-8").isalpha():
+            if stem.isalpha() or stem.decode("utf-8").isalpha():
                 ids = self.get(stem) or found.get(stem) or self._fast(stem)
             if ids is None:
                 slow.append(word)
