@@ -125,7 +125,18 @@ def promo_members(
     product_weeks: DataFrame, window: Window, params: PromoParams
 ) -> tuple[DataFrame, DataFrame]:
     """Promo and cannibalisation event members with their outcome history, both staged."""
-    kept = stage(promo.keep_departments(product_weeks, params), "product-weeks")
+    return members_of(kept_product_weeks(product_weeks, params), window, params)
+
+
+def kept_product_weeks(product_weeks: DataFrame, params: PromoParams) -> DataFrame:
+    """Staged: making them reads the lines, and several results read them."""
+    return stage(promo.keep_departments(product_weeks, params), "product-weeks")
+
+
+def members_of(
+    kept: DataFrame, window: Window, params: PromoParams
+) -> tuple[DataFrame, DataFrame]:
+    """``promo_members`` of a ready ``kept_product_weeks``."""
     flags = stage(promo.informative(kept, params, window), "promo-flags")
     return (
         stage(promo.promo_events(flags), "promo-events"),
@@ -161,7 +172,8 @@ def promo_section(tables: Tables, window: Window, params: JobParams) -> dict[str
     """All models of an event table are fitted from the same passes over it."""
     settings = params.promo
     level, k = settings.confidence_level, settings.pre_weeks
-    both = promo_members(tables["promo_product_week"], window, settings)
+    kept = kept_product_weeks(tables["promo_product_week"], settings)
+    both = members_of(kept, window, settings)
     estimates, studies = [], []
     for members, models in zip(both, promo_models(), strict=True):
         study = inference.study_model("units", k)
@@ -179,9 +191,7 @@ def promo_section(tables: Tables, window: Window, params: JobParams) -> dict[str
         "pretrend_tests": report.pretrend_tests(
             {"promo": studies[0], "cannibalization": studies[1]}
         ),
-        "products_left_out": promo.products_left_out(
-            promo.keep_departments(tables["promo_product_week"], settings)
-        ),
+        "products_left_out": promo.products_left_out(kept),
         "promo_group_means": promo.group_means(panel, "units"),
         "display_share": promo.display_share(panel),
     }

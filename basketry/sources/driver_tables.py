@@ -119,8 +119,11 @@ def promo_products(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def promo_transactions(spark: SparkSession, folder: str) -> DataFrame:
-    lines = transactions(spark, folder)
+def promo_transactions(
+    spark: SparkSession, folder: str, lines: DataFrame | None = None
+) -> DataFrame:
+    """``lines`` are ready ``transactions``, if they are at hand."""
+    lines = transactions(spark, folder) if lines is None else lines
     names = _table(spark, folder, "part").select(
         F.col("p_partkey").alias("product_id"), name_id(F.col("p_name")).alias("name_id")
     )

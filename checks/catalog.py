@@ -69,17 +69,21 @@ def checked_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def retail_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Lines are staged: who takes all tables reads them several times, and each reading joins."""
     return {
-        "transaction_data": source.transactions(spark, folder),
+        "transaction_data": stage(source.transactions(spark, folder), "lines"),
         "product": source.products(spark, folder),
         "hh_demographic": source.demographics(spark, folder),
     }
 
 
-def product_weeks(spark: SparkSession, folder: str) -> DataFrame:
+def product_weeks(
+    spark: SparkSession, folder: str, lines: DataFrame | None = None
+) -> DataFrame:
+    """``lines`` are ready ``source.transactions``."""
     return promo.promo_product_week(
         source.promo_causal(spark, folder),
-        source.promo_transactions(spark, folder),
+        source.promo_transactions(spark, folder, lines),
         source.promo_products(spark, folder),
         PARAMS.codes,
     )
@@ -608,7 +612,7 @@ def data_summary(spark, folder):
 @query
 def results_metrics(spark, folder):
     tables = retail_tables(spark, folder)
-    tables["promo_product_week"] = product_weeks(spark, folder)
+    tables["promo_product_week"] = product_weeks(spark, folder, tables["transaction_data"])
     return analyze.analyze(tables, WINDOW, PARAMS)["results_metrics"]
 
 
