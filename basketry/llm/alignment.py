@@ -262,10 +262,10 @@ class Aligner:
         return self.links.data[ranges(rows["start"].data[numbers], rows["n_links"].data[numbers])]
 
 
-def chunks(*columns: pa.Array) -> Iterator[list[pa.Array]]:
-    """Slices of columns with about a megabyte of texts, the last column, each."""
+def chunks(*columns: pa.Array, size: int = 1 << 20) -> Iterator[list[pa.Array]]:
+    """Slices of columns with about ``size`` bytes of texts, the last column, each."""
     sizes = pc.fill_null(pc.binary_length(columns[-1]), 0).to_numpy()
-    number = np.cumsum(sizes) >> 20
+    number = np.cumsum(sizes) // size
     cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(sizes)]
     for start, end in zip(cuts, cuts[1:]):
         if end > start:

@@ -19,23 +19,27 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import sys
 import unicodedata
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import chain
 from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import CharDelimiterSplit
 
+from basketry.llm.alignment import Rows, chunks, ranges
 from basketry.llm.common import ship, text_of
 
 ship(__name__)
@@ -146,8 +150,11 @@ class Segment:
 # --- writing ----------------------------------------------------------------------------------
 
 
-#: Closing marks that stand apart from the letters before them.
-MARKS = b".,!?;:"
+#: Marks that stand apart from the letters before them: all printable ASCII but letters, digits.
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+
+#: Small Latin letters that have one form only: a to z, and those with an accent up to U+00FF.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
 # How the tokenizer must take texts apart for words to be encoded one by one.
 NORMAL_FORM = ["NFC", "Replace", "Lowercase"]
@@ -163,17 +170,22 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
 
 
-class WordIds(dict):
-    """Ids of words between ASCII blanks, as the bytes of 32-bit numbers.
+#: Words in one call of the model, and bytes of texts whose words are looked up together.
+JOINED = 1024
+TEXT_BYTES = 4 << 20
+
+
+class WordIds:
+    """Ids of words between ASCII blanks.
 
     The tokenizer drops blanks and never joins characters across them, so a text's ids are those
-    of its words one after another, and a word is encoded once. A word of small Latin letters needs
-    none of the tokenizer's preparation and goes to its model at once; marks after it are encoded
+    of its words one after another, and a word is encoded once. A word has a number; its ids are a
+    range of ``flat``. Words of small Latin letters need none of the tokenizer's preparation: many
+    go to its model in one call, which ends every word's last id. Marks after a word are encoded
     apart, as the tokenizer does itself. Beyond ``limit`` words all but those at hand are forgotten.
     """
 
     def __init__(self, path: str, limit: int):
-        super().__init__()
         # One thread: Spark runs a task per core already.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
@@ -186,53 +198,121 @@ class WordIds(dict):
             "ByteLevel",
         ):
             raise ValueError(f"{path} does not take texts apart at blanks and letters")
-        self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.marks: dict[bytes, bytes] = {b"": b""}
-
-    def _slow(self, words: list[bytes]) -> list[bytes]:
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = CharDelimiterSplit(" ")
+        letters = byte_letters() | {ord(" "): ord(" ")}
+        self.letters = np.array([letters[b] for b in range(256)], "<u4")
+        vocabulary, last = parts["model"]["vocab"], parts["model"]["end_of_word_suffix"]
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for piece, i in vocabulary.items() if last and piece.endswith(last)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.flat, self.starts, self.sizes = Rows(), Rows(), Rows()
+        self._add(np.zeros(0, np.int64), np.array([0]))  # the empty word is number 0
+        self.known: dict[bytes, int] = {b"": 0}
+        #: Words of letters alone, and what may follow them.
+        self.stems: dict[bytes, int] = {b"": 0}
+        self.marks: dict[bytes, int] = {b"": 0}
+
+    def _add(self, ids: np.ndarray, sizes: np.ndarray) -> range:
+        """Numbers of new words with these ids."""
+        first = self.sizes.size
+        self.starts.add(self.flat.size + np.cumsum(sizes) - sizes)
+        self.sizes.add(sizes)
+        self.flat.add(ids)
+        return range(first, first + len(sizes))
+
+    def _slow(self, words: list[bytes]) -> range:
         texts = [word.decode("utf-8") for word in words]
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def _fast(self, stem: bytes) -> bytes | None:
-        """Ids of small Latin letters in composed form, else None; ``stem`` holds letters only."""
+        lists = [x.ids for x in found]
+        flat = np.array(list(chain.from_iterable(lists)), np.int64)
+        return self._add(flat, np.array([len(ids) for ids in lists], np.int64))
+
+    def _fast(self, forms: list[bytes]) -> range | None:
+        """Words of small letters in composed form; None if the model does not end every one."""
+        joined = []
+        for at in range(0, len(forms), JOINED):
+            data = np.frombuffer(b" ".join(forms[at : at + JOINED]), np.uint8)
+            joined.append(self.letters[data].tobytes().decode("utf-32-le"))
+        found = self.plain.encode_batch_fast(joined, add_special_tokens=False)
+        ids = np.array(list(chain.from_iterable(x.ids for x in found)), np.int64)
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) != len(forms):
+            return None
+        return self._add(ids, np.diff(ends, prepend=0))
+
+    @staticmethod
+    def _small(stem: bytes) -> bytes | None:
+        """Letters as the tokenizer has them; None if it may do more than make them small."""
         text = stem.decode("utf-8")
-        if text.isascii():
-            if not text.islower():
-                return None
-        else:
-            if max(text) >= "\u0250" or text != text.lower():
-                return None
-            if not unicodedata.is_normalized("NFC", text):
-                return None
-            text = stem.decode("latin-1").translate(self.letters)
-        return b"".join([x.id.to_bytes(4, "little") for x in self.model.tokenize(text)])
-
-    def learn(self, words: set[bytes]) -> None:
+        low = text.lower()
+        if not low.isalpha() or max(low) >= "\u0250" or not unicodedata.is_normalized("NFC", text):
+            return None
+        return low.encode("utf-8")
+
+    def _learn_stems(self, stems: set[bytes]) -> None:
+        names = [stem for stem in stems if PLAIN.fullmatch(stem)]
+        forms = {stem: self._small(stem) for stem in stems.difference(names)}
+        forms = dict(zip(names, names)) | {stem: form for stem, form in forms.items() if form}
+        numbers = self._fast([*forms.values()]) if forms else None
+        if numbers:
+            self.stems.update(zip(forms, numbers))
+
+    def learn(self, words: Iterable[bytes]) -> None:
         """Make the ids of ``words`` known until the next call."""
-        found, slow = {}, []
-        for word in words.difference(self):
-            stem, ids = word.rstrip(MARKS), None
-            if stem.isalpha() or stem.decode("utf-8").isalpha():
-                ids = self.get(stem) or found.get(stem) or self._fast(stem)
-            if ids is None:
-                slow.append(word)
-                continue
-            tail = word[len(stem) :]
-            if tail not in self.marks:
-                self.marks[tail] = self._slow([tail])[0]
-            found[stem] = ids
-            found[word] = ids + self.marks[tail]
-        found.update(zip(slow, self._slow(slow)))
-        if len(self) + len(found) > self.limit:
-            at_hand = {word: self[word] for word in words if word in self}
-            self.clear()
-            self.update(at_hand)
-        self.update(found)
+        self.numbers([*words])
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of distinct words."""
+        get = self.known.get
+        found = np.array([get(word, -1) for word in words], np.int64)
+        places = np.flatnonzero(found < 0)
+        if len(self.known) + len(places) > self.limit:
+            self.forget()
+            places = np.arange(len(words))
+        if len(places):
+            found[places] = self._new_numbers([words[i] for i in places.tolist()])
+        return found
+
+    def _new_numbers(self, words: list[bytes]) -> np.ndarray:
+        stems = [word.rstrip(MARKS) for word in words]
+        self._learn_stems(set(stems).difference(self.stems))
+        get = self.stems.get
+        out = np.array([get(stem, -1) for stem in stems], np.int64)
+        longer = np.array([*map(len, words)]) > np.array([*map(len, stems)])
+        odd, marked = np.flatnonzero(out < 0), np.flatnonzero(longer & (out >= 0))
+        if len(odd):
+            out[odd] = self._slow([words[i] for i in odd.tolist()])
+        if len(marked):
+            tails = [words[i][len(stems[i]) :] for i in marked.tolist()]
+            unknown = [*set(tails).difference(self.marks)]
+            if unknown:
+                self.marks.update(zip(unknown, self._slow(unknown)))
+            both = np.column_stack([out[marked], [self.marks[tail] for tail in tails]])
+            sizes = self.sizes.data[both].sum(axis=1)
+            out[marked] = self._add(self._ids(both.ravel()), sizes)
+        self.known.update(zip(words, out.tolist()))
+        return out
+
+    def _ids(self, numbers: np.ndarray) -> np.ndarray:
+        return self.flat.data[ranges(self.starts.data[numbers], self.sizes.data[numbers])]
 
     def ids(self, words: list[bytes], end_id: int) -> np.ndarray:
-        flat = b"".join(map(self.__getitem__, words)) + end_id.to_bytes(4, "little")
-        return np.frombuffer(flat, "<u4")
+        """Ids of known words and the end id."""
+        numbers = np.array([self.known[word] for word in words], np.int64)
+        return np.append(self._ids(numbers), end_id).astype("<u4")
+
+    def ids_of(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts with an end id after each, and where each text ends in them."""
+        words, ends = words_of(texts)
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = self.numbers(distinct)[coded.indices.to_numpy()]
+        word_ends = np.concatenate([[0], np.cumsum(self.sizes.data[numbers])])
+        ids = np.insert(self._ids(numbers), word_ends[ends], end_id)
+        return ids.astype("<u4"), word_ends[ends] + np.arange(1, len(ends) + 1)
 
 
 def known_words(path: str, limit: int) -> WordIds:
@@ -247,11 +327,24 @@ def known_words(path: str, limit: int) -> WordIds:
     return kept[path, limit]
 
 
-def split_words(text: bytes) -> list[bytes]:
-    """Words between ASCII blanks, in small letters as the tokenizer has them; special tokens are
-    told from other text by their letters, so a text that may hold one is left as it is.
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words between ASCII blanks of texts in bytes, in small letters as the tokenizer has them,
+    and where each text's words end. A blank text has one empty word.
+
+    Special tokens are told from other text by their letters, so a text that may hold one is left
+    as it is.
     """
-    return text.split() if b"<|" in text else text.lower().split()
+    texts = texts.view(pa.string())
+    special = pc.match_substring(texts, "<|")
+    small = pc.if_else(special, texts, pc.ascii_lower(texts))
+    words = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(small))
+    ends = words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
+    return words.flatten().view(pa.binary()), ends
+
+
+def split_words(text: bytes) -> list[bytes]:
+    """``words_of`` a single text."""
+    return [word for word in words_of(pa.array([text], pa.binary()))[0].to_pylist() if word]
 
 
 def _segments(params: TokenFileParams, batches: Iterator[pa.RecordBatch]):
@@ -273,15 +366,16 @@ def _segments(params: TokenFileParams, batches: Iterator[pa.RecordBatch]):
         return pa.RecordBatch.from_pydict(row, schema=SEGMENT_SCHEMA)
 
     for batch in batches:
-        for at in range(0, len(batch), 256):
-            texts = [split_words(x.as_py()) for x in batch.column("_bytes")[at : at + 256]]
-            known.learn(set(chain.from_iterable(texts)))
-            for doc_id, words in zip(batch.column("_id")[at : at + 256], texts):
-                ids = known.ids(words, params.end_id)
-                held += len(ids)
-                names.append(doc_id.as_py())
+        for doc_ids, texts in chunks(batch.column("_id"), batch.column("_bytes"), size=TEXT_BYTES):
+            ids, text_ends = known.ids_of(texts, params.end_id)
+            start = 0
+            for doc_id, end in zip(doc_ids.to_pylist(), text_ends.tolist()):
+                part = ids[start:end]
+                start = end
+                held += len(part)
+                names.append(doc_id)
                 ends.append(held)
-                parts.append(ids)
+                parts.append(part)
                 if held >= params.segment_tokens:
                     yield closed()
     if names:

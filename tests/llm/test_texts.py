@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -411,3 +412,29 @@ def test_marks_join_other_symbols():
         known.learn(set(words))
         want = known.tokenizer.encode(text, add_special_tokens=False).ids
         assert known.ids(words, 1).tolist() == [*want, 1]
+
+
+def test_only_marks_behind_letters_need_the_whole_tokenizer(monkeypatch):
+    known, slow = token_files.WordIds(PATH, 1000), []
+    plain = known._slow
+    monkeypatch.setattr(known, "_slow", lambda words: slow.extend(words) or plain(words))
+    text = "abc&&& déf*** Ère.%%% x' (y) abc... 7"
+    words = token_files.split_words(text.encode())
+    known.learn(set(words))
+    want = known.tokenizer.encode(text, add_special_tokens=False).ids
+    assert known.ids(words, 1).tolist() == [*want, 1]
+    assert set(slow) == {b"&&&", b"***", b".%%%", b"'", b"...", b"(y)", b"7"}
+
+
+def test_texts_are_encoded_together():
+    texts = ["", " \n", "The cat.\x0b the  cat", "a<|endoftext|>B b", "İs Σ été b"] * 3
+    array = pa.array([x.encode() for x in ["skipped", *texts]], pa.binary()).slice(1)
+    known = token_files.WordIds(PATH, 4)  # forgets what it has met
+    for part in (array, array.slice(2, 7), array.slice(0, 1)):
+        ids, ends = known.ids_of(part, 1)
+        got = [x.tolist() for x in np.split(ids, ends)]
+        want = [
+            [*known.tokenizer.encode(x.decode(), add_special_tokens=False).ids, 1]
+            for x in part.to_pylist()
+        ]
+        assert got == [*want, []]
