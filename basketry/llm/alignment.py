@@ -53,6 +53,9 @@ ODD = (
 #: A pair is one long: the id of A above these bits, the id of B below.
 BITS = 24
 
+#: Bytes of texts whose words are looked up together.
+TEXT_BYTES = 2 << 20
+
 DOCUMENT = "block long, doc_id long, text string, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 FIGURES = ("n_a", "n_b", "n_groups", "n_links")
 
@@ -103,10 +106,10 @@ class Aligner:
     """Both tokenizers, and the words that were aligned before.
 
     A word has a number; ``figures`` holds its tokens of A and B, its groups (-1 if the tokens do
-    not give the word back) and its links, ``texts`` its groups as text.
+    not give the word back) and its links, ``texts`` its groups as text, if these are wanted.
     """
 
-    def __init__(self, params: AlignParams):
+    def __init__(self, params: AlignParams, with_texts: bool = True):
         import sentencepiece
         import tiktoken
 
@@ -125,7 +128,7 @@ class Aligner:
         )
         self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
         self.blank = self.b.piece_to_id("▁")
-        self.most = params.words
+        self.most, self.with_texts = params.words, with_texts
         self.forget()
 
     def forget(self) -> None:
@@ -184,7 +187,8 @@ class Aligner:
                     self.number([word])
                     for name, rows in self.figures.items():
                         rows.add([-1 if name == "n_groups" else 0])
-                    self.texts.append("")
+                    if self.with_texts:
+                        self.texts.append("")
 
     def number(self, words: list[str]) -> None:
         first = len(self.known)
@@ -199,16 +203,8 @@ class Aligner:
         a_n, b_n = (np.bincount(g, minlength=len(ends)) for g in (a_group, b_group))
         word_ends = np.cumsum([len(w.encode()) + 1 for w in words])
         last = np.searchsorted(ends, word_ends) + 1  # groups up to each word's end
-        # All tokens by group, A's before B's, with what stands behind each.
-        tokens, group = np.concatenate([a, b]), np.concatenate([a_group, b_group])
-        order = np.argsort(2 * group + (np.arange(len(tokens)) >= len(a)), kind="stable")
-        behind = np.full(len(tokens), ",")
-        behind[np.cumsum(a_n + b_n) - b_n - 1] = "|"
-        behind[np.cumsum(a_n + b_n) - 1] = ";"
-        behind[np.cumsum(a_n + b_n)[last - 1] - 1] = "\n"
-        names = self.names
-        parts = [names[i] + s for i, s in zip(tokens[order].tolist(), behind.tolist())]
-        self.texts += [text + ";" for text in "".join(parts).split("\n")[:-1]]
+        if self.with_texts:
+            self.add_texts(np.concatenate([a, b]), np.concatenate([a_group, b_group]), a_n, b_n, last)
         each = b_n[a_group]
         pairs = (np.repeat(a, each) << BITS) | b[ranges((np.cumsum(b_n) - b_n)[a_group], each)]
         n_links = sums(a_n * b_n, last)
@@ -220,8 +216,23 @@ class Aligner:
             rows.add(values)
         self.number(words)
 
-    def words(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, pa.StringArray]:
-        """Numbers of the words of all texts, where each text's words end, and their groups.
+    def add_texts(
+        self, tokens: np.ndarray, group: np.ndarray, a_n: np.ndarray, b_n: np.ndarray, last: np.ndarray
+    ) -> None:
+        """Groups of words as text: all tokens by group, A's before B's, with what stands behind."""
+        n_a = int(a_n.sum())
+        order = np.argsort(2 * group + (np.arange(len(tokens)) >= n_a), kind="stable")
+        group_ends = np.cumsum(a_n + b_n)
+        behind = np.full(len(tokens), ",")
+        behind[group_ends - b_n - 1] = "|"
+        behind[group_ends - 1] = ";"
+        behind[group_ends[last - 1] - 1] = "\n"
+        names = self.names
+        parts = [names[i] + s for i, s in zip(tokens[order].tolist(), behind.tolist())]
+        self.texts += [text + ";" for text in "".join(parts).split("\n")[:-1]]
+
+    def words(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, pa.StringArray | None]:
+        """Numbers of the words of all texts, where each text's words end, and their groups if wanted.
 
         A text without tokens has no words.
         """
@@ -237,24 +248,25 @@ class Aligner:
             words = pa.concat_arrays([words, pa.array(some, words.type)]).take(pa.array(own))
         ends = words.offsets.to_numpy()[1:] - words.offsets[0].as_py()
         flat = words.flatten().dictionary_encode()
-        distinct, place = flat.dictionary.to_pylist(), flat.indices.to_numpy()
-        numbers = [self.known.get(word, -1) for word in distinct]
-        new = [word for word, number in zip(distinct, numbers) if number < 0]
-        if new:
+        distinct = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        place, get = flat.indices.to_numpy(), self.known.get
+        numbers = np.array([get(word, -1) for word in distinct], np.int64)
+        unknown = np.flatnonzero(numbers < 0)
+        if len(unknown):
+            new = [distinct[i] for i in unknown.tolist()]
             self.learn(new)
-            numbers = [
-                self.known[word] if number < 0 else number
-                for word, number in zip(distinct, numbers)
-            ]
-        groups = pa.array([self.texts[i] for i in numbers], pa.large_string())
-        numbers = np.array(numbers, np.int64)
+            numbers[unknown] = [self.known[word] for word in new]
         wrong = self.figures["n_groups"].data[numbers] < 0
         if wrong.any():
             starts = np.concatenate([[0], ends[:-1]])
             sound = sums(wrong[place], ends) == 0
             place = place[ranges(starts[sound], (ends - starts)[sound])]
             ends = np.cumsum(np.where(sound, ends - starts, 0))
-        return numbers[place], ends, groups.take(pa.array(place))
+        groups = None
+        if self.with_texts:
+            groups = pa.array([self.texts[i] for i in numbers.tolist()], pa.large_string())
+            groups = groups.take(pa.array(place))
+        return numbers[place], ends, groups
 
     def links_of(self, numbers: np.ndarray) -> np.ndarray:
         """All links of the words with these numbers."""
@@ -290,7 +302,7 @@ def blocks(docs: DataFrame, params: AlignParams) -> DataFrame:
             )
 
         for batch in batches:
-            for ids, texts in chunks(*batch.columns):
+            for ids, texts in chunks(*batch.columns, size=TEXT_BYTES):
                 numbers, ends, groups = both.words(texts)
                 figures = [sums(both.figures[f].data[numbers], ends).tolist() for f in FIGURES]
                 digests, start = [], 0
@@ -526,14 +538,14 @@ def second_pass(staged: DataFrame, answers: DataFrame, params: AlignParams) -> D
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not made:
-            made.append(Aligner(params))
+            made.append(Aligner(params, with_texts=False))
         both = made[0]
         keys = np.concatenate([np.zeros(0, np.int64), *map(_array, right.column("keys").to_pylist())])
         counts = np.concatenate([np.zeros(0, np.int64), *map(_array, right.column("counts").to_pylist())])
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
         best, total = [], []
-        for (texts,) in chunks(left.column("text").combine_chunks()):
+        for (texts,) in chunks(left.column("text").combine_chunks(), size=TEXT_BYTES):
             numbers, text_ends, _ = both.words(texts)
             every, place = np.unique(numbers, return_inverse=True)
             found = counts[np.searchsorted(keys, both.links_of(every))]

@@ -171,3 +171,21 @@ def test_the_table_of_pairs(documents):
     for r in documents.collect():
         counts.update({(x, y) for a, b in groups_of(r["text"]) or [] for x in a for y in b})
     assert {(r["a"], r["b"]): r["docs"] for r in pairs} == counts
+
+
+def test_second_pass_makes_no_group_texts():
+    texts = pa.array(["the cat sat", None, "  odd ▁x", "été the  cat\n\n y", "", "a▁b c"] * 2)
+    first, second = alignment.Aligner(PARAMS), alignment.Aligner(PARAMS, with_texts=False)
+    for _ in range(2):
+        numbers, ends, groups = first.words(texts)
+        found, found_ends, nothing = second.words(texts)
+        assert (numbers == found).all() and (ends == found_ends).all()
+        assert len(groups) == len(numbers) and nothing is None
+        assert (first.links_of(numbers) == second.links_of(found)).all()
+    assert first.texts and not second.texts
+
+
+def test_chunks_keep_every_row():
+    texts = pa.array(["abc", None, "", "abcdef", "x" * 50, "y"])
+    parts = [part.to_pylist() for (part,) in alignment.chunks(texts, size=5)]
+    assert [x for part in parts for x in part] == texts.to_pylist() and len(parts) > 2
